@@ -67,72 +67,76 @@ def _genes(seed, purpose, n, t, *keys) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda k: draw_mod(seed, purpose, 1000, *keys, t, k))
 
 
-def _gene_sum(genes: Column) -> Column:
-    return F.aggregate(genes, F.lit(0).cast("bigint"), lambda a, x: a + x)
+def _first_bounded(seed: Column, purpose: str, n: Column, keys, lo: float, hi: float) -> Column:
+    """struct(t, g) of the first attempt whose shares g/sum(g) all lie in [lo, hi], or NULL.
 
+    Tested exactly on integers (for the default bounds 100*min(g) >= sum and
+    4*max(g) <= sum).  Each attempt's genes are drawn once, inside a struct,
+    and the test folds over that struct's array; ``coalesce`` runs the later
+    attempt blocks only for rows the earlier ones missed."""
+    lo_num, hi_num = round(1 / lo), round(1 / hi)
+    init = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(1 << 40).cast("bigint").alias("mn"),
+                    F.lit(-1).cast("bigint").alias("mx"))
 
-def _bounded(genes: Column) -> Column:
-    s = _gene_sum(genes)
-    return (s > 0) & F.forall(genes, lambda x: (x * 100 >= s) & (x * 4 <= s))
-
+    def ok(x):
+        return F.aggregate(
+            x["g"], init,
+            lambda acc, v: F.struct((acc["s"] + v).alias("s"), F.least(acc["mn"], v).alias("mn"),
+                                    F.greatest(acc["mx"], v).alias("mx")),
+            lambda acc: (acc["s"] > 0) & (acc["mn"] * lo_num >= acc["s"]) & (acc["mx"] * hi_num <= acc["s"]))
 
-def constrained_weights(seed: Column, purpose: str, n: Column, *keys: Column,
-                        lo: float = WEIGHT_FLOOR, hi: float = WEIGHT_CEILING) -> Column:
-    """struct(weights array<double>, attempt int, repaired bool).
+    def block(a, b):
+        cand = F.transform(F.sequence(F.lit(a), F.lit(b - 1)),
+                           lambda t: F.struct(t.alias("t"), _genes(seed, purpose, n, t, *keys).alias("g")))
+        return F.try_element_at(F.filter(cand, ok), F.lit(1))
 
-    Draw n integer genes 0..999 per attempt; the first attempt whose shares
-    g/sum(g) all lie in [lo, hi] (tested exactly: 100g >= sum, 4g <= sum for
-    the default bounds) wins.  With no valid attempt among ATTEMPTS, the genes
-    of attempt 0 are mapped into the bounds in closed form (repaired)."""
-    lo_num, hi_num = round(1 / lo), round(1 / hi)
+    return F.coalesce(*[block(a, b) for a, b in ATTEMPT_BLOCKS])
 
-    def ok(t):
-        g = _genes(seed, purpose, n, t, *keys)
-        s = _gene_sum(g)
-        return (s > 0) & F.forall(g, lambda x: (x * lo_num >= s) & (x * hi_num <= s))
 
-    first = F.coalesce(*[F.element_at(F.filter(F.sequence(F.lit(a), F.lit(b - 1)), ok), 1)
-                         for a, b in ATTEMPT_BLOCKS])
-    t = F.coalesce(first, F.lit(0))
-    g = _genes(seed, purpose, n, t, *keys)
-    s = _gene_sum(g).cast("double")
+def _bounded_weights(g: Column, n: Column, repaired: Column, lo: float, hi: float) -> Column:
+    """g/sum(g); for repaired rows the closed form: floor + share of the rest by
+    (g+1), capped at hi, the excess spread over the uncapped in proportion to
+    headroom (one pass suffices whenever n*lo <= 1 <= n*hi)."""
+    s = F.aggregate(g, F.lit(0).cast("bigint"), lambda a, x: a + x).cast("double")
     plain = F.transform(g, lambda x: x.cast("double") / s)
-    # closed-form repair: floor + share of the rest by (g+1), cap, spread the
-    # excess over the uncapped in proportion to headroom (one pass suffices
-    # whenever n*lo <= 1 <= n*hi).
     s1 = F.aggregate(g, F.lit(0).cast("bigint"), lambda a, x: a + x + 1).cast("double")
     nd = n.cast("double")
     w0 = F.transform(g, lambda x: F.lit(lo) + (F.lit(1.0) - nd * lo) * (x + 1).cast("double") / s1)
     excess = F.aggregate(w0, F.lit(0.0), lambda a, x: a + F.greatest(x - hi, F.lit(0.0)))
     capped = F.transform(w0, lambda x: F.least(x, F.lit(hi)))
     room = F.aggregate(capped, F.lit(0.0), lambda a, x: a + (F.lit(hi) - x))
-    repaired = F.transform(capped, lambda x: x + F.when(room > 0, excess * (F.lit(hi) - x) / room).otherwise(0.0))
-    return F.struct(F.when(first.isNotNull(), plain).otherwise(repaired).alias("weights"),
-                    t.cast("int").alias("attempt"), first.isNull().alias("repaired"))
+    fixed = F.transform(capped, lambda x: x + F.when(room > 0, excess * (F.lit(hi) - x) / room).otherwise(0.0))
+    return F.when(repaired, fixed).otherwise(plain)
 
 
-def random_constrained(individuals: DataFrame, iu: DataFrame, purpose: str = "init") -> DataFrame:
+def random_constrained(individuals: DataFrame, iu: DataFrame, purpose: str = "init",
+                       lo: float = WEIGHT_FLOOR, hi: float = WEIGHT_CEILING) -> DataFrame:
     """Random portfolios under weight bounds, one per individual.
 
-    ``individuals``: scenario_id, generation, indiv_id, dt, window, n_assets, seed.
+    ``individuals``: scenario_id, generation, indiv_id, dt, win, n_assets, seed.
     ``iu``: :func:`indexed_universe`.  Returns scenario_id, generation, indiv_id,
-    slot, symbol, weight, price, currency, mean, repaired.  With fewer than
-    n_assets eligible symbols only the first M weights are used (they then sum
-    below 1), as in the reference."""
+    slot, symbol, weight, price, currency, mean, repaired.  Draw n integer genes
+    0..999 per attempt; the first attempt within the bounds wins; with none in
+    ATTEMPTS, attempt 0 is mapped into the bounds in closed form (repaired).
+    Symbols: min(n, M) distinct positions of the universe by Floyd's method.
+    With fewer than n_assets eligible symbols only the first M weights are used
+    (they then sum below 1), as in the reference."""
     sizes = iu.select("dt", "win", "m").distinct()
     ind = individuals.join(sizes, ["dt", "win"])
+    ids = ["scenario_id", "generation", "indiv_id", "dt", "win", "n_assets", "seed"]
     keys = (F.col("scenario_id"), F.col("generation"), F.col("indiv_id"))
-    n = F.col("n_assets")
-    drawn = ind.select(
-        "scenario_id", "generation", "indiv_id", "dt", "win",
-        constrained_weights(F.col("seed"), purpose + ":gene", n, *keys).alias("w"),
-        floyd_positions(n, F.col("m"), F.col("seed"), purpose + ":pos", *keys).alias("positions"))
-    ex = drawn.select("scenario_id", "generation", "indiv_id", "dt", "win", "w.repaired",
-                      F.posexplode("positions").alias("slot", "pos"),
-                      F.col("w.weights").alias("weights"))
+    n, seed = F.col("n_assets"), F.col("seed")
+    # Each stage reads the previous stage's columns more than once, so the
+    # optimizer keeps them computed once instead of inlining the draws.
+    s1 = ind.select(*ids, _first_bounded(seed, purpose + ":gene", n, keys, lo, hi).alias("c"),
+                    floyd_positions(n, F.col("m"), seed, purpose + ":pos", *keys).alias("positions"))
+    s2 = s1.select(*ids, "positions", F.coalesce(F.col("c.g"), _genes(seed, purpose + ":gene", n, F.lit(0), *keys)).alias("g"),
+                   F.col("c").isNull().alias("repaired"))
+    s3 = s2.select(*ids, "positions", "repaired", _bounded_weights(F.col("g"), n, F.col("repaired"), lo, hi).alias("weights"))
+    ex = s3.select("scenario_id", "generation", "indiv_id", "dt", "win", "repaired", "weights",
+                   F.posexplode("positions").alias("slot", "pos"))
     ex = ex.withColumn("weight", F.element_at("weights", F.col("slot") + 1)).drop("weights")
-    j = ex.join(iu.select("dt", "win", "pos", "symbol", "mean", "adj_close", "currency"),
-                ["dt", "win", "pos"])
+    j = ex.join(iu.select("dt", "win", "pos", "symbol", "mean", "adj_close", "currency"), ["dt", "win", "pos"])
     return j.select("scenario_id", "generation", "indiv_id", F.col("slot").cast("int").alias("slot"),
                     "symbol", "weight", F.col("adj_close").alias("price"), "currency", "mean", "repaired")
 
@@ -141,7 +145,7 @@ def individuals_of(scenarios: DataFrame, generation: int = 0) -> DataFrame:
     """One row per (scenario, indiv_id in 0..pop_size-1)."""
     return scenarios.select(
         "scenario_id", F.lit(generation).alias("generation"),
-        F.explode(F.sequence(F.lit(0), F.col("pop_size") - 1)).cast("bigint").alias("indiv_id"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("pop_size") - 1).cast("bigint"))).alias("indiv_id"),
         F.col("formation_date").alias("dt"), "win", "n_assets", "seed")
 
 

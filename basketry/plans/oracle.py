@@ -13,9 +13,9 @@ from basketry.sources.fixtures import SQL_FX, SQL_PANEL, SQL_PANEL_RAW
 from basketry.sources.schemas import HORIZONS, LOOKBACK_DAYS, WINDOWS
 
 
-def with_ctes(ctes: list[tuple[str, str]], final: str) -> str:
+def with_ctes(ctes: list[tuple[str, str]], final: str, recursive: bool = False) -> str:
     body = ",\n".join(f"{n} as (\n{q.strip()}\n)" for n, q in ctes)
-    return f"with {body}\n{final.strip()}"
+    return f"with {'recursive ' if recursive else ''}{body}\n{final.strip()}"
 
 
 def features_sql(src: str = "panel") -> list[tuple[str, str]]:

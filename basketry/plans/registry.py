@@ -16,6 +16,8 @@ from basketry.operators import features as feat
 from basketry.operators import formation as form
 from basketry.operators import risk, slicing, valuation
 from basketry.plans import oracle as O
+from basketry.plans import oracle_search as OS
+from basketry.operators import search
 from basketry.plans.context import Ctx, rounded, sql_rounded
 from basketry.sources.fixtures import SQL_FX, SQL_PANEL_RAW
 from basketry.sources.schemas import ROULETTE_NEW, ROULETTE_OLD, WINDOWS
@@ -403,3 +405,143 @@ def q_portfolio_summary(spark, sf_dir):
     w = valuation.portfolio_value(p, ctx.scenarios, ctx.prices, ctx.fx).select(*PK, "value")
     out = r.join(v, PK, "left").join(w, PK, "left")
     return rounded(out.select(*PK, "ret", "variance", "value"), {"ret": R6, "variance": VAR, "value": MONEY})
+
+
+# ------------------------------------------------------- seeded random formation
+
+POP_COLS = ["scenario_id", "generation", "indiv_id", "symbol", "weight", "price", "currency", "mean"]
+POP_ROUND = {"weight": R6, "mean": R6}
+IK_SQL = "scenario_id, indiv_id"
+
+
+def _rec(ctes, final):
+    return O.with_ctes(ctes, final, recursive=True)
+
+
+@query("random_unconstrained", _rec(BASE + OS.unconstrained_ctes(), sql_rounded(PORT_COLS, PORT_ROUND, "unc")))
+def q_random_unconstrained(spark, sf_dir):
+    ctx = Ctx(spark, sf_dir)
+    return rounded(form.random_unconstrained(ctx.scenarios, ctx.flong), PORT_ROUND)
+
+
+RC_COLS = ["scenario_id", "generation", "indiv_id", "slot", "symbol", "weight", "price", "currency", "mean", "repaired"]
+
+
+@query("random_constrained", _rec(BASE + OS.init_ctes(), sql_rounded(RC_COLS, POP_ROUND, "ini_rc")))
+def q_random_constrained(spark, sf_dir):
+    ctx = Ctx(spark, sf_dir)
+    iu = slicing.indexed_universe(ctx.scenarios, ctx.flong)
+    return rounded(form.random_constrained(form.individuals_of(ctx.scenarios, 0), iu, "init"), POP_ROUND)
+
+
+@query("init_population", _rec(BASE + OS.init_ctes(), sql_rounded(POP_COLS, POP_ROUND, "pop0")))
+def q_init_population(spark, sf_dir):
+    ctx = Ctx(spark, sf_dir)
+    return rounded(search.init_population(ctx.scenarios, ctx.flong), POP_ROUND)
+
+
+# ----------------------------------------------------------- search steps
+
+GA_BASE = (BASE + OS.init_ctes() + O.lookback_ctes("pop0", IK_SQL) + OS.variance_identity_ctes("pop0", IK_SQL))
+FIT_ROUND = {"ret": R6, "variance": VAR, "fitness": VAR}
+
+
+class _Gen0:
+    """Generation 0 of the search over the scenario grid, shared by the step queries."""
+
+    def __init__(self, spark, sf_dir):
+        self.ctx = Ctx(spark, sf_dir)
+        self.scen = search._cut(self.ctx.scenarios)
+        self.iu = search._cut(slicing.indexed_universe(self.scen, self.ctx.flong))
+        self.rets = search._cut(search.lookback_returns(self.scen, self.ctx.flong))
+        self.pop = search._cut(search.init_population(self.scen, self.ctx.flong, self.iu))
+        self._fit = None
+
+    def fit(self):
+        if self._fit is None:
+            self._fit = search._cut(search.evaluate_population(self.pop, self.scen, self.rets))
+        return self._fit
+
+    def ranked(self):
+        return search.rank_population(self.fit())
+
+    def parents(self):
+        return search.select_parents(self.ranked(), self.scen)
+
+    def pairs(self):
+        return search.roulette_pairs(self.parents(), self.scen, 0)
+
+    def cuts(self):
+        return search.crossover_cuts(self.pairs(), self.pop, self.scen, 0)
+
+    def kids(self):
+        return search._cut(search.crossover(self.cuts(), self.pop, self.scen, 0))
+
+
+@query("fitness_return", _rec(GA_BASE, f"select {IK_SQL}, round(ret, 6) as ret from pop0_ret"))
+def q_fitness_return(spark, sf_dir):
+    return rounded(search.fitness_return(_Gen0(spark, sf_dir).pop), {"ret": R6})
+
+
+@query("fitness_linear", _rec(GA_BASE, sql_rounded(["scenario_id", "indiv_id", "ret", "variance", "fitness"], FIT_ROUND, "pop0_fit")))
+def q_fitness_linear(spark, sf_dir):
+    g = _Gen0(spark, sf_dir)
+    f = search.fitness_linear(g.pop, g.scen, g.ctx.flong)
+    return rounded(f.select("scenario_id", "indiv_id", "ret", "variance", "fitness"), FIT_ROUND)
+
+
+@query("evaluate_population", _rec(GA_BASE, sql_rounded(["scenario_id", "indiv_id", "ret", "variance", "fitness"], FIT_ROUND, "pop0_fit")))
+def q_evaluate_population(spark, sf_dir):
+    return rounded(_Gen0(spark, sf_dir).fit(), FIT_ROUND)
+
+
+STEPS = GA_BASE + OS.step_ctes(0)
+
+
+@query("rank_population", _rec(STEPS, f"select {IK_SQL}, cast(rank as integer) as rank from ranked"))
+def q_rank_population(spark, sf_dir):
+    return _Gen0(spark, sf_dir).ranked().select("scenario_id", "indiv_id", F.col("rank").cast("int").alias("rank"))
+
+
+@query("select_parents", _rec(STEPS, f"select {IK_SQL}, cast(rank as integer) as rank from parents"))
+def q_select_parents(spark, sf_dir):
+    return _Gen0(spark, sf_dir).parents().select("scenario_id", "indiv_id", F.col("rank").cast("int").alias("rank"))
+
+
+@query("elite", _rec(STEPS, f"select {IK_SQL}, round(fitness, 4) as fitness from ranked where rank = 1"))
+def q_elite(spark, sf_dir):
+    e = search.elite(_Gen0(spark, sf_dir).ranked())
+    return e.select("scenario_id", "indiv_id", F.round("fitness", 4).alias("fitness"))
+
+
+@query("roulette_pairs", _rec(STEPS, "select scenario_id, pair, indiv_a, indiv_b from pairs"))
+def q_roulette_pairs(spark, sf_dir):
+    return _Gen0(spark, sf_dir).pairs()
+
+
+@query("crossover_cuts", _rec(STEPS, "select scenario_id, pair, indiv_a, indiv_b, cut from cuts"))
+def q_crossover_cuts(spark, sf_dir):
+    return _Gen0(spark, sf_dir).cuts()
+
+
+@query("crossover", _rec(STEPS, sql_rounded(POP_COLS, POP_ROUND, "kids")))
+def q_crossover(spark, sf_dir):
+    return rounded(_Gen0(spark, sf_dir).kids(), POP_ROUND)
+
+
+@query("mutate", _rec(STEPS, sql_rounded(POP_COLS, POP_ROUND, "mutated")))
+def q_mutate(spark, sf_dir):
+    g = _Gen0(spark, sf_dir)
+    return rounded(search.mutate(g.kids(), g.scen, g.iu, 0), POP_ROUND)
+
+
+@query("immigrants", _rec(STEPS, sql_rounded(POP_COLS, POP_ROUND, "imm_rc")))
+def q_immigrants(spark, sf_dir):
+    g = _Gen0(spark, sf_dir)
+    return rounded(search.immigrants(g.scen, g.iu, 0), POP_ROUND)
+
+
+@query("next_generation", _rec(STEPS, sql_rounded(POP_COLS, POP_ROUND, "nextgen")))
+def q_next_generation(spark, sf_dir):
+    g = _Gen0(spark, sf_dir)
+    return rounded(search.generation_step(g.pop, g.fit(), g.scen, g.iu, 0), POP_ROUND)
