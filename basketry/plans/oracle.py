@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from basketry.functions.rng import sql_draw, sql_draw_mod
 from basketry.plans.scenarios import sql_scenario_grid
-from basketry.sources.fixtures import SQL_FX, SQL_PANEL, SQL_PANEL_RAW
+from basketry.sources.fixtures import SQL_FX, SQL_PANEL, SQL_PANEL_RAW  # noqa: F401
 from basketry.sources.schemas import HORIZONS, LOOKBACK_DAYS, WINDOWS
 
 
@@ -165,5 +165,5 @@ join {portfolios}_value en on en.scenario_id = e.scenario_id and en.portfolio_id
     ]
 
 
-__all__ = ["with_ctes", "features_sql", "base_ctes", "bh_ctes", "lookback_ctes", "variance_pairwise_ctes",
+__all__ = ["SQL_PANEL_RAW", "with_ctes", "features_sql", "base_ctes", "bh_ctes", "lookback_ctes", "variance_pairwise_ctes",
            "shares_ctes", "value_ctes", "roi_ctes", "sql_draw", "sql_draw_mod"]

@@ -545,3 +545,194 @@ def q_immigrants(spark, sf_dir):
 def q_next_generation(spark, sf_dir):
     g = _Gen0(spark, sf_dir)
     return rounded(search.generation_step(g.pop, g.fit(), g.scen, g.iu, 0), POP_ROUND)
+
+
+# ---------------------------------------------------------- sources and sinks
+
+from basketry.operators import backtest  # noqa: E402
+from basketry.session import scratch_path  # noqa: E402
+from basketry.sources import csv as csvsrc  # noqa: E402
+from basketry.sources import fixtures as fx_mod  # noqa: E402
+from basketry.sources import parquet as pq  # noqa: E402
+from basketry.sources import sinks  # noqa: E402
+from basketry.sources.schemas import ASSET_CSV, FX_CSV  # noqa: E402
+
+RAW_SQL = ("select dt, adj_close as open, high, low, adj_close as close, adj_close, volume, symbol, index_name, currency "
+           "from panel_raw")
+
+
+@query("read_asset_csv", O.with_ctes([("panel_raw", SQL_PANEL_RAW)], RAW_SQL))
+def q_read_asset_csv(spark, sf_dir):
+    """Asset rows written as ';' CSV and read back with the declared schema."""
+    path = scratch_path(spark, "assets-csv")
+    csvsrc.write_asset_csv(fx_mod.panel_raw(spark, sf_dir), path)
+    return csvsrc.read_asset_csv(spark, path)
+
+
+@query("read_fx_csv", """
+select cast(date_trunc('week', o_orderdate) as date) as dt,
+       cast(sum(cast(round(o_totalprice * 100) as bigint)) as double) / cast(count(*) as double) / cast(25000000 as double) as open,
+       cast(sum(cast(round(o_totalprice * 100) as bigint)) as double) / cast(count(*) as double) / cast(25000000 as double) as high,
+       cast(sum(cast(round(o_totalprice * 100) as bigint)) as double) / cast(count(*) as double) / cast(25000000 as double) as low,
+       cast(sum(cast(round(o_totalprice * 100) as bigint)) as double) / cast(count(*) as double) / cast(25000000 as double) as close,
+       cast(sum(cast(round(o_totalprice * 100) as bigint)) as double) / cast(count(*) as double) / cast(25000000 as double) as adj_close,
+       cast(count(*) as bigint) as volume, 'USD' as from_ccy, 'EUR' as to_ccy
+from orders group by date_trunc('week', o_orderdate)""")
+def q_read_fx_csv(spark, sf_dir):
+    path = scratch_path(spark, "fx-csv")
+    csvsrc.write_fx_csv(fx_mod.fx_raw(spark, sf_dir), path)
+    return csvsrc.read_fx_csv(spark, path)
+
+
+@query("rejected_rows", O.with_ctes([("panel_raw", SQL_PANEL_RAW)],
+                                     "select symbol, count(*) as n_rejected from panel_raw where index_name <> 'EUROPE' group by symbol"))
+def q_rejected_rows(spark, sf_dir):
+    """Vendor files that write volume as a decimal ("1234.0") fail the 64-bit
+    volume column: here every non-European row.  Rejects counted per symbol."""
+    raw = fx_mod.panel_raw(spark, sf_dir)
+    path = scratch_path(spark, "mixed-csv")
+    vendor = raw.withColumn("volume", F.when(F.col("index_name") == "EUROPE", F.col("volume").cast("string"))
+                            .otherwise(F.format_string("%d.0", F.col("volume"))))
+    csvsrc.write_asset_csv(vendor, path)
+    rej = csvsrc.rejected_rows(spark, path, ASSET_CSV)
+    return rej.groupBy(F.split("line", ";").getItem(7).alias("symbol")).agg(F.count(F.lit(1)).alias("n_rejected"))
+
+
+@query("read_panel_parquet", O.with_ctes([("panel_raw", SQL_PANEL_RAW)],
+                                          "select symbol, dt, adj_close, volume, index_name, currency from panel_raw"))
+def q_read_panel_parquet(spark, sf_dir):
+    path = scratch_path(spark, "panel")
+    pq.write_panel_parquet(fx_mod.panel(spark, sf_dir), path)
+    return pq.read_panel_parquet(spark, path).select("symbol", "dt", "adj_close", "volume", "index_name", "currency")
+
+
+@query("write_panel_parquet", O.with_ctes(BASE, "select year, count(*) as n_rows from features group by year"))
+def q_write_panel_parquet(spark, sf_dir):
+    """Feature panel written partitioned by year; rows per year partition read back."""
+    path = scratch_path(spark, "features")
+    pq.write_panel_parquet(Ctx(spark, sf_dir).features, path)
+    return pq.read_panel_parquet(spark, path).groupBy("year").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("panel_or_build", O.with_ctes(BASE, sql_rounded(FEATURE_COLS, FEATURE_ROUND, "features")))
+def q_panel_or_build(spark, sf_dir):
+    """First call builds the panel from CSV and stores it; the second reads it."""
+    csv_path = scratch_path(spark, "assets-csv")
+    csvsrc.write_asset_csv(fx_mod.panel_raw(spark, sf_dir), csv_path)
+    store = scratch_path(spark, "panel-store")
+    pq.panel_or_build(spark, store, csv_path)
+    again = pq.panel_or_build(spark, store, csv_path)
+    return rounded(again.select(*FEATURE_COLS), FEATURE_ROUND)
+
+
+@query("write_portfolios", O.with_ctes(BASE + O.bh_ctes(), "select scenario_id, count(*) as n_rows from bh group by scenario_id"))
+def q_write_portfolios(spark, sf_dir):
+    """Buy-and-hold portfolios of all scenarios written in one CSV write, read back."""
+    ctx = Ctx(spark, sf_dir)
+    path = scratch_path(spark, "portfolios")
+    sinks.write_portfolios(form.buy_and_hold(ctx.scenarios, ctx.flong), path, "bh")
+    back = spark.read.option("header", "true").schema(
+        "scenario_id bigint, portfolio_id bigint, symbol string, weight double, price double, currency string, mean double"
+    ).csv(f"{path}/run_id=bh")
+    return back.groupBy("scenario_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# ------------------------------------------------------------ ranking, sampling
+
+@query("sample_rows", O.with_ctes(BASE, f"""
+select dt, win, symbol, rk from (
+  select dt, win, symbol, row_number() over (partition by dt, win order by {O.sql_draw('42', 'sample:order', 'dt', 'win', 'symbol')}, symbol) as rk
+  from universe where cast({O.sql_draw('42', 'sample:keep', 'dt', 'win', 'symbol')} as double) / {float(16 ** 15)!r} < 0.25) t
+where rk <= 10"""))
+def q_sample_rows(spark, sf_dir):
+    """A seeded 25 % Bernoulli sample of each formation universe, first ten in seeded order."""
+    from basketry.functions.rng import draw, unit
+    ctx = Ctx(spark, sf_dir)
+    u = slicing.universe(ctx.scenarios, ctx.flong)
+    keys = (F.col("dt"), F.col("win"), F.col("symbol"))
+    kept = u.filter(unit(F.lit(42), "sample:keep", *keys) < 0.25)
+    ranked = slicing.top_k(kept, ["dt", "win"], [draw(F.lit(42), "sample:order", *keys), F.col("symbol")], 10, "rk")
+    return ranked.select("dt", "win", "symbol", F.col("rk").cast("bigint").alias("rk"))
+
+
+_PIVOT_SYMBOLS = [f"N_{k}" for k in range(25)]
+
+
+@query("pivot_returns", O.with_ctes(BASE, "select dt, " + ", ".join(
+        f"round(max(case when symbol = '{s}' then ror_60 end), 6) as {s}" for s in _PIVOT_SYMBOLS) + " from features group by dt"))
+def q_pivot_returns(spark, sf_dir):
+    """dt x symbol matrix of ror_60 for the 25 nation symbols (explicit value list)."""
+    f = Ctx(spark, sf_dir).features.select("symbol", "dt", F.col("ror_60").alias("ror"))
+    p = slicing.pivot_returns(f, _PIVOT_SYMBOLS)
+    return p.select("dt", *[F.round(c, 6).alias(c) for c in _PIVOT_SYMBOLS])
+
+
+@query("sorted_panel", O.with_ctes(BASE, "select symbol, dt, adj_close from prices"))
+def q_sorted_panel(spark, sf_dir):
+    """Prices clustered by symbol and sorted by date within partitions (no global sort)."""
+    return Ctx(spark, sf_dir).prices.repartition("symbol").sortWithinPartitions("symbol", "dt").select("symbol", "dt", "adj_close")
+
+
+# ----------------------------------------------------------- backtests, search loop
+
+def _regime_scenarios(ctx):
+    return ctx.scenarios.withColumn("regime", F.date_format("formation_date", "yyyy"))
+
+
+@query("regime_backtest", _rec(BASE + O.bh_ctes() + OS.unconstrained_ctes() + [
+        ("allp", "select * from bh union all select * from unc")] + O.roi_ctes("allp") + [
+        ("rg", "select scenario_id, strftime(formation_date, '%Y') as regime from scenarios")], """
+select g.regime, r.portfolio_id, r.horizon, count(r.roi) as n, round(avg(r.roi), 6) as avg_roi,
+       round(min(r.roi), 6) as min_roi, round(max(r.roi), 6) as max_roi, round(stddev_samp(r.roi), 6) as std_roi
+from allp_roi r join rg g using (scenario_id) group by g.regime, r.portfolio_id, r.horizon"""))
+def q_regime_backtest(spark, sf_dir):
+    """Buy-and-hold vs random portfolios, ROI per calendar-year regime and horizon."""
+    ctx = Ctx(spark, sf_dir)
+    s = _regime_scenarios(ctx)
+    ports = form.buy_and_hold(s, ctx.flong).unionByName(form.random_unconstrained(s, ctx.flong))
+    r = backtest.regime_backtest(ports, s, ctx.prices, ctx.fx)
+    return rounded(r, {"avg_roi": R6, "min_roi": R6, "max_roi": R6, "std_roi": R6})
+
+
+def _evolved(spark, sf_dir):
+    ctx = Ctx(spark, sf_dir)
+    return search.evolve(ctx.scenarios, ctx.flong)
+
+
+@query("evolve")
+def q_evolve(spark, sf_dir):
+    """The last generation of the search for every scenario (rows: invariants, no oracle)."""
+    return _evolved(spark, sf_dir)[1]
+
+
+@query("optimized")
+def q_optimized(spark, sf_dir):
+    """The optimised portfolio of every scenario (portfolio_id 2)."""
+    return _evolved(spark, sf_dir)[0]
+
+
+@query("fitness_history")
+def q_fitness_history(spark, sf_dir):
+    """Best fitness and seconds per generation for every scenario."""
+    return _evolved(spark, sf_dir)[2]
+
+
+@query("write_run_stats")
+def q_write_run_stats(spark, sf_dir):
+    """The search statistics written in one CSV write and read back."""
+    import time as _t
+    t0 = _t.perf_counter()
+    _, _, hist = _evolved(spark, sf_dir)
+    path = scratch_path(spark, "stats")
+    sinks.write_run_stats(hist, path, "r0", _t.perf_counter() - t0)
+    return spark.read.option("header", "true").schema(
+        "scenario_id bigint, generation int, best_fitness double, runtime_s double, total_s double").csv(f"{path}/run_id=r0")
+
+
+@query("repeat_runs")
+def q_repeat_runs(spark, sf_dir):
+    """The search repeated five times per scenario (own seeds), summarised per scenario."""
+    ctx = Ctx(spark, sf_dir)
+    rep = backtest.repeat_scenarios(ctx.scenarios, 5)
+    best, _, _ = search.evolve(rep, ctx.flong)
+    return backtest.repeat_summary(best, rep)
