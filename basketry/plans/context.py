@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.operators.features import asset_features, features_long, prepare_prices
+from basketry.operators.features import asset_features, features_long
 from basketry.plans.scenarios import scenario_grid
 from basketry.sources import fixtures
 
@@ -15,10 +15,12 @@ from basketry.sources import fixtures
 class Ctx:
     """Lazily built DataFrames for one (session, data folder)."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, **scenario_overrides):
+    def __init__(self, spark: SparkSession, sf_dir: str, features: DataFrame | None = None, **scenario_overrides):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.scenario_overrides = scenario_overrides
+        if features is not None:
+            self.__dict__["features"] = features
 
     @cached_property
     def panel_raw(self) -> DataFrame:
@@ -34,8 +36,9 @@ class Ctx:
 
     @cached_property
     def prices(self) -> DataFrame:
-        """Cleaned, de-duplicated prices (symbol, dt, adj_close, volume, index_name, currency)."""
-        return prepare_prices(self.panel)
+        """Cleaned, de-duplicated prices (symbol, dt, adj_close, volume, index_name, currency):
+        the base columns of the feature panel."""
+        return self.features.select("symbol", "dt", "adj_close", "volume", "index_name", "currency")
 
     @cached_property
     def features(self) -> DataFrame:
@@ -47,7 +50,7 @@ class Ctx:
 
     @cached_property
     def scenarios(self) -> DataFrame:
-        return scenario_grid(self.panel, **self.scenario_overrides)
+        return scenario_grid(self.features, **self.scenario_overrides)
 
 
 def rounded(df: DataFrame, spec: dict[str, int]) -> DataFrame:
