@@ -34,3 +34,17 @@ def rescale_range(x, old_min, old_max, new_min, new_max) -> Column:
 def ratio(num: Column, den: Column) -> Column:
     """num / den, NULL when den is 0 (ANSI mode raises on plain division)."""
     return F.try_divide(num, den)
+
+
+EXACT = "decimal(38,18)"
+
+
+def exact_sum(c) -> Column:
+    """Sum of doubles accumulated as decimal(38,18): independent of row order, so a
+    re-run or another partitioning gives the same bits (a float sum does not)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.sum(c.cast(EXACT))
+
+
+def sql_exact_sum(expr: str) -> str:
+    return f"cast(sum(cast({expr} as {EXACT})) as double)"

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.functions.columns import exact_sum
 from basketry.functions.rng import draw_mod, unit
 from basketry.operators.slicing import indexed_universe, ranked_universe
 from basketry.sources.schemas import WEIGHT_CEILING, WEIGHT_FLOOR
@@ -24,7 +25,7 @@ ATTEMPTS = ATTEMPT_BLOCKS[-1][1]
 
 def normalize_weights(df: DataFrame, keys: list[str], weight: str = "weight") -> DataFrame:
     """weight / sum(weight) within each portfolio (no driver round trip)."""
-    total = F.sum(weight).over(Window.partitionBy(*keys))
+    total = exact_sum(weight).over(Window.partitionBy(*keys)).cast("double")
     return df.withColumn(weight, F.col(weight) / total)
 
 

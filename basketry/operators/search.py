@@ -15,7 +15,7 @@ import time
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.functions.columns import rescale_range
+from basketry.functions.columns import exact_sum, rescale_range
 from basketry.functions.rng import draw, draw_mod
 from basketry.operators import risk
 from basketry.operators.formation import OPTIMIZED, individuals_of, random_constrained
@@ -194,7 +194,8 @@ def crossover(cuts: DataFrame, pop: DataFrame, scenarios: DataFrame, generation:
         fa.filter(F.col("asc_rank") <= rest).select("scenario_id", two.alias("indiv_id"), *cols),
     ]
     kids = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    kids = kids.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("scenario_id", "indiv_id")))
+    total = exact_sum("weight").over(Window.partitionBy("scenario_id", "indiv_id")).cast("double")
+    kids = kids.withColumn("weight", F.col("weight") / total)
     return kids.select("scenario_id", F.lit(generation + 1).alias("generation"),
                        F.col("indiv_id").cast("bigint").alias("indiv_id"), *cols)
 

@@ -120,7 +120,8 @@ from ucfl f join uc1 u using (scenario_id) where f.j = f.m"""),
         ("unc", f"""
 select p.scenario_id, cast(1 as bigint) as portfolio_id, i.symbol,
        (cast({sql_draw('p.seed', 'unc:weight', 'p.scenario_id', 'p.slot')} as {D}) / {DRAW_SPAN!r})
-         / sum(cast({sql_draw('p.seed', 'unc:weight', 'p.scenario_id', 'p.slot')} as {D}) / {DRAW_SPAN!r}) over (partition by p.scenario_id) as weight,
+         / cast(sum(cast(cast({sql_draw('p.seed', 'unc:weight', 'p.scenario_id', 'p.slot')} as {D}) / {DRAW_SPAN!r} as decimal(38,18)))
+                over (partition by p.scenario_id) as double) as weight,
        i.adj_close as price, i.currency, i.mean
 from ucpos p join iu i on i.dt = p.dt and i.win = p.win and i.pos = p.pos"""),
     ]
@@ -220,7 +221,8 @@ from cuts c join scenarios s using (scenario_id) join hold2 h on h.scenario_id =
 where h.asc_rank <= s.n_assets - c.cut"""),
         ("kids", f"""
 select scenario_id, cast({gen + 1} as integer) as generation, cast(indiv_id as bigint) as indiv_id, symbol,
-       weight / sum(weight) over (partition by scenario_id, indiv_id) as weight, price, currency, mean
+       weight / cast(sum(cast(weight as decimal(38,18))) over (partition by scenario_id, indiv_id) as double) as weight,
+       price, currency, mean
 from kids0"""),
         ("mflag", f"""
 select c.*, s.seed, s.mutation_rate, s.n_assets, s.formation_date as dt, s.win,

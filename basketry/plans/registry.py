@@ -181,7 +181,7 @@ def q_buy_and_hold(spark, sf_dir):
 
 
 @query("normalize_weights", O.with_ctes(BASE + O.bh_ctes(), """
-select scenario_id, symbol, round(mean / sum(mean) over (partition by scenario_id), 6) as weight
+select scenario_id, symbol, round(mean / cast(sum(cast(mean as decimal(38,18))) over (partition by scenario_id) as double), 6) as weight
 from bh"""))
 def q_normalize_weights(spark, sf_dir):
     """Buy-and-hold holdings re-weighted in proportion to their mean return."""
@@ -192,7 +192,7 @@ def q_normalize_weights(spark, sf_dir):
 
 @query("weights_valid", O.with_ctes(BASE + O.bh_ctes(), """
 select scenario_id, bool_and(w between 0.01 and 0.25) as valid
-from (select scenario_id, mean / sum(mean) over (partition by scenario_id) as w from bh) t
+from (select scenario_id, mean / cast(sum(cast(mean as decimal(38,18))) over (partition by scenario_id) as double) as w from bh) t
 group by scenario_id"""))
 def q_weights_valid(spark, sf_dir):
     ctx = Ctx(spark, sf_dir)
