@@ -94,7 +94,7 @@ def roulette_tickets(parents: DataFrame, scenarios: DataFrame) -> DataFrame:
     "linear" fitness is first mapped [-10000, 10000] -> [1, 10000] as in the
     reference; "return" fitness is shifted so the smallest is at least 0 (a
     negative value would break the cumulative scan).  Every parent gets one
-    extra ticket, so each has a non-empty interval."""
+    extra ticket, so each has a non-empty interval; weights below 0 count as 0."""
     s = scenarios.select("scenario_id", "fitness_type")
     p = parents.join(s, "scenario_id")
     w_all = Window.partitionBy("scenario_id")
@@ -102,12 +102,36 @@ def roulette_tickets(parents: DataFrame, scenarios: DataFrame) -> DataFrame:
     v = F.when(F.col("fitness_type") == "linear",
                rescale_range(F.col("fitness"), ROULETTE_OLD[0], ROULETTE_OLD[1], ROULETTE_NEW[0], ROULETTE_NEW[1])
                ).otherwise(shifted)
-    p = p.withColumn("tickets", F.coalesce(F.floor(v * F.lit(float(TICKETS_PER_UNIT))).cast("bigint"), F.lit(0)) + 1)
+    # clamp at 0: "linear" fitness below -10000 maps below the new range (no clamping in the map itself)
+    raw = F.greatest(F.floor(v * F.lit(float(TICKETS_PER_UNIT))).cast("bigint"), F.lit(0).cast("bigint"))
+    p = p.withColumn("tickets", F.coalesce(raw, F.lit(0).cast("bigint")) + 1)
     w = Window.partitionBy("scenario_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     p = p.withColumn("hi", F.sum("tickets").over(w)).withColumn("lo", F.col("hi") - F.col("tickets"))
     return p.withColumn("total", F.sum("tickets").over(w_all)).drop("fitness_type")
 
 
+def _bucketed(t: DataFrame) -> DataFrame:
+    """Parents' ticket intervals cut into buckets of width ceil(total / n_parents).
+
+    Each parent spans at most tickets/width + 2 buckets, so a scenario has at
+    most 3 x n_parents bucket rows, and a draw finds its parent by an
+    equi-join on (scenario, bucket) plus the interval test: O(pop), not
+    O(pop^2), per scenario."""
+    n_par = F.count(F.lit(1)).over(Window.partitionBy("scenario_id"))
+    t = t.withColumn("width", F.greatest(F.ceil(F.col("total") / n_par), F.lit(1)).cast("bigint"))
+    first, last = F.floor(F.col("lo") / F.col("width")), F.floor((F.col("hi") - 1) / F.col("width"))
+    return t.withColumn("bucket", F.explode(F.sequence(first, last)))
+
+
+def _pick(draws: DataFrame, buckets: DataFrame, u: str, out: str) -> DataFrame:
+    b = buckets.select(F.col("scenario_id").alias("_s"), F.col("bucket").alias("_b"), F.col("indiv_id").alias(out),
+                       F.col("lo").alias(f"lo_{out}"), F.col("hi").alias(f"hi_{out}"), F.col("tickets").alias(f"t_{out}"))
+    d = draws.withColumn("_db", F.floor(F.col(u) / F.col("width")))
+    j = d.join(b, (F.col("scenario_id") == F.col("_s")) & (F.col("_db") == F.col("_b"))
+               & (F.col(u) >= F.col(f"lo_{out}")) & (F.col(u) < F.col(f"hi_{out}")))
+    return j.drop("_s", "_b", "_db")
+
+
 def roulette_pairs(parents: DataFrame, scenarios: DataFrame, generation: int) -> DataFrame:
     """scenario_id, pair, indiv_a, indiv_b: z+1 fitness-proportional pairs per scenario.
 
@@ -115,24 +139,19 @@ def roulette_pairs(parents: DataFrame, scenarios: DataFrame, generation: int) ->
     is drawn on [0, total); B on [0, total - tickets_A) with A's interval
     skipped: the distribution of "redraw until B != A", without the loop."""
     t = roulette_tickets(parents, scenarios).select("scenario_id", "indiv_id", "lo", "hi", "tickets", "total")
-    totals = t.select("scenario_id", "total").distinct()
+    buckets = _bucketed(t)
+    totals = buckets.select("scenario_id", "total", "width").distinct()
     s = scenarios.select("scenario_id", "seed", "pop_size")
     sel = F.col("pop_size") - F.floor(F.col("pop_size") * F.lit(SELECTION_THRESHOLD))
     z = F.floor((sel - 1) / 2).cast("int")
     pairs = s.join(totals, "scenario_id").select(
-        "scenario_id", "seed", "total", F.explode(F.sequence(F.lit(0), z)).alias("pair"))
+        "scenario_id", "seed", "total", "width", F.explode(F.sequence(F.lit(0), z)).alias("pair"))
     g = F.lit(generation)
     pairs = pairs.withColumn("u_a", F.pmod(draw(F.col("seed"), "pair:a", F.col("scenario_id"), g, F.col("pair")), F.col("total")))
-    ta = t.select(F.col("scenario_id").alias("_sa"), F.col("indiv_id").alias("indiv_a"), F.col("lo").alias("lo_a"),
-                  F.col("hi").alias("hi_a"), F.col("tickets").alias("t_a"))
-    pa = pairs.join(ta, (F.col("scenario_id") == F.col("_sa")) & (F.col("u_a") >= F.col("lo_a"))
-                    & (F.col("u_a") < F.col("hi_a"))).drop("_sa")
-    u_b = F.pmod(draw(F.col("seed"), "pair:b", F.col("scenario_id"), g, F.col("pair")), F.col("total") - F.col("t_a"))
-    pa = pa.withColumn("u_b", F.when(u_b >= F.col("lo_a"), u_b + F.col("t_a")).otherwise(u_b))
-    tb = t.select(F.col("scenario_id").alias("_sb"), F.col("indiv_id").alias("indiv_b"),
-                  F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
-    pb = pa.join(tb, (F.col("scenario_id") == F.col("_sb")) & (F.col("u_b") >= F.col("lo_b"))
-                 & (F.col("u_b") < F.col("hi_b"))).drop("_sb")
+    pa = _pick(pairs, buckets, "u_a", "indiv_a")
+    u_b = F.pmod(draw(F.col("seed"), "pair:b", F.col("scenario_id"), g, F.col("pair")), F.col("total") - F.col("t_indiv_a"))
+    pa = pa.withColumn("u_b", F.when(u_b >= F.col("lo_indiv_a"), u_b + F.col("t_indiv_a")).otherwise(u_b))
+    pb = _pick(pa, buckets, "u_b", "indiv_b")
     return pb.select("scenario_id", F.col("pair").cast("int").alias("pair"), "indiv_a", "indiv_b")
 
 

@@ -162,9 +162,9 @@ select p.*, cast(floor(case when s.fitness_type = 'linear'
                  * cast(1000000.0 as {D})) as bigint) as t0
 from parents p join scenarios s using (scenario_id)"""),
         ("tk", """
-select scenario_id, indiv_id, rank, coalesce(t0, 0) + 1 as tickets,
-       sum(coalesce(t0, 0) + 1) over (partition by scenario_id order by rank rows between unbounded preceding and current row) as hi,
-       sum(coalesce(t0, 0) + 1) over (partition by scenario_id) as total
+select scenario_id, indiv_id, rank, coalesce(greatest(t0, 0), 0) + 1 as tickets,
+       sum(coalesce(greatest(t0, 0), 0) + 1) over (partition by scenario_id order by rank rows between unbounded preceding and current row) as hi,
+       sum(coalesce(greatest(t0, 0), 0) + 1) over (partition by scenario_id) as total
 from tickets"""),
         ("pairs0", """
 select s.scenario_id, s.seed, t.total, unnest(range(0, cast(floor((s.pop_size - floor(s.pop_size * 0.5) - 1) / 2) as bigint) + 1)) as pair

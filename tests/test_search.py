@@ -71,3 +71,18 @@ def test_same_seed_same_rows_under_other_partitioning(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert rows_a == rows_b
+
+
+def test_every_scenario_gets_all_pairs_with_distinct_parents(spark):
+    ctx = Ctx(spark, SF001, n_assets=5, pop_size=12)
+    iu = indexed_universe(ctx.scenarios, ctx.flong)
+    pop = search.init_population(ctx.scenarios, ctx.flong, iu)
+    fit = search.evaluate_population(pop, ctx.scenarios, ctx.flong)
+    parents = search.select_parents(search.rank_population(fit), ctx.scenarios)
+    pairs = search.roulette_pairs(parents, ctx.scenarios, 0)
+    # pop 12: selection 6, z = 2, three pairs per scenario with parents
+    counts = pairs.groupBy("scenario_id").count().select("count").distinct().collect()
+    assert [r["count"] for r in counts] == [3]
+    assert pairs.filter(F.col("indiv_a") == F.col("indiv_b")).count() == 0
+    n_with_parents = parents.select("scenario_id").distinct().count()
+    assert pairs.select("scenario_id").distinct().count() == n_with_parents
