@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import licenses, sharding
+from basketry.llm import licenses, mixing, packing, quality, sharding, simhash, topk
 from basketry.llm.common import read_table
 
 
@@ -18,11 +18,33 @@ def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.feistel_shards(read_table(spark, sf_dir, "documents"))
 
 
+def op4_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read_table(spark, sf_dir, "documents"))
+
+
+def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_topk(read_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
+def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
+
+
+def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_license_scans": op1_license_scans,
-    "op5_feistel_sharding": op5_feistel_sharding,
+    f.__name__: f for f in (
+        op1_license_scans, op4_bin_slack_packing, op5_feistel_sharding, op6_entropy_mixing, op8_exact_topk,
+        op9_simhash_components, op10_weak_quality)
 }
 SQL: dict[str, str] = {
     "op1_license_scans": licenses.oracle_sql(),
     "op5_feistel_sharding": sharding.oracle_sql(),
+    "op8_exact_topk": topk.oracle_sql(),
 }
