@@ -147,7 +147,7 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, start:
         table /= table.sum(2, keepdims=True)
         for v, side in ((BAD, 1), (GOOD, 0)):  # a vote that speaks for the other class counts as saying nothing
             wrong = table[:, side, v] > table[:, 1 - side, v]
-            pooled = weight.sum(1) / weight.sum()
+            pooled = (weight.sum(1) + 1) / (weight.sum() + 2)
             table[wrong, :, v] = (table[wrong, :, v] @ pooled)[:, None]
         logs = np.log(np.array([1 - prior, prior]))[:, None] + sum(np.log(table[r][:, votes[:, r]]) for r in range(rules))
         before, good = good, 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
