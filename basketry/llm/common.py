@@ -50,11 +50,11 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
 
 
 def map_rows(df: DataFrame, columns: list[str], func: Callable[[list[list]], list[list]], schema: str,
-             types: list[pa.DataType], names: list[str]) -> DataFrame:
+             types: list[pa.DataType], names: list[str], rows: int = SLICE) -> DataFrame:
     """``func`` gets lists of column values of a slice and returns lists of output columns, same rows."""
 
     def run(batches):
-        for part in sliced(batches):
+        for part in sliced(batches, rows):
             out = func([c.to_pylist() for c in part.columns])
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=names)
 

@@ -29,7 +29,7 @@ MOST = 2
 NEWTON_STEPS = 60
 CORRECTIONS = 40
 #: Documents of one class that a task ranks; larger classes are dealt out over more buckets.
-CLASS_ROWS = 2_000
+CLASS_ROWS = 256
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import licenses, mixing, packing, quality, sharding, simhash, topk
+from basketry.llm import licenses, mixing, packing, pii, quality, secrets, sharding, simhash, topk, toxicity
 from basketry.llm.common import read_table
 
 
@@ -18,6 +18,15 @@ def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.feistel_shards(read_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.toxicity_scores(docs, toxicity.trained(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(read_table(spark, sf_dir, "documents"))
+
+
 def op4_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read_table(spark, sf_dir, "documents"))
 
@@ -26,6 +35,11 @@ def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op7_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pii.pii_scan(docs, pii.trained(docs))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(read_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
@@ -40,8 +54,8 @@ def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_license_scans, op4_bin_slack_packing, op5_feistel_sharding, op6_entropy_mixing, op8_exact_topk,
-        op9_simhash_components, op10_weak_quality)
+        op1_license_scans, op2_toxicity_crf, op3_secret_scans, op4_bin_slack_packing, op5_feistel_sharding, op6_entropy_mixing,
+        op7_pii_semi_markov, op8_exact_topk, op9_simhash_components, op10_weak_quality)
 }
 SQL: dict[str, str] = {
     "op1_license_scans": licenses.oracle_sql(),
