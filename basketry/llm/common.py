@@ -59,3 +59,28 @@ def map_rows(df: DataFrame, columns: list[str], func: Callable[[list[list]], lis
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=names)
 
     return df.select(*columns).mapInArrow(run, schema)
+
+
+def rewrite_rows(df: DataFrame, text_col: str, func: Callable[[list], tuple[list | None, list | None]], rows: int = SLICE,
+                 lengths: str | None = None) -> DataFrame:
+    """All columns of ``df`` with texts replaced or rows dropped.
+
+    ``func`` gets the texts of a slice and returns (new texts or None, keep
+    flags or None).  ``lengths`` names a column that holds the text's length
+    in characters and follows a replaced text.
+    """
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for part in sliced(batches, rows):
+            texts, keep = func(part.column(at).to_pylist())
+            if texts is not None:
+                columns = list(part.columns)
+                columns[at] = pa.array(texts, part.schema.field(at).type)
+                if lengths in part.schema.names:
+                    i = part.schema.get_field_index(lengths)
+                    columns[i] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(part.schema.field(i).type)
+                part = pa.RecordBatch.from_arrays(columns, schema=part.schema)
+            yield part if keep is None else part.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -200,3 +200,27 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST
     out = out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies",
                      F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("_i"))
     return out.drop("_i")
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 42,
+                    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Every document as often as the mix takes it, all columns as they are.
+
+    Copies are found on slim rows (a hash of id and text, source, size) and
+    joined to the documents once.  Equal rows are one document with the copies
+    of all of them, so a hot row is folded before it is multiplied.
+    """
+    key = F.xxhash64(docs[id_col], docs[text_col])
+    wide = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("_key"),
+                       docs[source_col].cast("string").alias("_source"), n_words(docs[text_col]).alias("_size"))
+    slim = wide.select(F.col("_key").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"))
+    taken = mixed(slim, weights, share, most, seed).groupBy("doc_id", "source", "size").agg(
+        F.sum("repeats").alias("m"), F.sum(F.col("repeats") * F.col("copies")).alias("total"))
+    taken = staged(taken.select(F.col("doc_id").alias("k"), F.col("source").alias("s"), F.col("size").alias("z"), "m", "total"), "mix-taken")
+    on = (F.col("_key") == F.col("k")) & (F.col("_size") == F.col("z")) & F.col("_source").eqNullSafe(F.col("s"))
+    out = wide.join(taken.where("m = 1 and total > 0"), on)
+    several = taken.where("m > 1 and total > 0")
+    if not several.isEmpty():
+        once = wide.join(several, on).dropDuplicates(["_key", "_source", "_size"])
+        out = out.unionByName(once)
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("total"))).alias("_i")).select("row.*")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import map_rows
+from basketry.llm.common import map_rows, rewrite_rows
 
 KINDS = ("email", "ip", "card", "phone")
 #: Longest segment, in units and in digit groups: entities are bounded, so the recursion is linear in the text.
@@ -386,3 +386,9 @@ def pii_scan(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"]
     schema = f"doc_id {kind.simpleString()}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long"
     return map_rows(slim, ["doc_id", "text"], run, schema, [to_arrow_type(kind), *[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()], names)
+
+
+def redacted(docs: DataFrame, model: dict, text_col: str = "text", lengths: str | None = "n_chars") -> DataFrame:
+    """All rows and columns, each span of the text replaced by its kind; a column of text lengths follows. Null texts stay null."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return rewrite_rows(docs, text_col, lambda texts: ([redact(t, sent.value) for t in texts], None), lengths=lengths)

@@ -228,3 +228,33 @@ def simhash_components(docs: DataFrame, shingle: int = 3, bits: int = 3, split:
     by_fp = rooted.join(smallest, "root").select("fp", "component_id")
     out = prints.join(by_fp, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, bits: int = 3, split: int = SPLIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of every component, all columns as they are: that of the smallest id (nulls last), then text hash.
+
+    Components are found on (id, text hash, fingerprint); the documents are
+    read once more and lose the others by an anti join on id and hash.  Of
+    equal rows one stays.
+    """
+    mark = F.xxhash64(docs[text_col])
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    prints = staged(fingerprints(rows.select(F.struct("doc_id", F.xxhash64("text").alias("mark")).alias("doc_id"), "text"), shingle), "fingerprints")
+    prints = prints.select("doc_id.doc_id", "doc_id.mark", "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("mark").alias("m"))
+    distinct = staged(prints.groupBy("fp").agg(F.min(order).alias("least")), "distinct-fingerprints")
+    roots = components(_links(distinct.select("fp"), bits, distinct.count(), split, pivots()))
+    rooted = distinct.join(roots.withColumnRenamed("a", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    keeper = rooted.groupBy("root").agg(F.min("least").alias("keeper"))
+    by_fp = rooted.join(keeper, "root").select("fp", "keeper")
+    seen = prints.join(by_fp, "fp").groupBy("doc_id", "mark").agg(F.first("keeper").alias("keeper"), F.count("*").alias("n"))
+    is_keeper = F.col("doc_id").eqNullSafe(F.col("keeper.d")) & (F.col("mark") == F.col("keeper.m"))
+    seen = staged(seen.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "n", is_keeper.alias("keep")), "kept-or-not")
+    wide = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("_id"), mark.alias("_mark"))
+    on = F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_mark") == F.col("_m"))
+    out = wide.join(seen.where("not keep"), on, "left_anti")
+    several = seen.where("keep and n > 1")
+    if not several.isEmpty():
+        once = out.join(several, on, "left_semi").dropDuplicates(["_id", "_mark"])
+        out = out.join(several, on, "left_anti").unionByName(once)
+    return out.select("row.*")

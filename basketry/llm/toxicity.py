@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import map_rows
+from basketry.llm.common import map_rows, rewrite_rows
 
 #: Bounds of the training sample: labelled documents of each class, and the length above which one isn't used.
 MAX_DOCS = 2_000
@@ -154,7 +154,7 @@ def _markers(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
 def fit(texts: list[str], toxic: list[int], rounds: int = ROUNDS) -> dict:
     """The model: {weights: feature -> weight, bias, trans, doc}. No toxic or no clean document: a constant score."""
     y = np.array(toxic, bool)
-    share = (y.sum() + 1) / (len(y) + 2)
+    share = min((y.sum() + 1) / (len(y) + 2), 0.49)  # without evidence no text is rejected
     empty = {"weights": {}, "bias": -20.0, "trans": np.ones((2, 2)), "doc": np.array([0.0, 0.0, np.log(share / (1 - share))])}
     if not y.any() or y.all():
         return empty
@@ -340,3 +340,16 @@ def toxicity_scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_c
 
 def trained(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> dict:
     return fit(*training_sample(docs, labels, max_docs, max_chars))
+
+
+def without_toxic(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """The rows whose text scores below 0.5, all columns as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    scorer: list[Scorer] = []
+
+    def judged(texts):
+        if not scorer:
+            scorer.append(Scorer(sent.value))
+        return None, [s < 0.5 for s in scorer[0].score(texts)[0]]
+
+    return rewrite_rows(docs, text_col, judged, ROWS)
