@@ -42,6 +42,18 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
 
 
+def hashed_sample(rows: DataFrame, key: Column, total: int, wanted: int, seed: int = 11) -> DataFrame:
+    """About ``wanted`` of ``total`` rows: those whose key hashes below a threshold.
+
+    Each task keeps its share, so what reaches a sort or the driver afterwards
+    does not grow with the number of tasks.  Rows with equal keys stay together.
+    """
+    if total <= wanted:
+        return rows
+    span = 1 << 32
+    return rows.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(span)) < F.lit(wanted * span // total))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches cut into short slices, so that few texts are Python objects at once."""
     for batch in batches:

@@ -26,14 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import map_rows, rewrite_rows
+from basketry.llm.common import hashed_sample, map_rows, rewrite_rows
 
 KINDS = ("email", "ip", "card", "phone")
 #: Longest segment, in units and in digit groups: entities are bounded, so the recursion is linear in the text.
 MAX_UNITS = 24
 MAX_GROUPS = 6
-#: Bounds of the training sample: texts, characters of one, regions of each label and all of them.
-MAX_DOCS = 4_000
+#: Bounds of the training sample: texts with candidates, texts they are looked for in, characters of one, regions of a label.
+MAX_DOCS = 2_000
+SAMPLE_TEXTS = 40_000
 MAX_CHARS = 20_000
 MAX_REGIONS = 200
 ROUNDS = 60
@@ -353,11 +354,12 @@ def redact(text: str | None, model: dict) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def training_sample(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, text_col: str = "text") -> list[str]:
-    """At most ``max_docs`` distinct texts with a long number or an at sign, by a hash of the text."""
-    t = docs.select(docs[text_col].cast("string").alias("t")).where((F.length("t") <= max_chars) & F.col("t").rlike("[0-9][0-9 ().-]{5,}[0-9]|@"))
-    picked = t.select("t", F.xxhash64("t").alias("h")).sort("h", "t").limit(2 * max_docs)
-    return list(dict.fromkeys(r["t"] for r in picked.sort("h", "t").collect()))[:max_docs]
+def training_sample(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, texts: int = SAMPLE_TEXTS, text_col: str = "text") -> list[str]:
+    """At most ``max_docs`` distinct texts with a long number or an at sign, out of a hash sample of about ``texts`` texts."""
+    t = docs.select(docs[text_col].cast("string").alias("t"))
+    t = hashed_sample(t, F.col("t"), docs.count(), texts).where((F.length("t") <= max_chars) & F.col("t").rlike("[0-9][0-9 ().-]{5,}[0-9]|@"))
+    picked = t.select("t", F.xxhash64("t").alias("h")).distinct().sort("h", "t").limit(max_docs)
+    return [r["t"] for r in picked.collect()]
 
 
 def trained(docs: DataFrame, text_col: str = "text", **bounds) -> dict:

@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import map_rows, rewrite_rows
+from basketry.llm.common import hashed_sample, map_rows, rewrite_rows
 
 #: Bounds of the training sample: labelled documents of each class, and the length above which one isn't used.
-MAX_DOCS = 2_000
-MAX_CHARS = 20_000
+MAX_DOCS = 1_500
+MAX_CHARS = 10_000
 #: Lengths of prefixes and suffixes that are features.
 AFFIXES = (3, 4, 5, 6)
 ROUNDS = 60
@@ -300,8 +300,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS
     """At most ``max_docs`` labelled, not held-out texts of each class, by a hash of the id; equal texts once."""
     known = labels.select(labels["doc_id"], labels["toxic"].cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
-    lot = F.xxhash64(F.lit(11), "doc_id")
-    some = [known.where(F.col("toxic") == c).sort(lot, "doc_id").limit(max_docs) for c in (1, 0)]
+    lot, some = F.xxhash64(F.lit(11), "doc_id"), []
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    for c in (1, 0):
+        of_class = hashed_sample(known.where(F.col("toxic") == c), F.col("doc_id"), counts.get(c, 0), max_docs + max_docs // 4)
+        some.append(of_class.sort(lot, "doc_id").limit(max_docs))
     # at most 2 * max_docs rows: small by construction
     picked = F.broadcast(some[0].unionByName(some[1]).select(F.col("doc_id").alias("_id"), "toxic"))
     texts = docs.select(docs["doc_id"].alias("_doc"), docs["text"].alias("_text")).join(picked, F.col("_doc") == F.col("_id"))
