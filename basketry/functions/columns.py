@@ -36,6 +36,11 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num, den)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, also where the body reads it inside other lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 EXACT = "decimal(38,18)"
 
 

@@ -2,30 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.operators.valuation import roi_horizons
+from basketry.operators import formation, search
+from basketry.operators.valuation import portfolio_roi
+from basketry.session import stage_scratch
+from basketry.sources.schemas import BASE_CURRENCY
 
+# Days after formation at which a regime's portfolios are valued, beside its end.
+REGIME_STEPS = (7, 14, 31, 92, 183, 274)
 
-def regime_backtest(portfolios: DataFrame, scenarios: DataFrame, prices: DataFrame, fx: DataFrame) -> DataFrame:
-    """regime, portfolio_id (strategy), horizon: n, avg/min/max/stddev of ROI.
 
-    ``scenarios`` carries a ``regime`` label; every strategy's portfolios of
-    every scenario are valued at every horizon in one job."""
-    r = roi_horizons(portfolios, scenarios, prices, fx)
-    lab = scenarios.select("scenario_id", "regime")
-    return (r.join(lab, "scenario_id").groupBy("regime", "portfolio_id", "horizon")
-             .agg(F.count("roi").alias("n"), F.avg("roi").alias("avg_roi"), F.min("roi").alias("min_roi"),
-                  F.max("roi").alias("max_roi"), F.stddev_samp("roi").alias("std_roi")))
+def regime_scenarios(scenarios: DataFrame, regimes: DataFrame) -> DataFrame:
+    """The scenarios formed on a regime's first trading day: its first formation
+    date on or after ``start`` (``regimes``: regime, start_date, end_date; a small report table).
+    Adds regime and its end_date.  scenario ids stay unique: a scenario that
+    opens two regimes counts for the first by name."""
+    s = scenarios.join(F.broadcast(regimes), F.col("formation_date").between(F.col("start_date"), F.col("end_date")))
+    first = s.groupBy("regime").agg(F.min("formation_date").alias("formation_date"))
+    s = s.join(first, ["regime", "formation_date"])
+    return s.withColumn("_n", F.row_number().over(Window.partitionBy("scenario_id").orderBy("regime"))).filter("_n = 1").drop("_n", "start_date")
+
+
+def regime_dates(scenarios: DataFrame, steps=REGIME_STEPS) -> DataFrame:
+    """scenario_id, end_date: fixed days after formation that lie within the regime, and its end."""
+    days = F.array(*[F.date_add("formation_date", int(d)) for d in steps], F.col("end_date"))
+    return (scenarios.select("scenario_id", F.col("end_date").alias("_last"), F.explode(days).alias("end_date"))
+            .filter(F.col("end_date") <= F.col("_last")).drop("_last").distinct())
+
+
+def strategies(scenarios: DataFrame, flong: DataFrame) -> DataFrame:
+    """Buy-and-hold (0), unconstrained random (1) and optimised (2) portfolios of the same scenarios, staged once."""
+    fixed = formation.buy_and_hold(scenarios, flong).unionByName(formation.random_unconstrained(scenarios, flong))
+    best, _, _ = search.evolve(scenarios, flong)
+    return stage_scratch(fixed.unionByName(best), "strategies")
+
+
+def regime_backtest(portfolios: DataFrame, scenarios: DataFrame, prices: DataFrame, fx: DataFrame,
+                    base: str = BASE_CURRENCY) -> DataFrame:
+    """regime, portfolio_id (strategy), scenario_id, end_date, start_value, end_value, roi.
+
+    ``scenarios`` as :func:`regime_scenarios` gives them; every strategy's
+    portfolio is valued at every end date of its regime in one job."""
+    r = portfolio_roi(portfolios, scenarios, prices, fx, regime_dates(scenarios), base)
+    return r.join(scenarios.select("scenario_id", "regime"), "scenario_id").select(
+        "regime", "portfolio_id", "scenario_id", "end_date", "start_value", "end_value", "roi")
 
 
 def repeat_scenarios(scenarios: DataFrame, runs: int) -> DataFrame:
-    """Each scenario repeated ``runs`` times with its own seed; base_id keeps the origin."""
+    """Each scenario repeated ``runs`` times with its own id and seed; base_id keeps the origin."""
     r = scenarios.select("*", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
     return (r.withColumn("base_id", F.col("scenario_id"))
-             .withColumn("scenario_id", F.col("scenario_id") * 100 + F.col("run"))
-             .withColumn("seed", F.col("seed") * 1000 + F.col("run")))
+             .withColumn("scenario_id", F.col("scenario_id") * runs + F.col("run"))
+             .withColumn("seed", F.col("seed") * runs + F.col("run")))
 
 
 def repeat_summary(best: DataFrame, rep_scenarios: DataFrame) -> DataFrame:

@@ -33,6 +33,13 @@ def collapse_duplicates(prices: DataFrame) -> DataFrame:
             .select("symbol", "dt", "b.adj_close", "b.volume", "b.index_name", "b.currency"))
 
 
+def duplicate_rows(raw: DataFrame) -> DataFrame:
+    """symbol, dt, n_removed: what :func:`collapse_duplicates` takes out of raw rows
+    (the counterpart of ``rejected_rows`` for rows that parse but repeat)."""
+    p = raw.select(clean_symbol("symbol").alias("symbol"), "dt").groupBy("symbol", "dt").agg(F.count(F.lit(1)).alias("n"))
+    return p.filter("n > 1").select("symbol", "dt", (F.col("n") - 1).alias("n_removed"))
+
+
 def rate_of_return(k: int, price: str = "adj_close") -> Column:
     """(p - lag(p, k)) / lag(p, k) * 100; NULL where the lag is missing or 0."""
     lagged = F.lag(price, k).over(_by_symbol())
@@ -50,7 +57,8 @@ def rolling_mean(k: int) -> Column:
 
 
 def prepare_prices(raw: DataFrame, dedupe: bool = True) -> DataFrame:
-    """clean_symbol + prune the OHLC columns (+ optional duplicate collapse)."""
+    """clean_symbol + prune the OHLC columns (+ optional duplicate collapse, which
+    :func:`duplicate_rows` reports)."""
     p = raw.select(clean_symbol("symbol").alias("symbol"), "dt", "adj_close",
                    F.col("volume").cast("bigint").alias("volume"), "index_name", "currency")
     return collapse_duplicates(p) if dedupe else p

@@ -9,24 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.functions.columns import exact_sum
+from basketry.functions.columns import exact_sum, let, ratio
 from basketry.functions.rng import draw_mod, unit
-from basketry.operators.slicing import indexed_universe, ranked_universe
+from basketry.operators.slicing import accepted, indexed_universe, ranked_universe
 from basketry.sources.schemas import WEIGHT_CEILING, WEIGHT_FLOOR
 
 BUY_AND_HOLD, RANDOM_UNCONSTRAINED, OPTIMIZED = 0, 1, 2
 PORTFOLIO_COLS = ["scenario_id", "portfolio_id", "symbol", "weight", "price", "currency", "mean"]
 
-# Attempt blocks for the constrained draw.  ``coalesce`` evaluates its
-# arguments lazily, so later blocks run only for rows the earlier ones missed.
-ATTEMPT_BLOCKS = ((0, 8), (8, 64), (64, 256))
-ATTEMPTS = ATTEMPT_BLOCKS[-1][1]
-
-
 def normalize_weights(df: DataFrame, keys: list[str], weight: str = "weight") -> DataFrame:
-    """weight / sum(weight) within each portfolio (no driver round trip)."""
+    """weight / sum(weight) within each portfolio (no driver round trip); NULL where the sum is 0."""
     total = exact_sum(weight).over(Window.partitionBy(*keys)).cast("double")
-    return df.withColumn(weight, F.col(weight) / total)
+    return df.withColumn(weight, ratio(F.col(weight), total))
 
 
 def weights_valid(df: DataFrame, keys: list[str], lo: float = WEIGHT_FLOOR, hi: float = WEIGHT_CEILING) -> DataFrame:
@@ -37,8 +31,11 @@ def weights_valid(df: DataFrame, keys: list[str], lo: float = WEIGHT_FLOOR, hi:
 def buy_and_hold(scenarios: DataFrame, flong: DataFrame) -> DataFrame:
     """The n_assets symbols with the highest mean at the formation date, weight 1/n.
 
+    Any n_assets >= 1; scenarios with an unknown window or no assets are left
+    out (``validate_scenarios(..., bounded=False, search=False)`` names them).
     Ranks once per (date, window), not once per scenario; scenarios pick
     their first n_assets ranks by an equi-join."""
+    scenarios = accepted(scenarios, bounded=False, search=False)
     ru = ranked_universe(scenarios, flong)
     s = scenarios.select("scenario_id", F.col("formation_date").alias("dt"), "win", "n_assets")
     j = s.join(ru, ["dt", "win"]).filter(F.col("rank") <= F.col("n_assets"))
@@ -64,50 +61,26 @@ def floyd_positions(n: Column, m: Column, seed: Column, purpose: str, *keys: Col
     return F.aggregate(steps, F.array().cast("array<bigint>"), step)
 
 
-def _genes(seed, purpose, n, t, *keys) -> Column:
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: draw_mod(seed, purpose, 1000, *keys, t, k))
-
-
-def _first_bounded(seed: Column, purpose: str, n: Column, keys, lo: float, hi: float) -> Column:
-    """struct(t, g) of the first attempt whose shares g/sum(g) all lie in [lo, hi], or NULL.
-
-    Tested exactly on integers (for the default bounds 100*min(g) >= sum and
-    4*max(g) <= sum).  Each attempt's genes are drawn once, inside a struct,
-    and the test folds over that struct's array; ``coalesce`` runs the later
-    attempt blocks only for rows the earlier ones missed."""
-    lo_num, hi_num = round(1 / lo), round(1 / hi)
-    init = F.struct(F.lit(0).cast("bigint").alias("s"), F.lit(1 << 40).cast("bigint").alias("mn"),
-                    F.lit(-1).cast("bigint").alias("mx"))
-
-    def ok(x):
-        return F.aggregate(
-            x["g"], init,
-            lambda acc, v: F.struct((acc["s"] + v).alias("s"), F.least(acc["mn"], v).alias("mn"),
-                                    F.greatest(acc["mx"], v).alias("mx")),
-            lambda acc: (acc["s"] > 0) & (acc["mn"] * lo_num >= acc["s"]) & (acc["mx"] * hi_num <= acc["s"]))
+def _bounded_weights(g: Column, n: Column, lo: float, hi: float) -> Column:
+    """Weights in [lo, hi] that sum to 1, from integer genes: lo plus a share of
+    the rest by (g + 1), capped at hi, the excess spread over the others in
+    proportion to their headroom.  One pass suffices whenever n*lo <= 1 <= n*hi."""
+    nd = n.cast("double")
 
-    def block(a, b):
-        cand = F.transform(F.sequence(F.lit(a), F.lit(b - 1)),
-                           lambda t: F.struct(t.alias("t"), _genes(seed, purpose, n, t, *keys).alias("g")))
-        return F.try_element_at(F.filter(cand, ok), F.lit(1))
+    def added(xs, term):
+        return F.aggregate(xs, F.lit(0.0), lambda a, x: a + term(x))
 
-    return F.coalesce(*[block(a, b) for a, b in ATTEMPT_BLOCKS])
+    def shared(genes):
+        total = F.aggregate(genes, F.lit(0).cast("bigint"), lambda a, x: a + x + 1).cast("double")
+        return let(total, lambda t: F.transform(genes, lambda x: F.lit(lo) + (F.lit(1.0) - nd * lo) * (x + 1).cast("double") / t))
 
+    def spread(w0):
+        parts = F.struct(added(w0, lambda x: F.greatest(x - hi, F.lit(0.0))).alias("excess"),
+                         added(w0, lambda x: F.lit(hi) - F.least(x, F.lit(hi))).alias("room"))
+        return let(parts, lambda p: F.transform(w0, lambda x: F.least(x, F.lit(hi)) + F.when(
+            p["room"] > 0, p["excess"] * (F.lit(hi) - F.least(x, F.lit(hi))) / p["room"]).otherwise(0.0)))
 
-def _bounded_weights(g: Column, n: Column, repaired: Column, lo: float, hi: float) -> Column:
-    """g/sum(g); for repaired rows the closed form: floor + share of the rest by
-    (g+1), capped at hi, the excess spread over the uncapped in proportion to
-    headroom (one pass suffices whenever n*lo <= 1 <= n*hi)."""
-    s = F.aggregate(g, F.lit(0).cast("bigint"), lambda a, x: a + x).cast("double")
-    plain = F.transform(g, lambda x: x.cast("double") / s)
-    s1 = F.aggregate(g, F.lit(0).cast("bigint"), lambda a, x: a + x + 1).cast("double")
-    nd = n.cast("double")
-    w0 = F.transform(g, lambda x: F.lit(lo) + (F.lit(1.0) - nd * lo) * (x + 1).cast("double") / s1)
-    excess = F.aggregate(w0, F.lit(0.0), lambda a, x: a + F.greatest(x - hi, F.lit(0.0)))
-    capped = F.transform(w0, lambda x: F.least(x, F.lit(hi)))
-    room = F.aggregate(capped, F.lit(0.0), lambda a, x: a + (F.lit(hi) - x))
-    fixed = F.transform(capped, lambda x: x + F.when(room > 0, excess * (F.lit(hi) - x) / room).otherwise(0.0))
-    return F.when(repaired, fixed).otherwise(plain)
+    return let(g, lambda genes: let(shared(genes), spread))
 
 
 def random_constrained(individuals: DataFrame, iu: DataFrame, purpose: str = "init",
@@ -116,35 +89,35 @@ def random_constrained(individuals: DataFrame, iu: DataFrame, purpose: str = "in
 
     ``individuals``: scenario_id, generation, indiv_id, dt, win, n_assets, seed.
     ``iu``: :func:`indexed_universe`.  Returns scenario_id, generation, indiv_id,
-    slot, symbol, weight, price, currency, mean, repaired.  Draw n integer genes
-    0..999 per attempt; the first attempt within the bounds wins; with none in
-    ATTEMPTS, attempt 0 is mapped into the bounds in closed form (repaired).
+    slot, symbol, weight, price, currency, mean.  One rule for every row and
+    every n with n*lo <= 1 <= n*hi: n integer genes 0..999, mapped into the
+    bounds in closed form (no attempts, so the distribution does not change
+    with n).  Individuals outside that range are left out.
     Symbols: min(n, M) distinct positions of the universe by Floyd's method.
     With fewer than n_assets eligible symbols only the first M weights are used
     (they then sum below 1), as in the reference."""
     sizes = iu.select("dt", "win", "m").distinct()
-    ind = individuals.join(sizes, ["dt", "win"])
-    ids = ["scenario_id", "generation", "indiv_id", "dt", "win", "n_assets", "seed"]
+    feasible = F.col("n_assets").between(round(1 / hi), round(1 / lo))
+    ind = individuals.filter(feasible).join(sizes, ["dt", "win"])
     keys = (F.col("scenario_id"), F.col("generation"), F.col("indiv_id"))
     n, seed = F.col("n_assets"), F.col("seed")
+    genes = F.transform(F.sequence(F.lit(0), n - 1), lambda k: draw_mod(seed, purpose + ":gene", 1000, *keys, k))
     # Each stage reads the previous stage's columns more than once, so the
     # optimizer keeps them computed once instead of inlining the draws.
-    s1 = ind.select(*ids, _first_bounded(seed, purpose + ":gene", n, keys, lo, hi).alias("c"),
+    s1 = ind.select("scenario_id", "generation", "indiv_id", "dt", "win", "n_assets", genes.alias("g"),
                     floyd_positions(n, F.col("m"), seed, purpose + ":pos", *keys).alias("positions"))
-    s2 = s1.select(*ids, "positions", F.coalesce(F.col("c.g"), _genes(seed, purpose + ":gene", n, F.lit(0), *keys)).alias("g"),
-                   F.col("c").isNull().alias("repaired"))
-    s3 = s2.select(*ids, "positions", "repaired", _bounded_weights(F.col("g"), n, F.col("repaired"), lo, hi).alias("weights"))
-    ex = s3.select("scenario_id", "generation", "indiv_id", "dt", "win", "repaired", "weights",
-                   F.posexplode("positions").alias("slot", "pos"))
+    s2 = s1.select("scenario_id", "generation", "indiv_id", "dt", "win", "positions",
+                   _bounded_weights(F.col("g"), n, lo, hi).alias("weights"))
+    ex = s2.select("scenario_id", "generation", "indiv_id", "dt", "win", "weights", F.posexplode("positions").alias("slot", "pos"))
     ex = ex.withColumn("weight", F.element_at("weights", F.col("slot") + 1)).drop("weights")
     j = ex.join(iu.select("dt", "win", "pos", "symbol", "mean", "adj_close", "currency"), ["dt", "win", "pos"])
     return j.select("scenario_id", "generation", "indiv_id", F.col("slot").cast("int").alias("slot"),
-                    "symbol", "weight", F.col("adj_close").alias("price"), "currency", "mean", "repaired")
+                    "symbol", "weight", F.col("adj_close").alias("price"), "currency", "mean")
 
 
 def individuals_of(scenarios: DataFrame, generation: int = 0) -> DataFrame:
-    """One row per (scenario, indiv_id in 0..pop_size-1)."""
-    return scenarios.select(
+    """One row per (valid scenario, indiv_id in 0..pop_size-1)."""
+    return accepted(scenarios).select(
         "scenario_id", F.lit(generation).alias("generation"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("pop_size") - 1).cast("bigint"))).alias("indiv_id"),
         F.col("formation_date").alias("dt"), "win", "n_assets", "seed")
@@ -157,7 +130,8 @@ def random_unconstrained(scenarios: DataFrame, flong: DataFrame) -> DataFrame:
     The kept set is a uniform random subset of size min(n, K) with
     K ~ Binomial(M, 1/4); K is drawn by the inverse CDF (only its part
     below n matters), the subset by Floyd's method, so no scenario is
-    paired with the whole universe."""
+    paired with the whole universe.  Any n_assets >= 1."""
+    scenarios = accepted(scenarios, bounded=False, search=False)
     iu = indexed_universe(scenarios, flong)
     sizes = iu.select("dt", "win", "m").distinct()
     s = scenarios.select("scenario_id", F.col("formation_date").alias("dt"), "win", "n_assets", "seed") \

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.operators.slicing import lookback_slice
+from basketry.operators.valuation import portfolio_value
+from basketry.session import stage_scratch
+from basketry.sources.schemas import BASE_CURRENCY
 
 
 def portfolio_return(portfolios: DataFrame, keys: list[str]) -> DataFrame:
@@ -19,70 +22,68 @@ def portfolio_return(portfolios: DataFrame, keys: list[str]) -> DataFrame:
     return portfolios.groupBy(*keys).agg(F.sum(F.col("mean") * F.col("weight")).alias("ret"))
 
 
+def _held_returns(portfolios: DataFrame, scenarios: DataFrame, flong: DataFrame, keys: list[str], store: bool = True) -> DataFrame:
+    """keys, symbol, weight, n_held, dt, ror: every holding with its lookback
+    returns; a holding without any keeps one row with dt NULL.  The holdings are
+    read twice, so they are written once first (``store``: not if they are a
+    stored table already)."""
+    if store:
+        portfolios = stage_scratch(portfolios.select(*keys, "symbol", "weight"), "holdings")
+    rets = lookback_slice(scenarios, flong, portfolios)
+    h = portfolios.select(*keys, "symbol", "weight", F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n_held"))
+    return h.join(rets, ["scenario_id", "symbol"], "left")
+
+
 def holding_returns(portfolios: DataFrame, scenarios: DataFrame, flong: DataFrame, keys: list[str]) -> DataFrame:
     """keys, symbol, weight, dt, ror over each scenario's lookback, complete dates only.
 
     A date is complete for a portfolio when every holding has a return on it."""
-    rets = lookback_slice(scenarios, flong, portfolios)
-    h = portfolios.select(*keys, "symbol", "weight")
-    n_held = h.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_held"))
-    x = h.join(rets, ["scenario_id", "symbol"])
-    ok = (x.groupBy(*keys, "dt").agg(F.count("ror").alias("n_ok"))
-           .join(n_held, keys).filter(F.col("n_ok") == F.col("n_held")).select(*keys, "dt"))
-    return x.join(ok, keys + ["dt"])
+    x = _held_returns(portfolios, scenarios, flong, keys)
+    n_ok = F.count("ror").over(Window.partitionBy(*keys, "dt"))
+    return x.withColumn("n_ok", n_ok).filter("dt is not null and n_ok = n_held").drop("n_ok", "n_held")
 
 
-def portfolio_variance(portfolios: DataFrame, scenarios: DataFrame, flong: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, variance (percent², NULL with fewer than two complete dates), n_dates."""
-    rets = lookback_slice(scenarios, flong, portfolios)
-    h = portfolios.select(*keys, "symbol", "weight")
-    n_held = h.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_held"))
-    per_date = (h.join(rets, ["scenario_id", "symbol"])
-                 .groupBy(*keys, "dt")
-                 .agg(F.sum(F.col("weight") * F.col("ror")).alias("pr"), F.count("ror").alias("n_ok")))
-    complete = per_date.join(n_held, keys).filter(F.col("n_ok") == F.col("n_held"))
-    return complete.groupBy(*keys).agg(F.var_samp("pr").alias("variance"), F.count(F.lit(1)).alias("n_dates"))
-
-
-def _matrix(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, syms (sorted), cov (array of arrays), n_dates from complete-date returns.
-
-    Returns are centred per (portfolio, symbol) in long form first; then one
-    vector per (portfolio, date) and one list of vectors per portfolio.  Per
-    portfolio the arrays are bounded by n_assets (<= 100) and the dates of one
-    lookback (<= 368); pairs exist only in the n x n output."""
-    w = Window.partitionBy(*keys, "symbol")
-    c = rows.select(*keys, "dt", "symbol", (F.col("ror") - F.avg("ror").over(w)).alias("c"))
-    vec = (c.groupBy(*keys, "dt")
-            .agg(F.sort_array(F.collect_list(F.struct("symbol", "c"))).alias("v"))
-            .select(*keys, F.col("v.symbol").alias("syms"), F.col("v.c").alias("r")))
-    agg = vec.groupBy(*keys).agg(F.first("syms").alias("syms"), F.collect_list("r").alias("rs"))
-    m1 = (F.size("rs") - 1).cast("double")
-    idx = F.sequence(F.lit(0), F.size("syms") - 1)
-    cov = F.transform(idx, lambda i: F.transform(idx, lambda j: F.try_divide(
-        F.aggregate("rs", F.lit(0.0), lambda acc, r: acc + r[i] * r[j]), m1)))
-    return agg.select(*keys, "syms", cov.alias("cov"), F.size("rs").alias("n_dates"))
+def _per_date(portfolios: DataFrame, scenarios: DataFrame, flong: DataFrame, keys: list[str], store: bool = True) -> DataFrame:
+    """keys, dt, pr (portfolio return of a complete date, else NULL); dt NULL for a portfolio without returns."""
+    x = _held_returns(portfolios, scenarios, flong, keys, store).groupBy(*keys, "dt").agg(
+        F.sum(F.col("weight") * F.col("ror")).alias("pr"), F.count("ror").alias("n_ok"), F.max("n_held").alias("n_held"))
+    return x.select(*keys, "dt", F.when(F.col("dt").isNotNull() & (F.col("n_ok") == F.col("n_held")), F.col("pr")).alias("pr"))
+
+
+def portfolio_variance(portfolios: DataFrame, scenarios: DataFrame, flong: DataFrame, keys: list[str], store: bool = True) -> DataFrame:
+    """keys, variance (percent², NULL with fewer than two complete dates), n_dates; one row for every portfolio."""
+    d = _per_date(portfolios, scenarios, flong, keys, store)
+    return d.groupBy(*keys).agg(F.var_samp("pr").alias("variance"), F.count("pr").alias("n_dates"))
+
+
+def _pair_measures(portfolios: DataFrame, scenarios: DataFrame, flong: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, symbol_i, symbol_j, cov, corr over complete dates, both halves of the matrix.
+
+    The returns of one (portfolio, date) form one vector; its pairs with
+    symbol_i <= symbol_j are streamed out of it and aggregated, the other half
+    is the mirror image.  No array spans the dates of a portfolio."""
+    r = holding_returns(portfolios, scenarios, flong, keys)
+    vec = r.groupBy(*keys, "dt").agg(F.sort_array(F.collect_list(F.struct("symbol", "ror"))).alias("v"))
+    i = vec.select(*keys, "v", F.posexplode("v").alias("i", "a"))
+    j = i.select(*keys, "a", F.explode(F.slice("v", F.col("i") + 1, F.size("v"))).alias("b"))
+    half = j.groupBy(*keys, F.col("a.symbol").alias("symbol_i"), F.col("b.symbol").alias("symbol_j")).agg(
+        F.covar_samp("a.ror", "b.ror").alias("cov"), F.var_samp("a.ror").alias("vi"), F.var_samp("b.ror").alias("vj"))
+    corr = F.try_divide(F.col("cov"), F.sqrt(F.col("vi") * F.col("vj")))
+    half = half.select(*keys, "symbol_i", "symbol_j", "cov", corr.alias("corr"))
+    sides = F.when(F.col("symbol_i") == F.col("symbol_j"), F.array(F.struct("symbol_i", "symbol_j"))).otherwise(
+        F.array(F.struct("symbol_i", "symbol_j"), F.struct(F.col("symbol_j").alias("symbol_i"), F.col("symbol_i").alias("symbol_j"))))
+    return half.select(*keys, "cov", "corr", F.explode(sides).alias("s")).select(*keys, "s.symbol_i", "s.symbol_j", "cov", "corr")
 
 
 def covariance_matrix(portfolios: DataFrame, scenarios: DataFrame, flong: DataFrame, keys: list[str]) -> DataFrame:
     """keys, symbol_i, symbol_j, cov: sample covariance of the holdings' returns
     over complete dates (NULL with fewer than two dates)."""
-    mx = _matrix(holding_returns(portfolios, scenarios, flong, keys), keys)
-    e = mx.select(*keys, "syms", "cov", F.posexplode("syms").alias("i", "symbol_i"))
-    e = e.select(*keys, "symbol_i", "syms", F.col("cov")[F.col("i")].alias("row"))
-    e = e.select(*keys, "symbol_i", F.arrays_zip(F.col("syms").alias("symbol_j"), F.col("row").alias("cov")).alias("z"))
-    return e.select(*keys, "symbol_i", F.inline("z")).select(*keys, "symbol_i", "symbol_j", "cov")
+    return _pair_measures(portfolios, scenarios, flong, keys).drop("corr")
 
 
 def correlation_matrix(portfolios: DataFrame, scenarios: DataFrame, flong: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, symbol_i, symbol_j, corr (Pearson) from the covariance matrix."""
-    c = covariance_matrix(portfolios, scenarios, flong, keys)
-    d = c.filter(F.col("symbol_i") == F.col("symbol_j")).select(*keys, F.col("symbol_i").alias("s"), F.col("cov").alias("v"))
-    di = d.select(*keys, F.col("s").alias("symbol_i"), F.col("v").alias("vi"))
-    dj = d.select(*keys, F.col("s").alias("symbol_j"), F.col("v").alias("vj"))
-    j = c.join(di, keys + ["symbol_i"]).join(dj, keys + ["symbol_j"])
-    return j.select(*keys, "symbol_i", "symbol_j",
-                    F.try_divide(F.col("cov"), F.sqrt(F.col("vi") * F.col("vj"))).alias("corr"))
+    """keys, symbol_i, symbol_j, corr (Pearson), from the same aggregate as the covariance."""
+    return _pair_measures(portfolios, scenarios, flong, keys).drop("cov")
 
 
 def quadratic_form(portfolios: DataFrame, cov: DataFrame, keys: list[str]) -> DataFrame:
@@ -95,4 +96,15 @@ def quadratic_form(portfolios: DataFrame, cov: DataFrame, keys: list[str]) -> Da
 
 def complete_dates(portfolios: DataFrame, scenarios: DataFrame, flong: DataFrame, keys: list[str]) -> DataFrame:
     """keys, dt: dates on which every holding has a return."""
-    return holding_returns(portfolios, scenarios, flong, keys).select(*keys, "dt").distinct()
+    return _per_date(portfolios, scenarios, flong, keys).filter("pr is not null").select(*keys, "dt")
+
+
+def portfolio_summary(portfolios: DataFrame, scenarios: DataFrame, flong: DataFrame, prices: DataFrame, fx: DataFrame,
+                      base: str = BASE_CURRENCY) -> DataFrame:
+    """scenario_id, portfolio_id, ret, variance, value at formation: one row per portfolio."""
+    keys = ["scenario_id", "portfolio_id"]
+    portfolios = stage_scratch(portfolios, "summary-holdings")
+    r = portfolio_return(portfolios, keys)
+    v = portfolio_variance(portfolios, scenarios, flong, keys, store=False).select(*keys, "variance")
+    w = portfolio_value(portfolios, scenarios, prices, fx, base=base).select(*keys, "value")
+    return r.join(v, keys, "left").join(w, keys, "left")

@@ -15,12 +15,12 @@ import time
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.functions.columns import exact_sum, rescale_range
+from basketry.functions.columns import exact_sum, ratio, rescale_range
 from basketry.functions.rng import draw, draw_mod
 from basketry.operators import risk
 from basketry.operators.formation import OPTIMIZED, individuals_of, random_constrained
-from basketry.operators.slicing import indexed_universe, lookback_dates
-from basketry.session import checkpoint_dir
+from basketry.operators.slicing import accepted, indexed_universe, lookback_bounds
+from basketry.session import remove_path, scratch_path, stage, stage_scratch
 from basketry.sources.schemas import (RETURN_WEIGHT, RISK_WEIGHT, ROULETTE_NEW, ROULETTE_OLD,
                                       SELECTION_THRESHOLD, WEIGHT_CEILING, WEIGHT_FLOOR)
 
@@ -28,7 +28,8 @@ IKEYS = ["scenario_id", "indiv_id"]
 POP_COLS = ["scenario_id", "generation", "indiv_id", "symbol", "weight", "price", "currency", "mean"]
 TICKETS_PER_UNIT = 1_000_000
 MUTATION_TRIES_PER_GENE = 20
-MUTATION_ATTEMPTS = 200          # ten genes x twenty tries, then a fresh portfolio
+MUTATION_DRAWS = 250             # new weights 0..249 thousandths, 0 read as 1
+GENE_TICKETS = 1_000_000_000
 
 
 def init_population(scenarios: DataFrame, flong: DataFrame, iu: DataFrame | None = None) -> DataFrame:
@@ -49,7 +50,7 @@ def fitness_linear(pop: DataFrame, scenarios: DataFrame, flong: DataFrame,
                    a: float = RETURN_WEIGHT, b: float = RISK_WEIGHT) -> DataFrame:
     """scenario_id, indiv_id, ret, variance, fitness = a*ret - b*variance."""
     r = fitness_return(pop)
-    v = risk.portfolio_variance(pop, scenarios, flong, IKEYS).select(*IKEYS, "variance")
+    v = risk.portfolio_variance(pop, scenarios, flong, IKEYS, store=False).select(*IKEYS, "variance")
     j = r.join(v, IKEYS, "left")
     return j.withColumn("fitness", F.col("ret") * F.lit(a) - F.col("variance") * F.lit(b))
 
@@ -57,13 +58,14 @@ def fitness_linear(pop: DataFrame, scenarios: DataFrame, flong: DataFrame,
 def evaluate_population(pop: DataFrame, scenarios: DataFrame, flong: DataFrame,
                         fitness_type: Column | None = None) -> DataFrame:
     """scenario_id, indiv_id, ret, variance, fitness by each scenario's fitness type
-    ("return" or "linear"; others are rejected by validate_scenarios).  The
-    variance is computed only for scenarios that use it."""
+    ("return" or "linear"; scenarios of any other type get no rows, and
+    validate_scenarios names them).  The variance is computed only for scenarios
+    that use it."""
     ft = fitness_type if fitness_type is not None else F.col("fitness_type")
     s = scenarios.select("scenario_id", ft.alias("_ft"))
     tagged = pop.join(s, "scenario_id")
     lin = tagged.filter(F.col("_ft") == "linear").drop("_ft")
-    ret = tagged.filter(F.col("_ft") != "linear").drop("_ft")
+    ret = tagged.filter(F.col("_ft") == "return").drop("_ft")
     a = fitness_linear(lin, scenarios, flong)
     b = fitness_return(ret).select(*IKEYS, "ret", F.lit(None).cast("double").alias("variance"),
                                    F.col("ret").alias("fitness"))
@@ -214,7 +216,7 @@ def crossover(cuts: DataFrame, pop: DataFrame, scenarios: DataFrame, generation:
     ]
     kids = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     total = exact_sum("weight").over(Window.partitionBy("scenario_id", "indiv_id")).cast("double")
-    kids = kids.withColumn("weight", F.col("weight") / total)
+    kids = kids.withColumn("weight", ratio(F.col("weight"), total))
     return kids.select("scenario_id", F.lit(generation + 1).alias("generation"),
                        F.col("indiv_id").cast("bigint").alias("indiv_id"), *cols)
 
@@ -225,56 +227,65 @@ def mutate(children: DataFrame, scenarios: DataFrame, iu: DataFrame, generation:
            lo: float = WEIGHT_FLOOR, hi: float = WEIGHT_CEILING) -> DataFrame:
     """Mutate each child with probability mutation_rate.
 
-    A mutated child re-draws one gene's weight (1..249 thousandths), is
-    renormalised, and is kept when every weight lies in [lo, hi]; a new gene is
-    picked every 20 tries.  Attempts are evaluated inside the row by algebra on
-    S' = S - w_g + new (extremes of the other weights from the sorted array);
-    the first valid attempt wins.  Without one in MUTATION_ATTEMPTS the child is
-    replaced by a fresh random constrained portfolio."""
+    A mutated child re-draws one gene's weight (1..249 thousandths) and is
+    renormalised; every weight must then lie in [lo, hi].  Same distribution as
+    "draw until valid, with a new gene every 20 tries", without attempts: gene
+    g has v_g valid draws of 250, so it is the one that succeeds with weight
+    1 - (1 - v_g/250)^20, and its weight is uniform over its valid draws.  Only
+    a child without any valid (gene, draw) is replaced by a fresh portfolio."""
     s = scenarios.select("scenario_id", "seed", "mutation_rate", "n_assets", F.col("formation_date").alias("dt"), "win")
     g = F.lit(generation)
     ck = children.join(s, "scenario_id")
-    m = draw_mod(F.col("seed"), "mut", 100, F.col("scenario_id"), g, F.col("indiv_id"))
+    ids = (F.col("scenario_id"), g, F.col("indiv_id"))
+    m = draw_mod(F.col("seed"), "mut", 100, *ids)
     ck = ck.withColumn("_mut", (m.cast("double") / F.lit(100.0)) < F.col("mutation_rate"))
     keep = ck.filter(~F.col("_mut")).select(*POP_COLS)
     mut = ck.filter(F.col("_mut"))
     keys = ["scenario_id", "generation", "indiv_id", "seed", "n_assets", "dt", "win"]
     arr = mut.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
         (-F.col("weight")).alias("nw"), "symbol", "weight", "price", "currency", "mean"))).alias("h"))
-    w = F.col("h.weight")
-    cnt = F.size("h")
-    total = F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
-
-    def gene(t):
-        return draw_mod(F.col("seed"), "mut:gene", cnt, F.col("scenario_id"), g, F.col("indiv_id"),
-                        F.floor(t / MUTATION_TRIES_PER_GENE))
-
-    def new_w(t):
-        k = draw_mod(F.col("seed"), "mut:weight", 250, F.col("scenario_id"), g, F.col("indiv_id"), t)
-        return F.greatest(k, F.lit(1)).cast("double") / F.lit(1000.0)
-
-    def ok(t):
-        gi = gene(t)
-        nw = new_w(t)
-        s2 = total - F.element_at(w, (gi + 1).cast("int")) + nw
-        mx = F.when(gi == 0, F.try_element_at(w, F.lit(2))).otherwise(F.try_element_at(w, F.lit(1)))
-        mn = F.when(gi == cnt - 1, F.try_element_at(w, F.lit(-2))).otherwise(F.try_element_at(w, F.lit(-1)))
-        others = (cnt == 1) | ((mn / s2 >= lo) & (mx / s2 <= hi))
-        return (nw / s2 >= lo) & (nw / s2 <= hi) & others
-
-    blocks = ((0, MUTATION_TRIES_PER_GENE), (MUTATION_TRIES_PER_GENE, MUTATION_ATTEMPTS))
-    first = F.coalesce(*[F.try_element_at(F.filter(F.sequence(F.lit(a), F.lit(b - 1)), ok), F.lit(1)) for a, b in blocks])
-    arr = arr.withColumn("_t", first)
-    found = arr.filter(F.col("_t").isNotNull())
-    gi = gene(F.col("_t"))
-    nw = new_w(F.col("_t"))
-    s2 = total - F.element_at(w, (gi + 1).cast("int")) + nw
-    ex = found.select("scenario_id", "generation", "indiv_id", gi.alias("_gi"), nw.alias("_nw"), s2.alias("_s2"),
-                      F.posexplode("h").alias("_i", "x"))
+    w, cnt = F.col("h.weight"), F.size("h")
+    arr = arr.withColumn("total", F.aggregate(w, F.lit(0.0), lambda a, x: a + x))
+
+    def valid_draws(i):
+        """The valid new weights (in thousandths) of gene i, rising, 1 twice as it stands for two draws."""
+        rest = F.col("total") - F.element_at(w, (i + 1).cast("int"))
+        mx = F.when(i == 0, F.try_element_at(w, F.lit(2))).otherwise(F.try_element_at(w, F.lit(1)))
+        mn = F.when(i == cnt - 1, F.try_element_at(w, F.lit(-2))).otherwise(F.try_element_at(w, F.lit(-1)))
+
+        def ok(k):
+            nw = k.cast("double") / F.lit(1000.0)
+            s2 = rest + nw
+            others = (cnt == 1) | ((mn / s2 >= lo) & (mx / s2 <= hi))
+            return (nw / s2 >= lo) & (nw / s2 <= hi) & others
+
+        return F.filter(F.concat(F.array(F.lit(1)), F.sequence(F.lit(1), F.lit(MUTATION_DRAWS - 1))), ok)
+
+    def tickets(draws):
+        miss = F.lit(1.0) - F.size(draws).cast("double") / F.lit(float(MUTATION_DRAWS))
+        m4 = miss * miss * (miss * miss)
+        m16 = m4 * m4 * (m4 * m4)
+        return F.floor((F.lit(1.0) - m16 * m4) * F.lit(float(GENE_TICKETS))).cast("bigint")
+
+    assert MUTATION_TRIES_PER_GENE == 20  # the power that ``tickets`` spells out
+    arr = arr.withColumn("draws", F.transform(F.sequence(F.lit(0), cnt - 1), valid_draws))
+    arr = arr.withColumn("tickets", F.transform("draws", tickets))
+    arr = arr.withColumn("all_tickets", F.aggregate("tickets", F.lit(0).cast("bigint"), lambda a, x: a + x))
+    found = arr.filter("all_tickets > 0").withColumn("u", draw_mod(F.col("seed"), "mut:gene", F.col("all_tickets"), *ids))
+    # the gene whose ticket interval holds u: as many genes as have their interval's end at or below u
+    start = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).alias("gi"))
+    gene = F.aggregate("tickets", start, lambda a, x: F.struct(
+        (a["end"] + x).alias("end"), (a["gi"] + F.when(a["end"] + x <= F.col("u"), 1).otherwise(0)).alias("gi")), lambda a: a["gi"])
+    found = found.withColumn("_gi", gene)
+    found = found.withColumn("_draws", F.element_at("draws", F.col("_gi") + 1))
+    pick = draw_mod(F.col("seed"), "mut:weight", F.size("_draws"), *ids)
+    found = found.withColumn("_nw", F.element_at("_draws", (pick + 1).cast("int")).cast("double") / F.lit(1000.0))
+    found = found.withColumn("_s2", F.col("total") - F.element_at(w, F.col("_gi") + 1) + F.col("_nw"))
+    ex = found.select("scenario_id", "generation", "indiv_id", "_gi", "_nw", "_s2", F.posexplode("h").alias("_i", "x"))
     done = ex.select("scenario_id", "generation", "indiv_id", "x.symbol",
                      (F.when(F.col("_i") == F.col("_gi"), F.col("_nw")).otherwise(F.col("x.weight")) / F.col("_s2")).alias("weight"),
                      "x.price", "x.currency", "x.mean")
-    lost = arr.filter(F.col("_t").isNull()).select("scenario_id", "generation", "indiv_id", "dt", "win", "n_assets", "seed")
+    lost = arr.filter("all_tickets = 0").select("scenario_id", "generation", "indiv_id", "dt", "win", "n_assets", "seed")
     fresh = random_constrained(lost, iu, f"mutfb{generation}").select(*POP_COLS)
     return keep.unionByName(done.select(*POP_COLS)).unionByName(fresh)
 
@@ -298,18 +309,18 @@ def next_generation(pop: DataFrame, fit: DataFrame, scenarios: DataFrame, iu: Da
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Lineage cut to the shared checkpoint folder (reliable, survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Lineage cut: a Parquet table in the shared checkpoint folder (survives executor loss)."""
+    return stage_scratch(df, "search")
 
 
 def lookback_returns(scenarios: DataFrame, flong: DataFrame) -> DataFrame:
-    """symbol, dt, win, ror restricted to dates inside some scenario's lookback.
+    """symbol, dt, win, ror of the windows and the span of dates that the scenarios look back on.
 
     Cut once per run, so every generation's evaluation reads this narrow table
-    instead of re-deriving the feature panel."""
-    keys = lookback_dates(scenarios).select("win", "dt").distinct()
-    return flong.select("symbol", "dt", "win", "ror").join(keys, ["win", "dt"], "left_semi")
+    instead of re-deriving the feature panel.  The span is one row a window."""
+    span = lookback_bounds(scenarios).groupBy("win").agg(F.min("left_date").alias("_l"), F.max("right_date").alias("_r"))
+    j = flong.select("symbol", "dt", "win", "ror").join(F.broadcast(span), "win")
+    return j.filter(F.col("dt").between(F.col("_l"), F.col("_r"))).drop("_l", "_r")
 
 
 def generation_step(pop: DataFrame, fit: DataFrame, scenarios: DataFrame, iu: DataFrame,
@@ -325,40 +336,51 @@ def generation_step(pop: DataFrame, fit: DataFrame, scenarios: DataFrame, iu: Da
     return el.unionByName(mutate(kids, scenarios, iu, generation)).unionByName(immigrants(scenarios, iu, generation))
 
 
+HISTORY = "scenario_id bigint, generation int, best_fitness double, runtime_s double"
+
+
 def evolve(scenarios: DataFrame, flong: DataFrame, final_fitness: str = "return") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Run the search for every scenario at once.
+    """Run the search for every valid scenario at once.
 
     Returns (best, population, history): ``best`` the final portfolio per
     scenario in the portfolios layout (portfolio_id 2); ``population`` the last
     generation; ``history`` (scenario_id, generation, best_fitness, runtime_s).
-    The loop runs max(generations) steps; a scenario stops evolving after its
-    own count.  Each step is a fixed set of jobs whatever the population size,
-    n_assets or number of scenarios; population, fitness and children are cut
-    to the shared checkpoint folder every generation (they are small next to
-    the panel), so plans stay flat and a lost executor costs one step."""
+    Scenarios that break a rule are left out; ``validate_scenarios`` names them
+    with their reasons.  The loop runs max(generations) steps; a scenario stops
+    evolving after its own count.  Each step is a fixed set of jobs whatever the
+    population size, n_assets or number of scenarios.
+
+    Scenarios, universe and returns are written once as Parquet below the shared
+    checkpoint folder; population, fitness and children once a generation, and
+    those of a generation are removed when the one after the next is written.
+    History rows are appended to one table."""
     spark = scenarios.sparkSession
-    scen = _cut(scenarios)
-    iu = _cut(indexed_universe(scen, flong))
-    rets = _cut(lookback_returns(scen, flong))
+    root = scratch_path(spark, "evolve")
+
+    def cut(df, name):
+        return stage(df, f"{root}/{name}")
+
+    scen = cut(accepted(scenarios), "scenarios")
+    iu = cut(indexed_universe(scen, flong), "universe")
+    rets = cut(lookback_returns(scen, flong), "returns")
     n_gen = scen.agg(F.max("generations")).first()[0] or 0
-    pop = _cut(init_population(scen, flong, iu))
-    history = []
+    pop = cut(init_population(scen, flong, iu), "g0/population")
     for g in range(n_gen):
         t0 = time.perf_counter()
         active = scen.filter(F.col("generations") > g)
-        fit = _cut(evaluate_population(pop.join(active.select("scenario_id"), "scenario_id", "left_semi"), active, rets))
-        nxt = generation_step(pop, fit, active, iu, g)
+        fit = cut(evaluate_population(pop.join(active.select("scenario_id"), "scenario_id", "left_semi"), active, rets), f"g{g}/fitness")
+        nxt = generation_step(pop, fit, active, iu, g, cut=lambda d, g=g: cut(d, f"g{g}/children"))
         frozen = pop.join(active.select("scenario_id"), "scenario_id", "left_anti")
-        pop = _cut(nxt.unionByName(frozen))
+        pop = cut(nxt.unionByName(frozen), f"g{g + 1}/population")
         dt = time.perf_counter() - t0
-        history.append(fit.groupBy("scenario_id").agg(F.max("fitness").alias("best_fitness"))
-                       .select("scenario_id", F.lit(g).alias("generation"), "best_fitness",
-                               F.lit(round(dt, 3)).alias("runtime_s")))
-    final = _cut(evaluate_population(pop, scen, rets, F.lit(final_fitness)))
+        (fit.groupBy("scenario_id").agg(F.max("fitness").alias("best_fitness"))
+            .select("scenario_id", F.lit(g).alias("generation"), "best_fitness", F.lit(round(dt, 3)).alias("runtime_s"))
+            .write.mode("append").parquet(f"{root}/history"))
+        if g:
+            remove_path(spark, f"{root}/g{g - 1}")
+    final = cut(evaluate_population(pop, scen, rets, F.lit(final_fitness)), "final-fitness")
     best = rank_population(final).filter(F.col("rank") == 1).select("scenario_id", "indiv_id")
     port = pop.join(best, IKEYS).select("scenario_id", F.lit(OPTIMIZED).cast("bigint").alias("portfolio_id"),
                                         "symbol", "weight", "price", "currency", "mean")
-    hist = history[0] if history else spark.createDataFrame([], "scenario_id bigint, generation int, best_fitness double, runtime_s double")
-    for h in history[1:]:
-        hist = hist.unionByName(h)
+    hist = spark.read.schema(HISTORY).parquet(f"{root}/history") if n_gen else spark.createDataFrame([], HISTORY)
     return port, pop, hist

@@ -12,11 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from basketry.functions.rng import draw_mod
 from basketry.sources.schemas import LOOKBACK_DAYS, RIGHT_PAD_DAYS, WINDOWS
 
-MAX_ASSETS = 100   # n·floor <= 1 <= n·ceiling  <=>  4 <= n <= 100
-MIN_ASSETS = 4
+# Random draws under weight bounds need n·floor <= 1 <= n·ceiling, i.e. 4 <= n <= 100.
+BOUNDED_ASSETS = (4, 100)
+MIN_POPULATION = 4
 FITNESS_TYPES = ("return", "linear")
+# A universe is numbered in this many parts per formation key.
+UNIVERSE_BUCKETS = 64
 
 
 def windows_table(spark: SparkSession) -> DataFrame:
@@ -25,18 +29,31 @@ def windows_table(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, "win int, lookback_days int"))
 
 
-def validate_scenarios(scenarios: DataFrame, strict: bool = False) -> DataFrame:
-    """scenario_id, valid, reason.  Window must be one of the six; n_assets in
-    4..100 (weight bounds feasible); pop_size >= 4; known fitness type."""
-    spark = scenarios.sparkSession
-    w = windows_table(spark).select(F.col("win").alias("_w"))
-    s = scenarios.join(w, scenarios.win == w._w, "left")
-    reasons = F.concat_ws(";",
-        F.when(F.col("_w").isNull(), F.lit("win")),
-        F.when(~F.col("n_assets").between(MIN_ASSETS, MAX_ASSETS), F.lit("n_assets")),
-        F.when(F.col("pop_size") < 4, F.lit("pop_size")),
-        F.when(~F.col("fitness_type").isin(*FITNESS_TYPES), F.lit("fitness_type")))
-    out = s.select("scenario_id", (reasons == "").alias("valid"), reasons.alias("reason"))
+def scenario_rules(bounded: bool = True, search: bool = True) -> dict[str, Column]:
+    """reason -> condition that a valid scenario meets.  ``bounded``: weights are
+    drawn under bounds; ``search``: the scenario runs the evolutionary search."""
+    rules = {"win": F.col("win").isin(*WINDOWS)}
+    rules["n_assets"] = F.col("n_assets").between(*BOUNDED_ASSETS) if bounded else F.col("n_assets") >= 1
+    if search:
+        rules["pop_size"] = F.col("pop_size") >= MIN_POPULATION
+        rules["fitness_type"] = F.col("fitness_type").isin(*FITNESS_TYPES)
+    return rules
+
+
+def accepted(scenarios: DataFrame, bounded: bool = True, search: bool = True) -> DataFrame:
+    """The scenarios that meet the rules; formation and search run on these alone."""
+    ok = F.lit(True)
+    for cond in scenario_rules(bounded, search).values():
+        ok = ok & F.coalesce(cond, F.lit(False))
+    return scenarios.filter(ok)
+
+
+def validate_scenarios(scenarios: DataFrame, strict: bool = False, bounded: bool = True, search: bool = True) -> DataFrame:
+    """scenario_id, valid, reason: the rules each scenario breaks, ``;``-joined.
+    What formation and search leave out is what this returns with valid = false."""
+    reasons = F.concat_ws(";", *[F.when(~F.coalesce(cond, F.lit(False)), F.lit(name))
+                                 for name, cond in scenario_rules(bounded, search).items()])
+    out = scenarios.select("scenario_id", (reasons == "").alias("valid"), reasons.alias("reason"))
     if strict:
         out = out.withColumn("valid", F.when(F.col("valid"), F.lit(True)).otherwise(
             F.raise_error(F.concat(F.lit("invalid scenario "), F.col("scenario_id").cast("string"),
@@ -53,25 +70,31 @@ def lookback_bounds(scenarios: DataFrame) -> DataFrame:
                     F.date_add("formation_date", F.lit(RIGHT_PAD_DAYS)).alias("right_date"))
 
 
-def lookback_dates(scenarios: DataFrame) -> DataFrame:
-    """scenario_id, window, dt for every calendar day of the lookback (<= 368 per scenario).
+def _month(c) -> Column:
+    """Months since year 0: the bucket of the lookback join."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.year(c) * 12 + F.month(c)
+
 
-    Turns the range condition into an equi-join key, so no nested-loop join."""
+def lookback_months(scenarios: DataFrame) -> DataFrame:
+    """scenario_id, win, left_date, right_date, month: a row per calendar month
+    that the lookback touches (at most 14)."""
     b = lookback_bounds(scenarios)
-    return b.select("scenario_id", "win",
-                    F.explode(F.sequence("left_date", "right_date")).alias("dt"))
+    return b.select("scenario_id", "win", "left_date", "right_date",
+                    F.explode(F.sequence(_month("left_date"), _month("right_date"))).alias("month"))
 
 
 def lookback_slice(scenarios: DataFrame, flong: DataFrame, holdings: DataFrame) -> DataFrame:
     """scenario_id, symbol, dt, ror: lookback returns of the held symbols only.
 
-    Exploding the dates of each (scenario, held symbol) and joining on
-    (symbol, dt, window) reads exactly the rows needed; a symbol held by
-    many scenarios makes a hot join key, which AQE's skew join splits."""
+    An equi-join on (symbol, window, month) with the date bounds as residual:
+    at most 14 request rows per (scenario, held symbol).  A symbol held by many
+    scenarios makes hot join keys, which AQE's skew join splits."""
     held = holdings.select("scenario_id", "symbol").distinct()
-    req = held.join(lookback_dates(scenarios), "scenario_id")
-    panel = flong.select("symbol", "dt", "win", "ror")
-    return req.join(panel, ["symbol", "dt", "win"]).select("scenario_id", "symbol", "dt", "ror")
+    req = held.join(lookback_months(scenarios), "scenario_id")
+    panel = flong.select("symbol", "dt", "win", "ror", _month("dt").alias("month"))
+    hit = req.join(panel, ["symbol", "win", "month"]).filter(F.col("dt").between(F.col("left_date"), F.col("right_date")))
+    return hit.select("scenario_id", "symbol", "dt", "ror")
 
 
 def scenario_keys(scenarios: DataFrame) -> DataFrame:
@@ -105,20 +128,33 @@ def top_k(df: DataFrame, part: list[str], order: list[Column], k: int, rank_col:
 
 
 def ranked_universe(scenarios: DataFrame, flong: DataFrame) -> DataFrame:
-    """Top MAX_ASSETS symbols by mean per formation key, with their rank."""
+    """Symbols by falling mean per formation key, with their rank, as far as some scenario asks.
+
+    The largest n_assets is read first: as a literal it lets each task keep
+    that many rows a key before the exchange."""
+    most = scenarios.agg(F.max("n_assets")).first()[0] or 0
     u = universe(scenarios, flong)
-    return top_k(u, ["dt", "win"], [F.col("mean").desc(), F.col("symbol")], MAX_ASSETS)
+    return top_k(u, ["dt", "win"], [F.col("mean").desc(), F.col("symbol")], int(most))
 
 
 def indexed_universe(scenarios: DataFrame, flong: DataFrame) -> DataFrame:
-    """Eligible symbols numbered 0..M-1 per formation key (by symbol), and M.
+    """Eligible symbols numbered 0..m-1 per formation key, and m.
 
-    Random formation draws positions in [0, M) and equi-joins on them, so no
-    scenario is paired with the whole universe."""
+    Numbered inside hash buckets of the symbol; a bucket's offset is the number
+    of symbols in the buckets before it, from one small count.  So no task
+    sorts a whole universe, also when all scenarios share one formation key.
+    Random formation draws positions in [0, m) and equi-joins on them."""
     u = universe(scenarios, flong)
-    w = Window.partitionBy("dt", "win")
-    return u.select("*", (F.row_number().over(w.orderBy("symbol")) - 1).alias("pos"),
-                    F.count(F.lit(1)).over(w).alias("m"))
+    u = u.withColumn("bucket", draw_mod(F.lit(0), "universe", UNIVERSE_BUCKETS, F.col("symbol")).cast("int"))
+    key = ["dt", "win"]
+    before = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = u.groupBy(*key, "bucket").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select(*key, "bucket", (F.sum("n").over(before) - F.col("n")).alias("offset"),
+                         F.sum("n").over(Window.partitionBy(*key)).alias("m"))
+    inside = Window.partitionBy(*key, "bucket").orderBy("symbol")
+    numbered = u.withColumn("_i", F.row_number().over(inside) - 1)
+    return numbered.join(sizes, [*key, "bucket"]).select(
+        *key, "symbol", "mean", "adj_close", "currency", (F.col("offset") + F.col("_i")).alias("pos"), "m")
 
 
 def distinct_symbols(features: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.session import stage_scratch
 from basketry.sources.schemas import BASE_CURRENCY, HORIZONS
 
 PKEYS = ["scenario_id", "portfolio_id"]
@@ -53,9 +54,13 @@ def asof_price(prices: DataFrame, requests: DataFrame, max_staleness_days: int |
 
 def fx_rate(fx: DataFrame, requests: DataFrame, base: str = BASE_CURRENCY) -> DataFrame:
     """requests (currency, rate_req_dt, ...) + rate: base units per one unit of currency,
-    as of the request date; 1.0 for the base currency; NULL when no rate exists."""
-    f = fx.filter(F.col("to_ccy") == base).select(F.col("from_ccy").alias("currency"), "dt",
-                                                  F.col("adj_close").alias("rate"))
+    as of the request date; 1.0 for the base currency; NULL when no rate exists.
+
+    Rates are reduced to one a (currency, day) first (the highest, so duplicates
+    give the same answer in any order): a currency's window then holds calendar
+    days, not rows of the feed."""
+    f = (fx.filter((F.col("to_ccy") == base) & F.col("adj_close").isNotNull())
+           .groupBy(F.col("from_ccy").alias("currency"), "dt").agg(F.max("adj_close").alias("rate")))
     need = requests.filter(F.col("currency") != base)
     got = asof(f, need.select("currency", "rate_req_dt").distinct(), "currency", "rate", "rate_req_dt")
     out = requests.join(got, ["currency", "rate_req_dt"], "left")
@@ -68,75 +73,78 @@ def convert_currency(price, rate, currency, base: str = BASE_CURRENCY):
 
 
 def shares_value(holdings: DataFrame, prices: DataFrame, fx: DataFrame, keys=PKEYS,
-                 max_staleness_days: int | None = None) -> DataFrame:
+                 max_staleness_days: int | None = None, base: str = BASE_CURRENCY) -> DataFrame:
     """keys, val_dt, value, n_held, n_priced.
 
     ``holdings``: keys, symbol, shares, currency, val_dt (one row per holding and
     valuation date).  value = sum(shares * price * rate) in the base currency,
     with price as of val_dt and the rate as of the price's own date; NULL when
-    any holding has no price or rate."""
-    req = holdings.withColumnRenamed("val_dt", "req_dt")
-    priced = asof_price(prices, req, max_staleness_days).withColumn("rate_req_dt", F.col("price_dt"))
-    rated = fx_rate(fx, priced)
-    eur = F.col("currency") == BASE_CURRENCY
-    comp = F.when(eur, F.col("shares") * F.col("price")).otherwise((F.col("price") * F.col("rate")) * F.col("shares"))
+    any holding has no price or rate.  Requests and priced requests are written
+    once: an as-of lookup reads them twice (distinct keys, then the join back),
+    and neither reading repeats how they came about."""
+    req = stage_scratch(holdings.withColumnRenamed("val_dt", "req_dt"), "value-requests")
+    priced = stage_scratch(asof_price(prices, req, max_staleness_days).withColumn("rate_req_dt", F.col("price_dt")), "priced")
+    rated = fx_rate(fx, priced, base)
+    comp = convert_currency(F.col("price"), F.col("rate"), F.col("currency"), base) * F.col("shares")
     g = rated.groupBy(*keys, F.col("req_dt").alias("val_dt")).agg(
         F.sum(comp).alias("_v"), F.count(F.lit(1)).alias("n_held"), F.count(comp).alias("n_priced"))
     return g.select(*keys, "val_dt", F.when(F.col("n_priced") == F.col("n_held"), F.col("_v")).alias("value"),
                     "n_held", "n_priced")
 
 
-def _holdings_at(shares: DataFrame, dates: DataFrame, keys=PKEYS) -> DataFrame:
-    return shares.select(*keys, "symbol", "shares", "currency").join(dates, "scenario_id")
+def _fee() -> Column:
+    return (F.col("fee") * F.col("n_assets")).cast("double")
 
 
 def portfolio_value(portfolios: DataFrame, scenarios: DataFrame, prices: DataFrame, fx: DataFrame,
-                    val_dates: DataFrame | None = None) -> DataFrame:
+                    val_dates: DataFrame | None = None, base: str = BASE_CURRENCY) -> DataFrame:
     """scenario_id, portfolio_id, val_dt, value: shares value minus fee * n_assets.
     ``val_dates`` (scenario_id, val_dt) defaults to the formation date."""
-    sh = allocate_shares(portfolios, scenarios)
-    if val_dates is None:
-        val_dates = scenarios.select("scenario_id", F.col("formation_date").alias("val_dt"))
-    v = shares_value(_holdings_at(sh, val_dates), prices, fx)
-    fee = scenarios.select("scenario_id", (F.col("fee") * F.col("n_assets")).cast("double").alias("_fee"))
-    return v.join(fee, "scenario_id").select(*PKEYS, "val_dt", (F.col("value") - F.col("_fee")).alias("value"))
-
-
-def _value_pair(portfolios, scenarios, prices, fx, ends: DataFrame) -> DataFrame:
-    """ends: scenario_id, end_date, ... -> + start_value, end_value, roi per portfolio."""
-    sh = allocate_shares(portfolios, scenarios)
-    dates = (ends.select("scenario_id", F.col("end_date").alias("val_dt"))
-             .unionByName(scenarios.select("scenario_id", F.col("formation_date").alias("val_dt")))
-             .distinct())
-    v = shares_value(_holdings_at(sh, dates), prices, fx)
-    fee = scenarios.select("scenario_id", "formation_date",
-                           (F.col("fee") * F.col("n_assets")).cast("double").alias("_fee"))
-    start = (v.join(fee, "scenario_id").filter(F.col("val_dt") == F.col("formation_date"))
-              .select(*PKEYS, (F.col("value") - F.col("_fee")).alias("start_value")))
-    end = v.select(*PKEYS, F.col("val_dt").alias("end_date"), F.col("value").alias("end_value"))
-    r = ends.join(start, "scenario_id").join(end, PKEYS + ["end_date"])
-    return r.withColumn("roi", F.try_divide(F.col("end_value") - F.col("start_value"), F.col("start_value")))
+    sh = allocate_shares(portfolios, scenarios).withColumn("_fee", _fee())
+    dated = sh.withColumn("val_dt", F.col("formation_date")) if val_dates is None else sh.join(val_dates, "scenario_id")
+    v = shares_value(dated.select(*PKEYS, "_fee", "symbol", "shares", "currency", "val_dt"), prices, fx, [*PKEYS, "_fee"], base=base)
+    return v.select(*PKEYS, "val_dt", (F.col("value") - F.col("_fee")).alias("value"))
+
+
+def _roi(dated: DataFrame, prices: DataFrame, fx: DataFrame, base: str) -> DataFrame:
+    """PKEYS, label, end_date, start_value, end_value, roi.
+
+    ``dated``: shares rows with ``at``: struct(label, dt), label NULL for the
+    formation date.  Start and ends are valued in one grouped pass; the start
+    value reaches the ends through a window over the portfolio's few rows."""
+    h = dated.select(*PKEYS, "_fee", "symbol", "shares", "currency", F.col("at.label").alias("label"), F.col("at.dt").alias("val_dt"))
+    v = shares_value(h, prices, fx, [*PKEYS, "_fee", "label"], base=base)
+    start = F.max(F.when(F.col("label").isNull(), F.col("value") - F.col("_fee"))).over(Window.partitionBy(*PKEYS))
+    r = v.withColumn("start_value", start).filter(F.col("label").isNotNull())
+    roi = F.try_divide(F.col("value") - F.col("start_value"), F.col("start_value"))
+    return r.select(*PKEYS, "label", F.col("val_dt").alias("end_date"), "start_value", F.col("value").alias("end_value"), roi.alias("roi"))
+
+
+def _point(label, dt) -> Column:
+    return F.struct(label.cast("string").alias("label"), dt.alias("dt"))
 
 
 def roi_horizons(portfolios: DataFrame, scenarios: DataFrame, prices: DataFrame, fx: DataFrame,
-                 horizons=HORIZONS) -> DataFrame:
+                 horizons=HORIZONS, base: str = BASE_CURRENCY) -> DataFrame:
     """scenario_id, portfolio_id, horizon, end_date, start_value, end_value, roi.
 
     ROI = (end - start) / start with start = value at formation - fee * n_assets
     and end = value at formation + days (no fee).  All horizons of all
     portfolios are valued in one pass: holdings x {start, ends} -> as-of
     price -> FX -> grouped sums.  ``horizons`` is a short constant list of
-    (label, days), expanded inside each scenario row."""
-    hz = F.array(*[F.struct(F.lit(a).alias("horizon"), F.lit(int(d)).alias("days")) for a, d in horizons])
-    ends = (scenarios.select("scenario_id", "formation_date", F.explode(hz).alias("hz"))
-            .select("scenario_id", "hz.horizon", F.date_add("formation_date", F.col("hz.days")).alias("end_date")))
-    r = _value_pair(portfolios, scenarios, prices, fx, ends)
-    return r.select(*PKEYS, "horizon", "end_date", "start_value", "end_value", "roi")
+    (label, days), expanded inside each holding row."""
+    f = F.col("formation_date")
+    points = F.array(_point(F.lit(None), f), *[_point(F.lit(a), F.date_add(f, int(d))) for a, d in horizons])
+    sh = allocate_shares(portfolios, scenarios).withColumn("_fee", _fee())
+    return _roi(sh.withColumn("at", F.explode(points)), prices, fx, base).withColumnRenamed("label", "horizon")
 
 
 def portfolio_roi(portfolios: DataFrame, scenarios: DataFrame, prices: DataFrame, fx: DataFrame,
-                  end_dates: DataFrame) -> DataFrame:
+                  end_dates: DataFrame, base: str = BASE_CURRENCY) -> DataFrame:
     """ROI between each scenario's formation date and its end dates
-    (``end_dates``: scenario_id, end_date)."""
-    r = _value_pair(portfolios, scenarios, prices, fx, end_dates.select("scenario_id", "end_date"))
-    return r.select(*PKEYS, "end_date", "start_value", "end_value", "roi")
+    (``end_dates``: scenario_id, end_date; the dates of one scenario form one short list)."""
+    ends = end_dates.select("scenario_id", "end_date").distinct().groupBy("scenario_id").agg(
+        F.collect_list(_point(F.col("end_date"), F.col("end_date"))).alias("ends"))
+    sh = allocate_shares(portfolios, scenarios).withColumn("_fee", _fee()).join(ends, "scenario_id")
+    points = F.concat(F.array(_point(F.lit(None), F.col("formation_date"))), F.col("ends"))
+    return _roi(sh.withColumn("at", F.explode(points)), prices, fx, base).drop("label")

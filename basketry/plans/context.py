@@ -8,20 +8,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.operators.features import asset_features, features_long
-from basketry.plans.scenarios import scenario_grid
+from basketry.plans.scenarios import GRID_WINDOWS, scenario_grid
+from basketry.session import stage_scratch
 from basketry.sources import fixtures
 
 
+# Feature panel and FX of each (application, data folder), built once and read by every query of the session.
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Ctx:
-    """Lazily built DataFrames for one (session, data folder)."""
+    """Inputs of one (session, data folder): raw tables as plans, and the feature
+    panel, FX and scenarios as stored Parquet tables, so that a query that uses
+    them in several places scans files and never rebuilds the panel."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, features: DataFrame | None = None, **scenario_overrides):
+    def __init__(self, spark: SparkSession, sf_dir: str, features: DataFrame | None = None, windows=GRID_WINDOWS, **scenario_overrides):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.windows = windows
         self.scenario_overrides = scenario_overrides
         if features is not None:
             self.__dict__["features"] = features
 
+    def _stored(self, name: str, build) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            _STORED[key] = stage_scratch(build(), name)
+        return _STORED[key]
+
     @cached_property
     def panel_raw(self) -> DataFrame:
         return fixtures.panel_raw(self.spark, self.sf_dir)
@@ -32,7 +46,7 @@ class Ctx:
 
     @cached_property
     def fx(self) -> DataFrame:
-        return fixtures.fx(self.spark, self.sf_dir)
+        return self._stored("fx", lambda: fixtures.fx(self.spark, self.sf_dir))
 
     @cached_property
     def prices(self) -> DataFrame:
@@ -42,7 +56,7 @@ class Ctx:
 
     @cached_property
     def features(self) -> DataFrame:
-        return asset_features(self.panel)
+        return self._stored("features", lambda: asset_features(self.panel))
 
     @cached_property
     def flong(self) -> DataFrame:
@@ -50,7 +64,7 @@ class Ctx:
 
     @cached_property
     def scenarios(self) -> DataFrame:
-        return scenario_grid(self.features, **self.scenario_overrides)
+        return stage_scratch(scenario_grid(self.features, self.windows, **self.scenario_overrides), "scenarios")
 
 
 def rounded(df: DataFrame, spec: dict[str, int]) -> DataFrame:

@@ -13,8 +13,11 @@ from basketry.sources.fixtures import SQL_FX, SQL_PANEL, SQL_PANEL_RAW  # noqa:
 from basketry.sources.schemas import HORIZONS, LOOKBACK_DAYS, WINDOWS
 
 
-def with_ctes(ctes: list[tuple[str, str]], final: str, recursive: bool = False) -> str:
-    body = ",\n".join(f"{n} as (\n{q.strip()}\n)" for n, q in ctes)
+def with_ctes(ctes: list[tuple[str, str]], final: str, recursive: bool = False, materialized: bool = False) -> str:
+    """``materialized``: every CTE but the self-referencing ones is computed once (long chains)."""
+    import re
+    as_ = lambda n, q: "as materialized" if materialized and not re.search(rf"from {n}\b", q) else "as"
+    body = ",\n".join(f"{n} {as_(n, q)} (\n{q.strip()}\n)" for n, q in ctes)
     return f"with {'recursive ' if recursive else ''}{body}\n{final.strip()}"
 
 

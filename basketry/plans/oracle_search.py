@@ -6,7 +6,11 @@ genes are expanded into rows, Floyd's sampling is a recursive CTE.
 
 from __future__ import annotations
 
+import re
+
 from basketry.functions.rng import DRAW_SPAN, sql_draw, sql_draw_mod
+from basketry.operators.slicing import UNIVERSE_BUCKETS
+from basketry.plans.oracle import lookback_ctes
 
 D = "double"
 LO, HI = "cast(0.01 as double)", "cast(0.25 as double)"
@@ -14,8 +18,8 @@ LO, HI = "cast(0.01 as double)", "cast(0.25 as double)"
 
 def universe_index_ctes() -> list[tuple[str, str]]:
     return [
-        ("iu", "select dt, win, symbol, mean, adj_close, currency, "
-               "row_number() over (partition by dt, win order by symbol) - 1 as pos from universe"),
+        ("iu", "select dt, win, symbol, mean, adj_close, currency, row_number() over (partition by dt, win order by "
+               f"{sql_draw_mod('0', 'universe', str(UNIVERSE_BUCKETS), 'symbol')}, symbol) - 1 as pos from universe"),
         ("sizes", "select dt, win, count(*) as m from universe group by dt, win"),
     ]
 
@@ -37,48 +41,29 @@ def constrained_ctes(x: str, individuals: str, purpose: str) -> list[tuple[str,
     indiv_id, dt, win, n_assets, seed) -> {x}_rc rows."""
     keys = ["scenario_id", "generation", "indiv_id"]
     k = ", ".join(keys)
-    gene = lambda t: sql_draw_mod("seed", f"{purpose}:gene", "1000", *keys, t, "k")
-    ok = "s > 0 and mn * 100 >= s and mx * 4 <= s"
+    gene = sql_draw_mod("seed", f"{purpose}:gene", "1000", *keys, "k")
     return [
         (f"{x}_ind", f"select i.scenario_id, i.generation, i.indiv_id, i.dt, i.win, i.n_assets, i.seed, z.m "
                      f"from {individuals} i join sizes z using (dt, win)"),
         (f"{x}_gk", f"select *, unnest(range(0, n_assets)) as k from {x}_ind"),
-        (f"{x}_a1", f"""
-select {k}, t, sum(g) as s, min(g) as mn, max(g) as mx from (
-  select {k}, r.t, {gene('r.t')} as g from {x}_gk, (select range as t from range(0, 8)) r) q
-group by {k}, t"""),
-        (f"{x}_f1", f"select {k}, min(t) filter (where {ok}) as t_ok from {x}_a1 group by {k}"),
-        (f"{x}_a2", f"""
-select {k}, t, sum(g) as s, min(g) as mn, max(g) as mx from (
-  select {k}, r.t, {gene('r.t')} as g from {x}_gk join {x}_f1 using ({k}), (select range as t from range(8, 256)) r
-  where {x}_f1.t_ok is null) q
-group by {k}, t"""),
-        (f"{x}_first", f"""
-select f.{keys[0]}, f.{keys[1]}, f.{keys[2]}, coalesce(f.t_ok, (select min(t) from {x}_a2 a where a.scenario_id = f.scenario_id
-       and a.generation = f.generation and a.indiv_id = f.indiv_id and {ok.replace('s ', 'a.s ').replace('mn ', 'a.mn ').replace('mx ', 'a.mx ')})) as t_ok
-from {x}_f1 f"""),
-        (f"{x}_g", f"""
-select g.*, f.t_ok, {gene('coalesce(f.t_ok, 0)')} as g from {x}_gk g join {x}_first f using ({k})"""),
+        (f"{x}_g", f"select *, {gene} as g from {x}_gk"),
         (f"{x}_w0", f"""
-select *, cast(g as {D}) / cast(sum(g) over w as {D}) as plain,
-       {LO} + (cast(1.0 as {D}) - cast(n_assets as {D}) * {LO}) * cast(g + 1 as {D}) / cast(sum(g + 1) over w as {D}) as w0
+select *, {LO} + (cast(1.0 as {D}) - cast(n_assets as {D}) * {LO}) * cast(g + 1 as {D}) / cast(sum(g + 1) over w as {D}) as w0
 from {x}_g window w as (partition by {k})"""),
         (f"{x}_w1", f"""
-select *, sum(greatest(w0 - {HI}, cast(0 as {D}))) over w as excess, least(w0, {HI}) as capped,
-       sum({HI} - least(w0, {HI})) over w as room
-from {x}_w0 window w as (partition by {k})"""),
+select {k}, list_reduce(list(greatest(w0 - {HI}, cast(0 as {D})) order by k), lambda a, b: a + b) as excess,
+       list_reduce(list({HI} - least(w0, {HI}) order by k), lambda a, b: a + b) as room
+from {x}_w0 group by {k}"""),
         (f"{x}_w", f"""
-select {k}, k, t_ok is null as repaired,
-       case when t_ok is null then capped + case when room > 0 then excess * ({HI} - capped) / room else cast(0 as {D}) end
-            else plain end as weight
-from {x}_w1"""),
+select {k}, z.k, least(z.w0, {HI}) + case when o.room > 0 then o.excess * ({HI} - least(z.w0, {HI})) / o.room else cast(0 as {D}) end as weight
+from {x}_w0 z join {x}_w1 o using ({k})"""),
         floyd_cte(f"{x}_fl", f"{x}_ind", f"{purpose}:pos", keys, "least(n_assets, m)"),
         (f"{x}_pos", f"""
 select i.scenario_id, i.generation, i.indiv_id, i.dt, i.win, unnest(f.acc) as pos, generate_subscripts(f.acc, 1) - 1 as slot
 from {x}_fl f join {x}_ind i using ({k}) where f.j = f.m"""),
         (f"{x}_rc", f"""
 select p.scenario_id, p.generation, p.indiv_id, cast(p.slot as integer) as slot, u.symbol, w.weight,
-       u.adj_close as price, u.currency, u.mean, w.repaired
+       u.adj_close as price, u.currency, u.mean
 from {x}_pos p join {x}_w w on w.scenario_id = p.scenario_id and w.generation = p.generation
      and w.indiv_id = p.indiv_id and w.k = p.slot
 join iu u on u.dt = p.dt and u.win = p.win and u.pos = p.pos"""),
@@ -140,6 +125,14 @@ from {p}_ret r left join {p}_var v using ({keys})"""),
     ]
 
 
+def eval_ctes(p: str) -> list[tuple[str, str]]:
+    """{p}_eval: fitness by each scenario's type, from {p}_fit ("return" scenarios have no variance)."""
+    return [(f"{p}_eval", f"""
+select f.scenario_id, f.indiv_id, f.ret, case when s.fitness_type = 'linear' then f.variance end as variance,
+       case when s.fitness_type = 'linear' then f.fitness else f.ret end as fitness
+from {p}_fit f join scenarios s using (scenario_id)""")]
+
+
 def step_ctes(gen: int = 0) -> list[tuple[str, str]]:
     """rank -> parents -> roulette pairs -> cuts -> children -> mutation -> next generation,
     from pop0_fit / pop0 (generation ``gen``)."""
@@ -149,11 +142,11 @@ def step_ctes(gen: int = 0) -> list[tuple[str, str]]:
     ua = sql_draw("s.seed", "pair:a", "s.scenario_id", g, "s.pair")
     ub = sql_draw("a.seed", "pair:b", "a.scenario_id", g, "a.pair")
     mut = sql_draw_mod("s.seed", "mut", "100", "c.scenario_id", g, "c.indiv_id")
-    mgene = sql_draw_mod("seed", "mut:gene", "cnt", "scenario_id", g, "indiv_id", "t // 20")
-    mweight = f"cast(greatest({sql_draw_mod('seed', 'mut:weight', '250', 'scenario_id', g, 'indiv_id', 't')}, 1) as {D}) / cast(1000.0 as {D})"
+    mgene = sql_draw_mod("any_value(seed)", "mut:gene", "sum(tickets)", "scenario_id", g, "indiv_id")
+    mweight = sql_draw_mod("g.seed", "mut:weight", "g.v", "g.scenario_id", g, "g.indiv_id")
     return [
         ("ranked", "select *, row_number() over (partition by scenario_id order by fitness desc nulls last, indiv_id) as rank "
-                   "from pop0_fit"),
+                   "from pop0_eval"),
         ("parents", "select r.* from ranked r join scenarios s using (scenario_id) where r.rank <= floor(s.pop_size * 0.5)"),
         ("tickets", f"""
 select p.*, cast(floor(case when s.fitness_type = 'linear'
@@ -238,24 +231,36 @@ select scenario_id, indiv_id, any_value(seed) as seed, any_value(cnt) as cnt, an
        max(case when idx = 0 then weight end) as w0, max(case when idx = 1 then weight end) as w1,
        max(case when idx = cnt - 1 then weight end) as wl, max(case when idx = cnt - 2 then weight end) as wl2
 from mh group by scenario_id, indiv_id"""),
-        ("matt", f"""
-select m.scenario_id, m.indiv_id, m.t, m.gi, m.nw, m.total - h.weight + m.nw as s2,
-       case when m.gi = 0 then m.w1 else m.w0 end as mx, case when m.gi = m.cnt - 1 then m.wl2 else m.wl end as mn, m.cnt
-from (select q.*, {mgene} as gi, {mweight} as nw
-      from (select s.*, r.t from mstat s, (select range as t from range(0, 200)) r) q) m
-join mh h on h.scenario_id = m.scenario_id and h.indiv_id = m.indiv_id and h.idx = m.gi"""),
-        ("mfirst", f"""
-select scenario_id, indiv_id, min(t) filter (where nw / s2 >= {LO} and nw / s2 <= {HI}
-       and (cnt = 1 or (mn / s2 >= {LO} and mx / s2 <= {HI}))) as t_ok
-from matt group by scenario_id, indiv_id"""),
-        ("mdone", f"""
+        ("mvalid", f"""
+select scenario_id, indiv_id, gi, k, row_number() over (partition by scenario_id, indiv_id, gi order by k) - 1 as ord from (
+  select h.scenario_id, h.indiv_id, h.idx as gi, r.k, cast(r.k as {D}) / cast(1000.0 as {D}) as nw,
+         (h.total - h.weight) + cast(r.k as {D}) / cast(1000.0 as {D}) as s2, h.cnt,
+         case when h.idx = 0 then m.w1 else m.w0 end as mx, case when h.idx = h.cnt - 1 then m.wl2 else m.wl end as mn
+  from mh h join mstat m using (scenario_id, indiv_id),
+       (select unnest(list_prepend(1, range(1, 250))) as k) r) q
+where nw / s2 >= {LO} and nw / s2 <= {HI} and (cnt = 1 or (mn / s2 >= {LO} and mx / s2 <= {HI}))"""),
+        ("mgene", f"""
+select scenario_id, indiv_id, gi, v, seed, cast(floor((cast(1 as {D}) - m16 * m4) * cast(1000000000 as {D})) as bigint) as tickets from (
+  select *, m4 * m4 * (m4 * m4) as m16 from (
+    select *, miss * miss * (miss * miss) as m4 from (
+      select v.scenario_id, v.indiv_id, v.gi, count(*) as v, any_value(m.seed) as seed,
+             cast(1 as {D}) - cast(count(*) as {D}) / cast(250 as {D}) as miss
+      from mvalid v join mstat m using (scenario_id, indiv_id) group by v.scenario_id, v.indiv_id, v.gi) a) b) c"""),
+        ("mu", f"select scenario_id, indiv_id, {mgene} as u from mgene group by scenario_id, indiv_id"),
+        ("mpick", f"""
+select g.scenario_id, g.indiv_id, g.gi, cast(v.k as {D}) / cast(1000.0 as {D}) as nw
+from (select *, sum(tickets) over (partition by scenario_id, indiv_id order by gi rows unbounded preceding) as hi from mgene) g
+join mu using (scenario_id, indiv_id)
+join mvalid v on v.scenario_id = g.scenario_id and v.indiv_id = g.indiv_id and v.gi = g.gi and v.ord = {mweight}
+where mu.u < g.hi and mu.u >= g.hi - g.tickets"""),
+        ("mdone", """
 select h.scenario_id, h.generation, h.indiv_id, h.symbol,
-       case when h.idx = a.gi then a.nw else h.weight end / a.s2 as weight, h.price, h.currency, h.mean
-from mh h join mfirst f using (scenario_id, indiv_id)
-join matt a on a.scenario_id = f.scenario_id and a.indiv_id = f.indiv_id and a.t = f.t_ok"""),
+       case when h.idx = p.gi then p.nw else h.weight end / (h.total - o.weight + p.nw) as weight, h.price, h.currency, h.mean
+from mh h join mpick p using (scenario_id, indiv_id)
+join mh o on o.scenario_id = h.scenario_id and o.indiv_id = h.indiv_id and o.idx = p.gi"""),
         ("mlost", """
 select distinct m.scenario_id, m.generation, m.indiv_id, m.dt, m.win, m.n_assets, m.seed
-from mh m join mfirst f using (scenario_id, indiv_id) where f.t_ok is null"""),
+from mh m left join mpick p using (scenario_id, indiv_id) where p.gi is null"""),
     ] + constrained_ctes("mfb", "mlost", f"mutfb{gen}") + [
         ("mutated", """
 select scenario_id, generation, indiv_id, symbol, weight, price, currency, mean from mflag where not is_mut
@@ -273,3 +278,25 @@ from pop0 p join ranked r on r.scenario_id = p.scenario_id and r.indiv_id = p.in
 union all select * from mutated
 union all select scenario_id, generation, indiv_id, symbol, weight, price, currency, mean from imm_rc"""),
     ]
+
+
+def evolve_ctes(generations: int, keys: str = "scenario_id, indiv_id") -> list[tuple[str, str]]:
+    """The whole search over ``scenarios``: pop_g0 .. pop_g{n}, ``history`` and ``best``.
+
+    One generation's CTEs are those of the step queries, renamed per generation."""
+    out = [(("pop_g0" if n == "pop0" else n), q) for n, q in init_ctes()]
+    for g in range(generations):
+        step = lookback_ctes("pop0", keys) + variance_identity_ctes("pop0", keys) + eval_ctes("pop0") + step_ctes(g)
+        names = {n: f"{n}_g{g}" for n, _ in step} | {"pop0": f"pop_g{g}", "nextgen": f"pop_g{g + 1}"}
+        pattern = re.compile(r"\b(" + "|".join(map(re.escape, names)) + r")\b")
+        out += [(names[n], pattern.sub(lambda m: names[m[1]], q)) for n, q in step]  # noqa: B023
+    last = f"pop_g{generations}"
+    return out + [
+        ("history", " union all ".join(
+            f"select scenario_id, {g} as generation, max(fitness) as best_fitness from pop0_eval_g{g} group by scenario_id" for g in range(generations))),
+        ("final_ret", f"select {keys}, sum(mean * weight) as ret from {last} group by {keys}"),
+        ("final_rank", "select *, row_number() over (partition by scenario_id order by ret desc nulls last, indiv_id) as rank from final_ret"),
+        ("best", f"""
+select p.scenario_id, cast(2 as bigint) as portfolio_id, p.symbol, p.weight, p.price, p.currency, p.mean
+from {last} p join final_rank r using (scenario_id, indiv_id) where r.rank = 1"""),
+    ]

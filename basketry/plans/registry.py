@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions.columns import clean_symbol, date_parts, rescale_range
+from basketry.operators import backtest
 from basketry.operators import features as feat
 from basketry.operators import formation as form
 from basketry.operators import risk, slicing, valuation
@@ -19,8 +20,14 @@ from basketry.plans import oracle as O
 from basketry.plans import oracle_search as OS
 from basketry.operators import search
 from basketry.plans.context import Ctx, rounded, sql_rounded
+from basketry.plans.scenarios import DEFAULTS, SEARCH_WINDOWS
+from basketry.session import scratch_path, stage_scratch
+from basketry.sources import csv as csvsrc
+from basketry.sources import fixtures as fx_mod
+from basketry.sources import parquet as pq
+from basketry.sources import sinks
 from basketry.sources.fixtures import SQL_FX, SQL_PANEL_RAW
-from basketry.sources.schemas import ROULETTE_NEW, ROULETTE_OLD, WINDOWS
+from basketry.sources.schemas import ASSET_CSV, ROULETTE_NEW, ROULETTE_OLD, WINDOWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,7 +51,8 @@ FEATURE_COLS = (["symbol", "dt", "adj_close", "volume", "index_name", "currency"
 # Prices are bit-identical inputs in both engines and stay unrounded.
 FEATURE_ROUND = {c: R6 for c in FEATURE_COLS if c.startswith(("ror_", "std_", "mean_"))}
 PORT_COLS = ["scenario_id", "portfolio_id", "symbol", "weight", "price", "currency", "mean"]
-PORT_ROUND = {"weight": R6, "mean": R6}
+# Weights come out of short decimals: six digits would often be halfway.
+PORT_ROUND = {"weight": 9, "mean": R6}
 
 BASE = O.base_ctes()
 
@@ -87,7 +95,16 @@ def q_rescale_range(spark, sf_dir):
 
 @query("asset_features", O.with_ctes(BASE, sql_rounded(FEATURE_COLS, FEATURE_ROUND, "features")))
 def q_asset_features(spark, sf_dir):
-    return rounded(Ctx(spark, sf_dir).features.select(*FEATURE_COLS), FEATURE_ROUND)
+    return rounded(feat.asset_features(Ctx(spark, sf_dir).panel).select(*FEATURE_COLS), FEATURE_ROUND)
+
+
+@query("duplicate_rows", """
+select symbol, dt, n_rows - 1 as n_removed from (
+  select concat('S_', l_suppkey) as symbol, cast(l_shipdate as date) as dt, count(*) as n_rows
+  from lineitem group by l_suppkey, cast(l_shipdate as date)) t where n_rows > 1""")
+def q_duplicate_rows(spark, sf_dir):
+    """Rows that the duplicate collapse takes out of a feed with several ticks a day (each lineitem one tick)."""
+    return feat.duplicate_rows(fx_mod.ticks(spark, sf_dir))
 
 
 def _single_window_sql(col: str) -> str:
@@ -133,7 +150,25 @@ def q_distinct_dates(spark, sf_dir):
     return slicing.distinct_dates(Ctx(spark, sf_dir).features)
 
 
-@query("validate_scenarios", O.with_ctes(BASE, f"""
+# Each scenario of the grid as it is, and broken in every way a rule knows.
+VARIANTS = [("win", "win", "7"), ("n_assets", "n_assets", "3"), ("n_assets", "n_assets", "120"), ("pop_size", "pop_size", "2"),
+            ("fitness_type", "fitness_type", "'sharpe'")]
+_VARIANT_SQL = " union all ".join(
+    ["select scenario_id * 10 as scenario_id, win, n_assets, pop_size, fitness_type from scenarios"]
+    + ["select scenario_id * 10 + {} as scenario_id, {} from scenarios".format(
+        i + 1, ", ".join(f"{v} as {c}" if c == col else c for c in ("win", "n_assets", "pop_size", "fitness_type")))
+       for i, (_, col, v) in enumerate(VARIANTS)])
+
+
+def _variants(scenarios):
+    out = scenarios.withColumn("scenario_id", F.col("scenario_id") * 10)
+    for i, (_, col, v) in enumerate(VARIANTS):
+        broken = scenarios.withColumn("scenario_id", F.col("scenario_id") * 10 + (i + 1))
+        out = out.unionByName(broken.withColumn(col, F.expr(v).cast(scenarios.schema[col].dataType)))
+    return out
+
+
+@query("validate_scenarios", O.with_ctes(BASE + [("v", _VARIANT_SQL)], f"""
 select scenario_id,
        win in ({', '.join(str(k) for k in WINDOWS)}) and n_assets between 4 and 100 and pop_size >= 4
          and fitness_type in ('return', 'linear') as valid,
@@ -141,9 +176,10 @@ select scenario_id,
                       case when n_assets not between 4 and 100 then 'n_assets' end,
                       case when pop_size < 4 then 'pop_size' end,
                       case when fitness_type not in ('return', 'linear') then 'fitness_type' end) as reason
-from scenarios"""))
+from v"""))
 def q_validate_scenarios(spark, sf_dir):
-    return slicing.validate_scenarios(Ctx(spark, sf_dir).scenarios)
+    """Valid scenarios and five broken variants of each, with the reasons."""
+    return slicing.validate_scenarios(_variants(Ctx(spark, sf_dir).scenarios))
 
 
 @query("lookback_bounds", O.with_ctes(BASE + O.lookback_ctes("bh")[:1],
@@ -180,6 +216,19 @@ def q_buy_and_hold(spark, sf_dir):
     return rounded(form.buy_and_hold(ctx.scenarios, ctx.flong), PORT_ROUND)
 
 
+WIDE = dict(windows=(5,), n_assets=150)
+WIDE_BASE = [("panel", fx_mod.SQL_PARTS)] + O.features_sql("panel") + [
+    ("scenarios", O.sql_scenario_grid("panel", **WIDE)),
+    ("universe", "select f.dt, f.win, f.symbol, f.mean, f.adj_close, f.currency from flong f where f.mean is not null and f.win = 5")]
+
+
+@query("buy_and_hold_wide", O.with_ctes(WIDE_BASE + O.bh_ctes(), sql_rounded(PORT_COLS, PORT_ROUND, "bh")))
+def q_buy_and_hold_wide(spark, sf_dir):
+    """150 holdings out of the monthly bars of all parts: more than the bounded draws may hold."""
+    ctx = Ctx(spark, sf_dir, features=feat.asset_features(fx_mod.parts(spark, sf_dir)), **WIDE)
+    return rounded(form.buy_and_hold(ctx.scenarios, ctx.flong), PORT_ROUND)
+
+
 @query("normalize_weights", O.with_ctes(BASE + O.bh_ctes(), """
 select scenario_id, symbol, round(mean / cast(sum(cast(mean as decimal(38,18))) over (partition by scenario_id) as double), 6) as weight
 from bh"""))
@@ -211,8 +260,9 @@ def q_portfolio_return(spark, sf_dir):
 
 
 @query("portfolio_variance", O.with_ctes(BASE + O.bh_ctes() + O.lookback_ctes("bh") + O.variance_pairwise_ctes("bh"), f"""
-select v.scenario_id, v.portfolio_id, round(v.variance, 4) as variance, n.n_dates
-from bh_var v join (select {PK_SQL}, count(distinct dt) as n_dates from bh_complete group by {PK_SQL}) n using ({PK_SQL})"""))
+select p.scenario_id, p.portfolio_id, round(v.variance, 4) as variance, coalesce(n.n_dates, 0) as n_dates
+from (select distinct {PK_SQL} from bh) p left join bh_var v using ({PK_SQL})
+left join (select {PK_SQL}, count(distinct dt) as n_dates from bh_complete group by {PK_SQL}) n using ({PK_SQL})"""))
 def q_portfolio_variance(spark, sf_dir):
     ctx = Ctx(spark, sf_dir)
     v = risk.portfolio_variance(form.buy_and_hold(ctx.scenarios, ctx.flong), ctx.scenarios, ctx.flong, PK)
@@ -325,7 +375,7 @@ def q_fx_rate(spark, sf_dir):
 
 @query("convert_currency", O.with_ctes(BASE + O.bh_ctes(), """
 select b.scenario_id, b.symbol,
-       round(case when b.currency = 'EUR' then b.price else b.price * f.adj_close end, 4) as price_eur
+       case when b.currency = 'EUR' then b.price else b.price * f.adj_close end as price_eur
 from bh b join scenarios s using (scenario_id)
 asof left join (select * from fx where to_ccy = 'EUR') f on b.currency = f.from_ccy and s.formation_date >= f.dt"""))
 def q_convert_currency(spark, sf_dir):
@@ -334,8 +384,8 @@ def q_convert_currency(spark, sf_dir):
     b = form.buy_and_hold(ctx.scenarios, ctx.flong).join(
         ctx.scenarios.select("scenario_id", F.col("formation_date").alias("rate_req_dt")), "scenario_id")
     r = valuation.fx_rate(ctx.fx, b)
-    return r.select("scenario_id", "symbol", F.round(valuation.convert_currency(
-        F.col("price"), F.col("rate"), F.col("currency")), 4).alias("price_eur"))
+    return r.select("scenario_id", "symbol", valuation.convert_currency(
+        F.col("price"), F.col("rate"), F.col("currency")).alias("price_eur"))
 
 
 VALUE_ROUND = {"value": MONEY}
@@ -399,18 +449,34 @@ left join bh_value w using ({PK_SQL})"""))
 def q_portfolio_summary(spark, sf_dir):
     """Return, variance and value at formation, one row per portfolio."""
     ctx = Ctx(spark, sf_dir)
-    p = form.buy_and_hold(ctx.scenarios, ctx.flong)
-    r = risk.portfolio_return(p, PK)
-    v = risk.portfolio_variance(p, ctx.scenarios, ctx.flong, PK).select(*PK, "variance")
-    w = valuation.portfolio_value(p, ctx.scenarios, ctx.prices, ctx.fx).select(*PK, "value")
-    out = r.join(v, PK, "left").join(w, PK, "left")
+    out = risk.portfolio_summary(form.buy_and_hold(ctx.scenarios, ctx.flong), ctx.scenarios, ctx.flong, ctx.prices, ctx.fx)
     return rounded(out.select(*PK, "ret", "variance", "value"), {"ret": R6, "variance": VAR, "value": MONEY})
 
 
+@query("value_in_usd", O.with_ctes(
+    BASE + O.bh_ctes() + O.shares_ctes("bh") + [("priced", """
+select h.scenario_id, h.portfolio_id, h.formation_date, h.shares, h.currency, p.dt as price_dt, p.adj_close as price
+from bh_shares h asof left join prices p on h.symbol = p.symbol and h.formation_date >= p.dt"""), ("rated", """
+select q.*, case when q.currency = 'USD' then price else price * f.rate end as base_price
+from priced q asof left join (select dt, 1 / adj_close as rate from fx where to_ccy = 'EUR') f on q.price_dt >= f.dt""")], """
+select scenario_id, portfolio_id, formation_date as val_dt,
+       round(case when count(base_price * shares) = count(*) then sum(base_price * shares) end, 2) as value
+from rated group by scenario_id, portfolio_id, formation_date"""))
+def q_value_in_usd(spark, sf_dir):
+    """Buy-and-hold portfolios at formation in US dollars: another base currency, rates given the other way round."""
+    ctx = Ctx(spark, sf_dir)
+    sh = valuation.allocate_shares(form.buy_and_hold(ctx.scenarios, ctx.flong), ctx.scenarios)
+    h = sh.select(*PK, "symbol", "shares", "currency", F.col("formation_date").alias("val_dt"))
+    usd = ctx.fx.select("dt", F.col("to_ccy").alias("from_ccy"), F.col("from_ccy").alias("to_ccy"), (F.lit(1.0) / F.col("adj_close")).alias("adj_close"))
+    return rounded(valuation.shares_value(h, ctx.prices, usd, base="USD").select(*PK, "val_dt", "value"), VALUE_ROUND)
+
+
 # ------------------------------------------------------- seeded random formation
 
 POP_COLS = ["scenario_id", "generation", "indiv_id", "symbol", "weight", "price", "currency", "mean"]
-POP_ROUND = {"weight": R6, "mean": R6}
+POP_ROUND = PORT_ROUND
+# Bounded draws are the same operations in both engines, bit for bit; they stay unrounded, as their short decimals tie.
+DRAW_ROUND = {"mean": R6}
 IK_SQL = "scenario_id, indiv_id"
 
 
@@ -424,25 +490,47 @@ def q_random_unconstrained(spark, sf_dir):
     return rounded(form.random_unconstrained(ctx.scenarios, ctx.flong), PORT_ROUND)
 
 
-RC_COLS = ["scenario_id", "generation", "indiv_id", "slot", "symbol", "weight", "price", "currency", "mean", "repaired"]
+RC_COLS = ["scenario_id", "generation", "indiv_id", "slot", "symbol", "weight", "price", "currency", "mean"]
 
 
-@query("random_constrained", _rec(BASE + OS.init_ctes(), sql_rounded(RC_COLS, POP_ROUND, "ini_rc")))
+@query("random_constrained", _rec(BASE + OS.init_ctes(), sql_rounded(RC_COLS, DRAW_ROUND, "ini_rc")))
 def q_random_constrained(spark, sf_dir):
     ctx = Ctx(spark, sf_dir)
     iu = slicing.indexed_universe(ctx.scenarios, ctx.flong)
-    return rounded(form.random_constrained(form.individuals_of(ctx.scenarios, 0), iu, "init"), POP_ROUND)
+    return rounded(form.random_constrained(form.individuals_of(ctx.scenarios, 0), iu, "init"), DRAW_ROUND)
+
+
+def _wide_draw(n):
+    base = O.base_ctes(n_assets=n)
+
+    @query(f"random_constrained_{n}", _rec(base + OS.init_ctes(), sql_rounded(RC_COLS, DRAW_ROUND, "ini_rc")))
+    def q(spark, sf_dir):
+        ctx = Ctx(spark, sf_dir, n_assets=n)
+        iu = slicing.indexed_universe(ctx.scenarios, ctx.flong)
+        return rounded(form.random_constrained(form.individuals_of(ctx.scenarios, 0), iu, "init"), DRAW_ROUND)
+    q.__doc__ = f"The bounded draw at n = {n}: the same rule as at n = 10."
 
 
-@query("init_population", _rec(BASE + OS.init_ctes(), sql_rounded(POP_COLS, POP_ROUND, "pop0")))
+for _n in (30, 50):
+    _wide_draw(_n)
+
+
+GBASE = O.base_ctes(windows=SEARCH_WINDOWS)
+
+
+@query("init_population", _rec(GBASE + OS.init_ctes(), sql_rounded(POP_COLS, DRAW_ROUND, "pop0")))
 def q_init_population(spark, sf_dir):
-    ctx = Ctx(spark, sf_dir)
-    return rounded(search.init_population(ctx.scenarios, ctx.flong), POP_ROUND)
+    ctx = _search_ctx(spark, sf_dir)
+    return rounded(search.init_population(ctx.scenarios, ctx.flong), DRAW_ROUND)
 
 
 # ----------------------------------------------------------- search steps
 
-GA_BASE = (BASE + OS.init_ctes() + O.lookback_ctes("pop0", IK_SQL) + OS.variance_identity_ctes("pop0", IK_SQL))
+def _search_ctx(spark, sf_dir):
+    return Ctx(spark, sf_dir, windows=SEARCH_WINDOWS)
+
+
+GA_BASE = (GBASE + OS.init_ctes() + O.lookback_ctes("pop0", IK_SQL) + OS.variance_identity_ctes("pop0", IK_SQL) + OS.eval_ctes("pop0"))
 FIT_ROUND = {"ret": R6, "variance": VAR, "fitness": VAR}
 
 
@@ -450,8 +538,8 @@ class _Gen0:
     """Generation 0 of the search over the scenario grid, shared by the step queries."""
 
     def __init__(self, spark, sf_dir):
-        self.ctx = Ctx(spark, sf_dir)
-        self.scen = search._cut(self.ctx.scenarios)
+        self.ctx = _search_ctx(spark, sf_dir)
+        self.scen = self.ctx.scenarios
         self.iu = search._cut(slicing.indexed_universe(self.scen, self.ctx.flong))
         self.rets = search._cut(search.lookback_returns(self.scen, self.ctx.flong))
         self.pop = search._cut(search.init_population(self.scen, self.ctx.flong, self.iu))
@@ -490,7 +578,7 @@ def q_fitness_linear(spark, sf_dir):
     return rounded(f.select("scenario_id", "indiv_id", "ret", "variance", "fitness"), FIT_ROUND)
 
 
-@query("evaluate_population", _rec(GA_BASE, sql_rounded(["scenario_id", "indiv_id", "ret", "variance", "fitness"], FIT_ROUND, "pop0_fit")))
+@query("evaluate_population", _rec(GA_BASE, sql_rounded(["scenario_id", "indiv_id", "ret", "variance", "fitness"], FIT_ROUND, "pop0_eval")))
 def q_evaluate_population(spark, sf_dir):
     return rounded(_Gen0(spark, sf_dir).fit(), FIT_ROUND)
 
@@ -535,10 +623,10 @@ def q_mutate(spark, sf_dir):
     return rounded(search.mutate(g.kids(), g.scen, g.iu, 0), POP_ROUND)
 
 
-@query("immigrants", _rec(STEPS, sql_rounded(POP_COLS, POP_ROUND, "imm_rc")))
+@query("immigrants", _rec(STEPS, sql_rounded(POP_COLS, DRAW_ROUND, "imm_rc")))
 def q_immigrants(spark, sf_dir):
     g = _Gen0(spark, sf_dir)
-    return rounded(search.immigrants(g.scen, g.iu, 0), POP_ROUND)
+    return rounded(search.immigrants(g.scen, g.iu, 0), DRAW_ROUND)
 
 
 @query("next_generation", _rec(STEPS, sql_rounded(POP_COLS, POP_ROUND, "nextgen")))
@@ -549,14 +637,6 @@ def q_next_generation(spark, sf_dir):
 
 # ---------------------------------------------------------- sources and sinks
 
-from basketry.operators import backtest  # noqa: E402
-from basketry.session import scratch_path  # noqa: E402
-from basketry.sources import csv as csvsrc  # noqa: E402
-from basketry.sources import fixtures as fx_mod  # noqa: E402
-from basketry.sources import parquet as pq  # noqa: E402
-from basketry.sources import sinks  # noqa: E402
-from basketry.sources.schemas import ASSET_CSV, FX_CSV  # noqa: E402
-
 RAW_SQL = ("select dt, adj_close as open, high, low, adj_close as close, adj_close, volume, symbol, index_name, currency "
            "from panel_raw")
 
@@ -598,6 +678,33 @@ def q_rejected_rows(spark, sf_dir):
     return rej.groupBy(F.split("line", ";").getItem(7).alias("symbol")).agg(F.count(F.lit(1)).alias("n_rejected"))
 
 
+LISTED = "index_name <> 'AFRICA'"
+
+
+def _downloaded(spark, sf_dir):
+    """Downloader files (8 columns) of every symbol, and a listing that lacks the African ones."""
+    raw = fx_mod.panel_raw(spark, sf_dir)
+    path = scratch_path(spark, "downloader-csv")
+    csvsrc.write_downloader_csv(raw, path)
+    return path, raw.filter(LISTED).select("symbol", "index_name", "currency").distinct()
+
+
+@query("read_downloader_csv", O.with_ctes([("panel_raw", SQL_PANEL_RAW)], RAW_SQL + f" where {LISTED}"))
+def q_read_downloader_csv(spark, sf_dir):
+    """The 8-column layout, index and currency joined from the listing."""
+    path, listing = _downloaded(spark, sf_dir)
+    return csvsrc.read_downloader_csv(spark, path, listing)
+
+
+@query("unlisted_rows", O.with_ctes([("panel_raw", SQL_PANEL_RAW)],
+                                     f"select symbol, count(*) as n_rejected from panel_raw where not {LISTED} group by symbol"))
+def q_unlisted_rows(spark, sf_dir):
+    """Downloader rows whose symbol the listing lacks, counted per symbol."""
+    path, listing = _downloaded(spark, sf_dir)
+    rej = csvsrc.downloader_rejects(spark, path, listing)
+    return rej.groupBy(F.split("line", ";").getItem(7).alias("symbol")).agg(F.count(F.lit(1)).alias("n_rejected"))
+
+
 @query("read_panel_parquet", O.with_ctes([("panel_raw", SQL_PANEL_RAW)],
                                           "select symbol, dt, adj_close, volume, index_name, currency from panel_raw"))
 def q_read_panel_parquet(spark, sf_dir):
@@ -655,16 +762,18 @@ def q_sample_rows(spark, sf_dir):
     return ranked.select("dt", "win", "symbol", F.col("rk").cast("bigint").alias("rk"))
 
 
-_PIVOT_SYMBOLS = [f"N_{k}" for k in range(25)]
+_PIVOT_SQL = O.with_ctes(BASE, "select dt, " + ", ".join(
+    f"round(max(case when symbol = 'N_{k}' then ror_60 end), 6) as N_{k}" for k in range(25)) + " from features group by dt")
 
 
-@query("pivot_returns", O.with_ctes(BASE, "select dt, " + ", ".join(
-        f"round(max(case when symbol = '{s}' then ror_60 end), 6) as {s}" for s in _PIVOT_SYMBOLS) + " from features group by dt"))
+@query("pivot_returns", _PIVOT_SQL)
 def q_pivot_returns(spark, sf_dir):
-    """dt x symbol matrix of ror_60 for the 25 nation symbols (explicit value list)."""
+    """dt x symbol matrix of ror_60: a column for every row of nation, which names the symbols."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey").distinct().sort("n_nationkey")
+    symbols = [f"N_{r[0]}" for r in nations.collect()]
     f = Ctx(spark, sf_dir).features.select("symbol", "dt", F.col("ror_60").alias("ror"))
-    p = slicing.pivot_returns(f, _PIVOT_SYMBOLS)
-    return p.select("dt", *[F.round(c, 6).alias(c) for c in _PIVOT_SYMBOLS])
+    p = slicing.pivot_returns(f, symbols)
+    return p.select("dt", *[F.round(c, 6).alias(c) for c in symbols])
 
 
 @query("sorted_panel", O.with_ctes(BASE, "select symbol, dt, adj_close from prices"))
@@ -675,64 +784,108 @@ def q_sorted_panel(spark, sf_dir):
 
 # ----------------------------------------------------------- backtests, search loop
 
-def _regime_scenarios(ctx):
-    return ctx.scenarios.withColumn("regime", F.date_format("formation_date", "yyyy"))
-
-
-@query("regime_backtest", _rec(BASE + O.bh_ctes() + OS.unconstrained_ctes() + [
-        ("allp", "select * from bh union all select * from unc")] + O.roi_ctes("allp") + [
-        ("rg", "select scenario_id, strftime(formation_date, '%Y') as regime from scenarios")], """
-select g.regime, r.portfolio_id, r.horizon, count(r.roi) as n, round(avg(r.roi), 6) as avg_roi,
-       round(min(r.roi), 6) as min_roi, round(max(r.roi), 6) as max_roi, round(stddev_samp(r.roi), 6) as std_roi
-from allp_roi r join rg g using (scenario_id) group by g.regime, r.portfolio_id, r.horizon"""))
+GENERATIONS = DEFAULTS["generations"]
+# Named market regimes, as the reference's live run has three of them: a report table.
+REGIMES = [("early", "1996-01-02", "1996-12-31"), ("middle", "1998-01-02", "1998-06-30"), ("late", "2000-01-02", "2000-12-31")]
+
+
+def _scenarios_as(base, name, sql):
+    """``base`` with its scenario grid renamed and ``scenarios`` defined from it."""
+    out = []
+    for n, q in base:
+        out += [(name, q), ("scenarios", sql)] if n == "scenarios" else [(n, q)]
+    return out
+
+
+_REGIME_BASE = _scenarios_as(GBASE, "grid", f"""
+select g.*, r.regime, r.end_date
+from grid g, (values {', '.join(f"('{n}', date '{a}', date '{b}')" for n, a, b in REGIMES)}) r(regime, start_date, end_date)
+where g.formation_date = (select min(x.formation_date) from grid x where x.formation_date between r.start_date and r.end_date)""")
+
+
+@query("regime_backtest", O.with_ctes(
+    _REGIME_BASE + O.bh_ctes() + OS.evolve_ctes(GENERATIONS) + OS.unconstrained_ctes()[2:] + [
+        ("allp", "select * from bh union all select * from unc union all select * from best"),
+        ("ends", f"""
+select distinct scenario_id, formation_date + cast(d.days as integer) as end_date
+from scenarios s, (values {', '.join(f'({d})' for d in backtest.REGIME_STEPS)}) d(days) where formation_date + cast(d.days as integer) <= s.end_date
+union select scenario_id, end_date from scenarios""")] + O.shares_ctes("allp") + [("vdates", """
+select scenario_id, end_date as val_dt from ends union select scenario_id, formation_date from scenarios""")] + O.value_ctes("allp", "vdates"), """
+select s.regime, st.portfolio_id, s.scenario_id, e.end_date, round(st.value - cast(s.fee * s.n_assets as double), 2) as start_value,
+       round(en.value, 2) as end_value,
+       round((en.value - (st.value - cast(s.fee * s.n_assets as double))) / nullif(st.value - cast(s.fee * s.n_assets as double), 0), 6) as roi
+from ends e join scenarios s using (scenario_id)
+join allp_value st on st.scenario_id = e.scenario_id and st.val_dt = s.formation_date
+join allp_value en on en.scenario_id = e.scenario_id and en.portfolio_id = st.portfolio_id and en.val_dt = e.end_date""",
+    recursive=True, materialized=True))
 def q_regime_backtest(spark, sf_dir):
-    """Buy-and-hold vs random portfolios, ROI per calendar-year regime and horizon."""
-    ctx = Ctx(spark, sf_dir)
-    s = _regime_scenarios(ctx)
-    ports = form.buy_and_hold(s, ctx.flong).unionByName(form.random_unconstrained(s, ctx.flong))
-    r = backtest.regime_backtest(ports, s, ctx.prices, ctx.fx)
-    return rounded(r, {"avg_roi": R6, "min_roi": R6, "max_roi": R6, "std_roi": R6})
+    """Buy-and-hold, random and optimised portfolios formed at the start of each regime, valued at fixed dates within it."""
+    ctx = _search_ctx(spark, sf_dir)
+    regimes = spark.createDataFrame(REGIMES, "regime string, start_date string, end_date string").select(
+        "regime", F.to_date("start_date").alias("start_date"), F.to_date("end_date").alias("end_date"))
+    s = stage_scratch(backtest.regime_scenarios(ctx.scenarios, regimes), "regime-scenarios")
+    r = backtest.regime_backtest(backtest.strategies(s, ctx.flong), s, ctx.prices, ctx.fx)
+    return rounded(r, ROI_ROUND)
 
 
 def _evolved(spark, sf_dir):
-    ctx = Ctx(spark, sf_dir)
+    ctx = _search_ctx(spark, sf_dir)
     return search.evolve(ctx.scenarios, ctx.flong)
 
 
-@query("evolve")
+def _evolve_sql(final, base=None):
+    return O.with_ctes((base or GBASE) + OS.evolve_ctes(GENERATIONS), final, recursive=True, materialized=True)
+
+
+@query("evolve", _evolve_sql(sql_rounded(POP_COLS, POP_ROUND, f"pop_g{GENERATIONS}")))
 def q_evolve(spark, sf_dir):
-    """The last generation of the search for every scenario (rows: invariants, no oracle)."""
-    return _evolved(spark, sf_dir)[1]
+    """The last generation of the search for every scenario."""
+    return rounded(_evolved(spark, sf_dir)[1].select(*POP_COLS), POP_ROUND)
 
 
-@query("optimized")
+@query("optimized", _evolve_sql(sql_rounded(PORT_COLS, PORT_ROUND, "best")))
 def q_optimized(spark, sf_dir):
     """The optimised portfolio of every scenario (portfolio_id 2)."""
-    return _evolved(spark, sf_dir)[0]
+    return rounded(_evolved(spark, sf_dir)[0], PORT_ROUND)
 
 
-@query("fitness_history")
+HISTORY_SQL = "select scenario_id, generation, round(best_fitness, 4) as best_fitness from history"
+
+
+@query("fitness_history", _evolve_sql(HISTORY_SQL))
 def q_fitness_history(spark, sf_dir):
-    """Best fitness and seconds per generation for every scenario."""
-    return _evolved(spark, sf_dir)[2]
+    """Best fitness per generation for every scenario (the seconds beside it differ from run to run)."""
+    return rounded(_evolved(spark, sf_dir)[2].drop("runtime_s"), {"best_fitness": VAR})
 
 
-@query("write_run_stats")
+@query("write_run_stats", _evolve_sql("select *, true as timed from (" + HISTORY_SQL + ") t"))
 def q_write_run_stats(spark, sf_dir):
-    """The search statistics written in one CSV write and read back."""
+    """The search statistics written in one CSV write and read back; of the clock columns, whether they are there."""
     import time as _t
     t0 = _t.perf_counter()
     _, _, hist = _evolved(spark, sf_dir)
     path = scratch_path(spark, "stats")
     sinks.write_run_stats(hist, path, "r0", _t.perf_counter() - t0)
-    return spark.read.option("header", "true").schema(
+    back = spark.read.option("header", "true").schema(
         "scenario_id bigint, generation int, best_fitness double, runtime_s double, total_s double").csv(f"{path}/run_id=r0")
+    back = back.withColumn("timed", (F.col("runtime_s") > 0) & (F.col("total_s") > 0)).drop("runtime_s", "total_s")
+    return rounded(back, {"best_fitness": VAR})
 
 
-@query("repeat_runs")
+RUNS = 2
+_RUN_COLS = "formation_date, win, n_assets, fitness_type, generations, pop_size, mutation_rate, budget, fee"
+
+
+@query("repeat_runs", _evolve_sql("""
+select s.base_id, count(*) as runs, round(avg(r.ret), 6) as avg_ret, round(min(r.ret), 6) as min_ret, round(max(r.ret), 6) as max_ret,
+       round(stddev_samp(r.ret), 6) as std_ret
+from (select scenario_id, sum(mean * weight) as ret from best group by scenario_id) r join scenarios s using (scenario_id) group by s.base_id""",
+    _scenarios_as(GBASE, "grid", f"select scenario_id * {RUNS} + run as scenario_id, {_RUN_COLS}, seed * {RUNS} + run as seed, scenario_id as base_id "
+                                 f"from grid, (select range as run from range({RUNS})) r")))
 def q_repeat_runs(spark, sf_dir):
-    """The search repeated five times per scenario (own seeds), summarised per scenario."""
-    ctx = Ctx(spark, sf_dir)
-    rep = backtest.repeat_scenarios(ctx.scenarios, 5)
+    """The search repeated per scenario (own ids and seeds), summarised per scenario."""
+    ctx = _search_ctx(spark, sf_dir)
+    rep = stage_scratch(backtest.repeat_scenarios(ctx.scenarios, RUNS), "repeats")
     best, _, _ = search.evolve(rep, ctx.flong)
-    return backtest.repeat_summary(best, rep)
+    out = backtest.repeat_summary(best, rep)
+    return rounded(out, {c: R6 for c in ("avg_ret", "min_ret", "max_ret", "std_ret")})

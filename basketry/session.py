@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every run wants; cluster-size settings (executor memory, shuffle
 # partitions at scale) belong to the deployment, AQE re-plans at run time.
@@ -58,3 +58,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for written intermediate tables, under the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/basketry-scratch/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written once as Parquet at ``path`` and read back: a lineage cut
+    with column pruning and statistics, on files that every executor sees."""
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_scratch(df: DataFrame, name: str) -> DataFrame:
+    return stage(df, scratch_path(df.sparkSession, name))
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder through its Hadoop file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

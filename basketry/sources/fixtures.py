@@ -86,6 +86,28 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("SUPPLIERS").alias("index_name"), F.lit("USD").alias("currency"))
 
 
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw price rows with repeats: every lineitem is a tick of its supplier on the ship day."""
+    li = _t(spark, sf_dir, "lineitem")
+    return li.select(
+        F.concat(F.lit("S."), F.col("l_suppkey").cast("string")).alias("symbol"), F.col("l_shipdate").cast("date").alias("dt"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("adj_close"), F.col("l_quantity").cast("bigint").alias("volume"),
+        F.lit("SUPPLIERS").alias("index_name"), F.lit("USD").alias("currency"))
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly bars, one asset per part: a wide universe (thousands of symbols)."""
+    li = _t(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice", "l_quantity")
+    g = (li.groupBy("l_partkey", F.date_trunc("month", "l_shipdate").cast("date").alias("dt"))
+           .agg(F.sum(_cents("l_extendedprice")).alias("cents"),
+                F.sum(F.col("l_quantity").cast("bigint")).alias("qty")))
+    return g.select(
+        F.concat(F.lit("P."), F.col("l_partkey").cast("string")).alias("symbol"), "dt",
+        (g.cents.cast("double") / g.qty.cast("double") / F.lit(100.0)).alias("adj_close"),
+        F.col("qty").cast("bigint").alias("volume"),
+        F.lit("PARTS").alias("index_name"), F.lit("USD").alias("currency"))
+
+
 # ---------------------------------------------------------------- oracle text
 # The same tables as DuckDB SQL over the pre-registered views.
 
@@ -127,3 +149,12 @@ select concat('S.', l_suppkey) as symbol, cast(l_shipdate as date) as dt,
        'SUPPLIERS' as index_name, 'USD' as currency
 from lineitem group by l_suppkey, cast(l_shipdate as date)
 """
+
+SQL_PARTS = """
+select concat('P.', l_partkey) as symbol, cast(date_trunc('month', l_shipdate) as date) as dt,
+       cast(sum(cast(round(l_extendedprice * 100) as bigint)) as double)
+         / cast(sum(cast(l_quantity as bigint)) as double) / cast(100 as double) as adj_close,
+       cast(sum(cast(l_quantity as bigint)) as bigint) as volume,
+       'PARTS' as index_name, 'USD' as currency
+from lineitem group by l_partkey, cast(date_trunc('month', l_shipdate) as date)
+"""

@@ -20,12 +20,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def write_panel_parquet(df: DataFrame, path: str) -> None:
     """Write partitioned by year; fails if the path exists (the reference's default mode).
 
-    No extra shuffle: the feature panel leaves its window exchange clustered by
-    symbol, and a local sort by (year, symbol, dt) both satisfies the
-    partitioned writer and keeps each file ordered by symbol and date (tight
-    min/max statistics for symbol and date filters)."""
+    Rebalanced by year: the exchange's partitions are merged or split at run
+    time to the advisory size, so a year gets as many files as its data needs,
+    not one a task.  Rows of a file are ordered by symbol and date (tight
+    min/max statistics)."""
     out = df if "year" in df.columns else df.withColumn("year", F.year("dt").cast("int"))
-    (out.sortWithinPartitions("year", "symbol", "dt")
+    (out.hint("rebalance", "year").sortWithinPartitions("year", "symbol", "dt")
         .write.mode("errorifexists").partitionBy("year").parquet(path))
 
 
@@ -35,7 +35,10 @@ def read_panel_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 def panel_or_build(spark: SparkSession, path: str, csv_paths) -> DataFrame:
     """The stored feature panel at ``path``; built from the CSV files and stored
-    first when absent.  An explicit existence test, so read errors surface."""
+    first when absent.  A folder that a broken-off write left (no ``_SUCCESS``)
+    is an error, not a panel: the caller decides what becomes of it."""
     if not path_exists(spark, path):
         write_panel_parquet(asset_features(read_asset_csv(spark, csv_paths)), path)
+    elif not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+        raise RuntimeError(f"{path} holds an incomplete panel (no _SUCCESS): remove it and build again")
     return read_panel_parquet(spark, path)

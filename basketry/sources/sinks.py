@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_portfolios(portfolios: DataFrame, path: str, run_id: str) -> None:
-    """All scenarios' portfolios as CSV with header under run_id=<run_id>/.
+def _write_run(rows: DataFrame, path: str, run_id: str) -> None:
+    """CSV with header under run_id=<run_id>/; a run id that is there already is an error, as rows would double."""
+    rows.write.mode("errorifexists").option("header", "true").csv(f"{path.rstrip('/')}/run_id={run_id}")
+
 
-    A run id replaces the reference's probe-for-a-free-file-name loop."""
-    (portfolios.withColumn("run_id", F.lit(run_id))
-        .write.mode("append").partitionBy("run_id").option("header", "true").csv(path))
+def write_portfolios(portfolios: DataFrame, path: str, run_id: str) -> None:
+    """All scenarios' portfolios of one run.  A run id replaces the reference's
+    probe-for-a-free-file-name loop; like there, a used name is never written to."""
+    _write_run(portfolios, path, run_id)
 
 
 def write_run_stats(history: DataFrame, path: str, run_id: str, total_s: float) -> None:
-    """(scenario_id, generation, best_fitness, runtime_s, total_s) as CSV under run_id=<run_id>/."""
-    (history.withColumn("total_s", F.lit(float(total_s))).withColumn("run_id", F.lit(run_id))
-        .write.mode("append").partitionBy("run_id").option("header", "true").csv(path))
+    """(scenario_id, generation, best_fitness, runtime_s, total_s) of one run."""
+    _write_run(history.withColumn("total_s", F.lit(float(total_s))), path, run_id)
