@@ -36,9 +36,9 @@ MAX_CHARS = 10_000
 AFFIXES = (3, 4, 5, 6)
 ROUNDS = 60
 #: Words whose emission a worker remembers.
-MEMORY = 400_000
+MEMORY = 150_000
 #: Texts whose recursions run side by side.
-ROWS = 1024
+ROWS = 512
 WORD = re.compile(r"[^\W\d_]+")
 
 
