@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import basketry
 from basketry.session import scratch_path
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``; also what ``bytes.split()`` splits at.
@@ -32,6 +36,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once an application: they need not have it installed."""
+    sc, root = spark.sparkContext, Path(basketry.__file__).parent
+    if sc.applicationId in _SHIPPED or not root.is_dir():
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    path = scratch_path(spark, "package") + "/basketry.zip"
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def filled(df: DataFrame, column: str) -> Column:
     """The text column, null as empty."""
     return F.coalesce(df[column], F.lit(""))
@@ -70,6 +95,7 @@ def map_rows(df: DataFrame, columns: list[str], func: Callable[[list[list]], lis
             out = func([c.to_pylist() for c in part.columns])
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=names)
 
+    ship_package(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
 
 
@@ -95,4 +121,5 @@ def rewrite_rows(df: DataFrame, text_col: str, func: Callable[[list], tuple[list
                 part = pa.RecordBatch.from_arrays(columns, schema=part.schema)
             yield part if keep is None else part.filter(pa.array(keep, pa.bool_()))
 
+    ship_package(df.sparkSession)
     return df.mapInArrow(run, df.schema)

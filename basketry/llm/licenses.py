@@ -147,16 +147,14 @@ def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
     base = docs.select(docs[id_col].alias("doc_id"), lines.alias("lines"))
     base = base.select("doc_id", "lines", canonical_text(F.col("lines")).alias("c"))
     base = base.select("doc_id", "lines", F.length("c").cast("long").alias("canon_chars"), F.sha2("c", 256).alias("digest"))
+    parts = F.filter(F.transform(F.split("lines", "\n"), lambda x: F.trim(F.regexp_replace(x, " +", " "))), lambda x: F.length(x) > 0)
     if len(rows) > BROADCAST_ROWS:
-        out = base.join(digests.select("digest", F.col("license_id").alias("license")), "digest", "left")
-        return out.select("doc_id", "canon_chars", "digest", "license",
-                          F.lit(None).cast("string").alias("notices"), F.lit(0).cast("long").alias("n_notices"))
+        return _scan_by_shuffle(base.withColumn("key", F.sha2("lines", 256)), digests, parts)
     spark = docs.sparkSession
     small = F.broadcast(spark.createDataFrame([(r[0], r[1]) for r in rows], "digest string, license string"))
     longest = max([r[2] for r in rows], default=0)
     ids = F.create_map(*[F.lit(v) for r in rows for v in (r[0], r[1])]) if rows else F.lit(None).cast("map<string,string>")
-    found = F.transform(F.split("lines", "\n"), lambda x: F.trim(F.regexp_replace(x, " +", " ")))
-    found = F.filter(found, lambda x: (F.length(x) > 0) & (F.length(x) <= longest))
+    found = F.filter(parts, lambda x: F.length(x) <= longest)
     found = F.filter(F.transform(found, lambda x: F.try_element_at(ids, F.sha2(x, 256))), lambda x: x.isNotNull())
     out = base.withColumn("found", F.coalesce(found, F.array().cast("array<string>"))).join(small, "digest", "left")
     return out.select("doc_id", "canon_chars", "digest", "license",
@@ -164,6 +162,18 @@ def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
                       F.size("found").cast("long").alias("n_notices"))
 
 
+def _scan_by_shuffle(base: DataFrame, digests: DataFrame, parts: Column) -> DataFrame:
+    """The same rows for a table of licences that is too large to broadcast: plain joins on the digests of texts
+    and of lines.  Lines are looked up once a distinct text, so copies cost nothing and no row needs an id."""
+    known = digests.select(F.col("digest").alias("d"), F.col("license_id").alias("license"))
+    lines = base.select("key", F.posexplode(F.transform(parts, lambda x: F.sha2(x, 256))).alias("i", "d")).distinct()
+    notices = lines.join(known, "d").groupBy("key").agg(
+        F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"), F.count("*").alias("n_notices"))
+    out = base.join(known, base["digest"] == known["d"], "left").join(notices, "key", "left")
+    return out.select("doc_id", "canon_chars", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"),
+                      F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
+
+
 def _sql_respelled(expr: str, pairs) -> str:
     for old, new in pairs:
         expr = f"replace({expr}, ' {old.replace(' ', '  ')} ', '{f' {new} ' if new else '  '}')"

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from basketry.llm.common import sliced
+from basketry.llm.common import ship_package, sliced
 
 WINDOW = 1024
 END_ID = 0
@@ -185,4 +185,5 @@ def packed(docs: DataFrame, window: int = WINDOW, ranks: str | None = None, buff
 
     schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(n, T.LongType()) for n in names[1:]]])
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    ship_package(docs.sparkSession)
     return slim.mapInArrow(run, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketry.llm.common import map_rows, staged
+from basketry.llm.common import map_rows, ship_package, staged
 
 SEED = 42
 PIVOTS = 24
@@ -182,6 +182,7 @@ def _links(fps: DataFrame, bits: int, n: int, split: int, refs: np.ndarray) -> D
         if held:
             yield forest(held)
 
+    ship_package(fps.sparkSession)
     return spread.repartition(*keys).sortWithinPartitions(*keys).select(*keys, "fp").mapInArrow(run, "a long, b long").distinct()
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import staged
+from basketry.llm.common import ship_package, staged
 
 #: Queries that are sent to all tasks at a time: the bound of what is broadcast, QUERY_BLOCK * dimensions * 8 bytes.
 QUERY_BLOCK = 2_048
@@ -163,6 +163,7 @@ def _block(table: DataFrame, page: list, order: list[int], starts: list[int], k:
         q, i, v = zip(*out, strict=True) if out else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(v, pa.int64())], names=["query", "vec_id", "score"])
 
+    ship_package(table.sparkSession)
     local = table.select("vec_id", "v", "row").mapInArrow(run, "query long, vec_id long, score long")
     # k rows a query and task meet; the rank limit keeps k of them in each task before the exchange
     ranked = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))

@@ -42,6 +42,13 @@ def test_license_repeated_spellings_share_no_blank(spark):
     assert licenses.license_scan(docs, known).first().license == "L"
 
 
+def test_license_shuffle_joins_give_the_same(spark, documents, edges, monkeypatch):
+    known = licenses.known_licenses(spark)
+    small = [rows_of(licenses.license_scan(d, known)) for d in (documents, edges)]
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", 0)
+    assert [rows_of(licenses.license_scan(d, known)) for d in (documents, edges)] == small
+
+
 # ---- sharding
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 24, 25, 97, 1000, 4097])
