@@ -828,9 +828,16 @@ def q_regime_backtest(spark, sf_dir):
     return rounded(r, ROI_ROUND)
 
 
+_RUNS: dict[tuple[str, str], tuple] = {}
+
+
 def _evolved(spark, sf_dir):
-    ctx = _search_ctx(spark, sf_dir)
-    return search.evolve(ctx.scenarios, ctx.flong)
+    """One search over the grid a session and data folder; its three results are different queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RUNS:
+        ctx = _search_ctx(spark, sf_dir)
+        _RUNS[key] = search.evolve(ctx.scenarios, ctx.flong)
+    return _RUNS[key]
 
 
 def _evolve_sql(final, base=None):
@@ -863,7 +870,8 @@ def q_write_run_stats(spark, sf_dir):
     """The search statistics written in one CSV write and read back; of the clock columns, whether they are there."""
     import time as _t
     t0 = _t.perf_counter()
-    _, _, hist = _evolved(spark, sf_dir)
+    ctx = _search_ctx(spark, sf_dir)
+    _, _, hist = search.evolve(ctx.scenarios, ctx.flong)
     path = scratch_path(spark, "stats")
     sinks.write_run_stats(hist, path, "r0", _t.perf_counter() - t0)
     back = spark.read.option("header", "true").schema(
