@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.common import ship_package, staged
+from basketry.session import scratch_path
 
 #: Queries that are sent to all tasks at a time: the bound of what is broadcast, QUERY_BLOCK * dimensions * 8 bytes.
 QUERY_BLOCK = 2_048
@@ -107,8 +108,8 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id",
 
     ``is_query`` is a condition on ``vec_id``.  Returns query_id, rank (from
     1), vec_id, score; ties go to the smaller vec_id, null ids last.  Queries go
-    in blocks of ``query_block`` against all rows, one job a block; each task
-    keeps k rows a query.
+    in blocks of ``query_block`` against all rows, one job a block, whose rows
+    are appended to one table; each task keeps k rows a query.
 
     Vectors that are null or hold null or non-finite components take no part;
     shorter vectors count as padded with zeros, empty ones score 0; repeated
@@ -125,20 +126,13 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id",
     # the query set, numbered without a window: pages of a sorted table
     asked = staged(table.where(is_query).sort("vec_id", "row"), "queries")
     asked = asked.withColumn("f", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")).withColumn("i", F.col("_metadata.row_index"))
-    parts, after = [], F.lit(True)
+    path, after = None, F.lit(True)
     while page := asked.where(after).sort("f", "i").limit(query_block).collect():
         f, i = page[-1]["f"], page[-1]["i"]
         after = (F.col("f") > f) | ((F.col("f") == f) & (F.col("i") > i))
-        parts.append(_block(table, page, order, starts, k))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    return _union(parts)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    while len(parts) > 1:
-        parts = [parts[i].unionByName(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-    return parts[0]
+        path = path or scratch_path(spark, "top-k")
+        _block(table, page, order, starts, k).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)
 
 
 def _block(table: DataFrame, page: list, order: list[int], starts: list[int], k: int) -> DataFrame:
