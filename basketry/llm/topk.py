@@ -120,12 +120,13 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id",
     schema = "query_id long, rank int, vec_id long, score long"
     ints = integer_vectors(vectors, id_col, vec_col).withColumn("vec_id", F.col("vec_id").cast("long"))
     table = staged(ints, "vectors")
-    table = table.select("vec_id", "v", F.xxhash64("_metadata.file_name", "_metadata.row_index").alias("row"))
+    file = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+    table = table.select("vec_id", "v", (F.shiftleft(file, 40) + F.col("_metadata.row_index")).alias("row"))
     order = dimension_order(table)
     starts = list(range(0, len(order), dim_block))
     # the query set, numbered without a window: pages of a sorted table
     asked = staged(table.where(is_query).sort("vec_id", "row"), "queries")
-    asked = asked.withColumn("f", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")).withColumn("i", F.col("_metadata.row_index"))
+    asked = asked.withColumn("f", file).withColumn("i", F.col("_metadata.row_index"))
     path, after = None, F.lit(True)
     while page := asked.where(after).sort("f", "i").limit(query_block).collect():
         f, i = page[-1]["f"], page[-1]["i"]
