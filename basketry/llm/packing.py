@@ -13,6 +13,7 @@ fit; only the last window of a buffer is padded.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,13 @@ BUFFER_TOKENS = 16_000_000
 SPECIAL = "<|endoftext|>"
 SPECIAL_ID = 50_256
 
-_encoders: dict[str, object] = {}
+#: Runs of white space from this length on are encoded as pieces of their own: the pattern's look-ahead keeps one state
+#: a character of a run, and tiktoken panics at 1,000,000 of them.
+LONG_RUN = 100_000
+#: Two or more characters of the pattern's ``\\s`` (Python's own also has U+001C to U+001F).
+_RUNS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{2,}")
+
+_encoders: dict[tuple[str, bool], object] = {}
 
 
 def default_ranks() -> str:
@@ -40,22 +47,48 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encoder(path: str):
-    """The vocabulary as merge ranks, loaded once a worker; the same ids as the JSON form, several times faster."""
-    if path not in _encoders:
+def encoder(path: str, one_piece: bool = False):
+    """The vocabulary as merge ranks, loaded once a worker; the same ids as the JSON form, several times faster.
+
+    With ``one_piece`` texts are not split before the merges, so no look-ahead is needed.
+    """
+    if (path, one_piece) not in _encoders:
         import public_tokenizers
         import tiktoken
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
-    return _encoders[path]
+        pattern = r"(?s:.+)" if one_piece else public_tokenizers.PATTERN
+        _encoders[path, one_piece] = tiktoken.Encoding("byte_bpe_50k", pat_str=pattern, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
+    return _encoders[path, one_piece]
+
+
+def _ids_around_runs(text: str, path: str) -> list[int]:
+    """Ids of a text without special tokens, its long runs of white space taken out of the pattern's way.
+
+    As the pattern does, a run is one piece up to its last character, which goes
+    with what follows; at the text's end the whole run is the piece.
+    """
+    ids, at = [], 0
+    for run in _RUNS.finditer(text):
+        if run.end() - run.start() >= LONG_RUN:
+            end = run.end() - (run.end() < len(text))
+            ids += encoder(path).encode_ordinary(text[at:run.start()])
+            ids += encoder(path, True).encode_ordinary(text[run.start():end])
+            at = end
+    return ids + encoder(path).encode_ordinary(text[at:])
 
 
 def token_ids(text: str | None, path: str) -> np.ndarray:
     """Ids of the text and the end id, as little-endian 32-bit numbers. The special token's string is that token."""
     text = text or ""
     e = encoder(path)
-    ids = e.encode(text, allowed_special="all") if SPECIAL in text else e.encode_ordinary(text)
+    if len(text) >= LONG_RUN:
+        ids = []
+        for i, part in enumerate(text.split(SPECIAL)):
+            ids += [SPECIAL_ID] * (i > 0)
+            ids += _ids_around_runs(part, path)
+    else:
+        ids = e.encode(text, allowed_special="all") if SPECIAL in text else e.encode_ordinary(text)
     ids.append(END_ID)
     return np.array(ids, "<u4")
 

@@ -133,6 +133,13 @@ def test_ranks_give_the_ids_of_the_tokenizer():
     assert not bad, (len(bad), [hex(ord(s[1])) for s in bad[:20] if len(s) > 1])
 
 
+def test_long_runs_of_white_space_are_packed_whole(spark):
+    n = 2_000_000
+    texts = [" " * n, "\n" * n, "a" + " " * n + "b", "a\n" + " \t\r" * 400_000 + "\n<|endoftext|>" + "\u3000" * 150_000 + "é" + "\n" * n + "x  y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_packing(docs.collect(), packing.packed(docs).collect())
+
+
 # ---- mixing
 
 def water(sizes, weights=(3, 1, 2), share=1.5, most=2):
