@@ -8,6 +8,8 @@ DataFrame functions only; no shuffle, since the known table is broadcast.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +66,7 @@ _ISC_TAIL = ('THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARR
              "PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION "
              "WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.")
 
-#: Public licence texts and one-line notices.
+#: Short public licence texts and one-line notices.
 KNOWN = [
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated '
             'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
@@ -95,6 +97,10 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
 ]
+#: Longer licences, whole: one file each, named by its id.
+TEXTS = Path(__file__).parent / "license_texts"
+#: Where the terms end; often copied without what follows (how to apply them).
+TERMS_END = "END OF TERMS AND CONDITIONS"
 #: Known licences up to this number are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 10_000
 
@@ -119,9 +125,20 @@ def canonical_text(lines: Column) -> Column:
     return F.trim(F.regexp_replace(_respelled(F.regexp_replace(lines, "[ \\n]+", "  "), PHRASES), " +", " "))
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of the built-in licences and notices; terms with an appendix also without it."""
+    known = list(KNOWN)
+    for p in sorted(TEXTS.iterdir()):
+        text = p.read_text("utf-8")
+        known.append((p.stem, text))
+        if TERMS_END in text:
+            known.append((p.stem, text[:text.index(TERMS_END) + len(TERMS_END)]))
+    return known
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """(license_id, text) of the built-in licences and notices."""
-    return spark.createDataFrame(KNOWN, "license_id string, text string")
+    """(license_id, text) of :func:`known_texts`."""
+    return spark.createDataFrame(known_texts(), "license_id string, text string")
 
 
 def known_digests(known: DataFrame) -> DataFrame:
@@ -181,9 +198,9 @@ def _sql_respelled(expr: str, pairs) -> str:
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL for ``license_scan(documents, KNOWN)``."""
+    """DuckDB SQL for ``license_scan(documents, known_texts())``."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in KNOWN)
+    known = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in known_texts())
     lines = _sql_respelled(_sql_respelled("p", SPELLINGS), PHRASES)
     text = "trim(regexp_replace(" + _sql_respelled("regexp_replace(l, '[ \\n]+', '  ', 'g')", PHRASES) + ", ' +', ' ', 'g'))"
     return f"""

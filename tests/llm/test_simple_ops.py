@@ -27,6 +27,30 @@ def test_license_texts_in_other_dress(spark):
     assert got[3].license is None and got[3].notices == "MIT" and got[3].n_notices == 1
 
 
+def test_whole_texts_of_long_licenses(spark):
+    texts = {p.stem: p.read_text("utf-8") for p in licenses.TEXTS.glob("*.txt")}
+    assert {"Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "CC0-1.0"} == set(texts)
+    dress = lambda t: "Copyright 2024 Somebody\n\n" + t.upper().replace("\n", "\r\n ")
+    rows = [(i, t) for i, t in texts.items()] + [(i, dress(t)) for i, t in texts.items()]
+    rows += [(i, t.split(licenses.TERMS_END)[0] + licenses.TERMS_END) for i, t in texts.items() if licenses.TERMS_END in t]
+    assert len(rows) == 26
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = licenses.license_scan(docs, licenses.known_licenses(spark)).collect()
+    assert len(got) == 26 and all(r.license == r.doc_id for r in got)
+
+
+def test_long_licenses_are_in_the_sql_too(spark):
+    import duckdb
+    rows = list(enumerate(p.read_text("utf-8") for p in sorted(licenses.TEXTS.glob("*.txt")))) + [(99, "Licensed under CC BY 4.0.\nx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    got = licenses.license_scan(docs, licenses.known_licenses(spark))
+    cols = got.columns
+    assert rows_of(got) == sorted(con.execute(f"select {', '.join(cols)} from ({licenses.oracle_sql()})").fetchall(), key=repr)
+
+
 def test_license_edges(spark, edges, nothing):
     known = licenses.known_licenses(spark)
     got = licenses.license_scan(edges, known)
