@@ -20,7 +20,7 @@ from basketry.plans import oracle as O
 from basketry.plans import oracle_search as OS
 from basketry.operators import search
 from basketry.plans.context import Ctx, rounded, sql_rounded
-from basketry.plans.scenarios import DEFAULTS, SEARCH_WINDOWS
+from basketry.plans.scenarios import DEFAULTS
 from basketry.session import scratch_path, stage_scratch
 from basketry.sources import csv as csvsrc
 from basketry.sources import fixtures as fx_mod
@@ -515,7 +515,7 @@ for _n in (30, 50):
     _wide_draw(_n)
 
 
-GBASE = O.base_ctes(windows=SEARCH_WINDOWS)
+GBASE = O.base_ctes()
 
 
 @query("init_population", _rec(GBASE + OS.init_ctes(), sql_rounded(POP_COLS, DRAW_ROUND, "pop0")))
@@ -527,7 +527,7 @@ def q_init_population(spark, sf_dir):
 # ----------------------------------------------------------- search steps
 
 def _search_ctx(spark, sf_dir):
-    return Ctx(spark, sf_dir, windows=SEARCH_WINDOWS)
+    return Ctx(spark, sf_dir)
 
 
 GA_BASE = (GBASE + OS.init_ctes() + O.lookback_ctes("pop0", IK_SQL) + OS.variance_identity_ctes("pop0", IK_SQL) + OS.eval_ctes("pop0"))

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 DEFAULTS = dict(n_assets=10, fitness_type=None, generations=3, pop_size=8,
                 mutation_rate=0.03, budget=10_000_000, fee=8, seed=42)
 GRID_WINDOWS = (5, 10, 20, 60, 120, 252)
-# The search runs on three of them; short windows use "return" fitness (their lookback holds too few bars for a variance).
-SEARCH_WINDOWS = (20, 120, 252)
+# Short windows use "return" fitness (their lookback holds too few bars for a variance).
 RETURN_WINDOWS = (5, 10, 20)
 
 

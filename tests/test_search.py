@@ -172,3 +172,10 @@ def test_evolve_keeps_two_generations_on_disk(spark, monkeypatch):
     ctx = Ctx(spark, SF001, windows=(20,), n_assets=5, generations=4)
     search.evolve(ctx.scenarios.orderBy(F.desc("formation_date")).limit(3), ctx.flong)
     assert sorted(d for d in os.listdir(f"{root}/run") if d[0] == "g" and d[1].isdigit()) == ["g3", "g4"]
+
+
+@pytest.mark.parametrize("name", ["init_population", "fitness_linear", "fitness_history", "optimized"])
+def test_registered_searches_run_on_every_window(spark, name):
+    import __spark_entry__ as E
+    windows = lambda q: {r[0] for r in E.queries()[q](spark, SF001).select(F.col("scenario_id") % 1000).distinct().collect()}
+    assert windows(name) == windows("buy_and_hold") == {5, 10, 20, 60, 120, 252}
