@@ -181,6 +181,22 @@ def test_regimes_start_on_their_first_formation_date(spark):
     assert sorted(x.end_date for x in regime_dates(r).filter("scenario_id = 1").collect()) == [D(2020, 1, 15), D(2020, 1, 22), D(2020, 2, 8), D(2020, 2, 15)]
 
 
+def test_overlapping_regimes_keep_all_their_rows(spark):
+    from basketry.operators import backtest, formation
+    from basketry.plans.context import Ctx
+    from conftest import SF001
+    ctx = Ctx(spark, SF001, windows=(20, 60))
+    year, half = ("a year", D(1998, 1, 2), D(1998, 12, 31)), ("half", D(1998, 1, 2), D(1998, 6, 30))
+
+    def run(*regimes):
+        s = backtest.regime_scenarios(ctx.scenarios, spark.createDataFrame(regimes, "regime string, start_date date, end_date date"))
+        return sorted(map(tuple, backtest.regime_backtest(formation.buy_and_hold(ctx.scenarios, ctx.flong), s, ctx.prices, ctx.fx).collect()))
+
+    both = run(year, half)
+    assert {r[0] for r in both} == {"a year", "half"}
+    assert both == sorted(run(year) + run(half))
+
+
 def test_downloader_files(spark):
     d = tempfile.mkdtemp(prefix="basketry-dl-")
     with open(os.path.join(d, "a.csv"), "w") as f:
