@@ -7,11 +7,14 @@ that may be encoded are decoded and only reported if their structure holds:
   algorithm, and whose second is JSON unless the token is encrypted;
 * ``key``: base64 or hex that decodes to a key: a DER sequence whose nested
   lengths fill it exactly and whose fields are those of a private key (PKCS#1,
-  PKCS#8, SEC 1), or an OpenSSH key whose length-prefixed strings add up; a PEM
-  block is reported from its first dash to its last;
+  PKCS#8, SEC 1, DSA), or an OpenSSH key whose length-prefixed strings add up; a
+  PEM block is reported from its first dash to its last;
 * ``wrapped``: base64 or hex of printable text that holds a base secret or one
   of the above (decoded at most twice).
 
+Lines of one width that are base64 or hex only, with a shorter last one, are
+also read as one run, reported from its first character to its last.
+
 Each base span is also checked: ``n_confirmed`` counts those that decode so.
 """
 
@@ -42,6 +45,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+={0,2}")
 _HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{48,}+")
+#: A whole line of such a run, and what may be the last one.
+_LINE = re.compile(r"^[ \t]*+([A-Za-z0-9+/_-]{24,}+={0,2})[ \t\r]*+$", re.M)
+_LAST_LINE = re.compile(r"^[ \t]*+([A-Za-z0-9+/_-]++={0,2})[ \t\r]*+$", re.M)
 _PEM_HEAD = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
 _ALL_HEX, _URL_ONLY, _STANDARD_ONLY = re.compile(r"[0-9A-Fa-f]+"), re.compile("[-_]"), re.compile("[+/]")
 #: A cheap look before the decoding patterns: a run of 24 characters of the base64 alphabet.
@@ -87,6 +93,8 @@ def is_der_key(data: bytes) -> bool:
     version = int.from_bytes(data[fields[0][1]:fields[0][2]])
     if len(tags) >= 9 and set(tags[:9]) == {0x02} and version <= 1:  # PKCS#1: version, n, e, d, p, q, ...
         return True
+    if len(tags) == 6 and set(tags) == {0x02} and version == 0:  # DSA: version, p, q, g, y, x
+        return True
     if tags[1] == 0x30 and 0x04 in tags[2:3] and version <= 1:  # PKCS#8: version, algorithm, octets
         algorithm = _elements(data, fields[1][1], fields[1][2])
         return bool(algorithm) and algorithm[0][0] == 0x06
@@ -196,12 +204,24 @@ def added_spans(text: str, depth: int = 2) -> list[tuple[int, int, int]]:
                 taken.add(*m.span())
     if not _RUN.search(text):
         return found
+    whole = []  # wrapped texts over several lines; a line that holds a secret of its own comes first
+    for start, end, run in _line_runs(text):
+        kind = confirmed(run, depth) if taken.free(start, end) else None
+        if kind == "key":
+            found.append((start, end, KINDS.index(kind)))
+            taken.add(start, end)
+        elif kind:
+            whole.append((start, end, KINDS.index(kind)))
     for pattern in (_BASE64, _HEX):
         for m in pattern.finditer(text):
             kind = confirmed(m[0], depth) if taken.free(*m.span()) else None
             if kind:
                 found.append((*m.span(), KINDS.index(kind)))
                 taken.add(*m.span())
+    for start, end, kind in whole:
+        if taken.free(start, end):
+            found.append((start, end, kind))
+            taken.add(start, end)
     return found
 
 
@@ -221,6 +241,28 @@ class _Taken:
         self.ends.insert(i, end)
 
 
+def _line_runs(text: str):
+    """(start, end, run) of consecutive lines of one width joined, with the shorter line after them and without it."""
+    rows: list[re.Match] = []
+
+    def joined(rows):
+        return rows[0].start(1), rows[-1].end(1), "".join(m[1] for m in rows)
+
+    def closed(rows):
+        last = _LAST_LINE.match(text, rows[-1].end() + 1) if rows else None
+        if last and len(last[1]) < len(rows[0][1]):
+            yield joined([*rows, last])
+        if len(rows) > 1:
+            yield joined(rows)
+
+    for m in _LINE.finditer(text):
+        if rows and (m.start() != rows[-1].end() + 1 or len(m[1]) != len(rows[0][1])):
+            yield from closed(rows)
+            rows = []
+        rows.append(m)
+    yield from closed(rows)
+
+
 def _pem_blocks(text: str):
     """(start, end, base64 body, encrypted) of the blocks; each stretch between two heads is read once."""
     heads = list(_PEM_HEAD.finditer(text))

@@ -182,6 +182,35 @@ def test_keys_are_confirmed_by_their_lengths(key):
     assert secrets.added_spans(text.replace(lines, "no key here")) == []
 
 
+DSA = der(0x30, integer(0) + b"".join(integer(RNG.getrandbits(n)) for n in (1024, 160, 1024, 1024, 160)))
+
+
+def test_dsa_keys():
+    test_keys_are_confirmed_by_their_lengths(DSA)
+    assert not secrets.is_der_key(der(0x30, integer(1) + b"".join(integer(9 ** 40) for _ in range(5))))
+    assert not secrets.is_der_key(der(0x30, integer(0) + b"".join(integer(9 ** 40) for _ in range(4))))
+
+
+@pytest.mark.parametrize("width", [48, 64, 76])
+@pytest.mark.parametrize("key", [PKCS1, PKCS8, DSA, SSH, b"x" * 45 + b"\npassword = hunter2hunter2" + b"y" * 60])
+def test_runs_wrapped_over_lines(key, width):
+    kind = 5 if key[:1] == b"x" else 4
+    for run in (b64(key), key.hex()):
+        for indent, end in (("", "\n"), ("    ", "\n"), ("\t", " \r\n")):
+            lines = (end + indent).join(re.findall(f".{{1,{width}}}", run))
+            for before, after in (("data:\n", "\nend. of it"), ("words\n", "\nend\n"), ("", "")):
+                text = before + indent + lines + after
+                start = len(before + indent)
+                got = secrets.added_spans(text)
+                assert (start, start + len(lines), kind) in got or kind == 5 and got, (run, text)
+    assert secrets.added_spans("\n".join(re.findall(f".{{1,{width}}}", b64(RNG.randbytes(300))))) == []
+
+
+def test_lines_with_secrets_of_their_own_stay_apart():
+    one, two = (b64(b"user: x%d, password = hunter2hunter2" % i).rstrip("=") for i in (11, 22))
+    assert secrets.added_spans(f"{one}\n{two}") == [(0, len(one), 5), (len(one) + 1, len(one) + 1 + len(two), 5)]
+
+
 def test_tokens_and_wrapped_secrets():
     token = jwt({"alg": "HS256", "typ": "JWT"})
     assert secrets.added_spans(f"t={token};") == [(2, 2 + len(token), 3)]
