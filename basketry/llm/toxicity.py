@@ -14,7 +14,9 @@ gives spans (runs of words at 0.5 or more) and, through a logistic on the
 number of toxic words and the largest marginal, the score of a document.
 
 The model is fitted on the driver from at most ``MAX_DOCS`` labelled documents
-of at most ``MAX_CHARS`` characters; every text is scored whole.
+of at most ``MAX_CHARS`` characters; every text is scored whole.  A class that is
+sampled weighs as much as all its labels, so the share of toxic documents that
+markers, field and score are fitted to doesn't depend on the bound.
 """
 
 from __future__ import annotations
@@ -104,21 +106,22 @@ def marginals(emission: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> n
     return odds / (1 + odds)
 
 
-def _pairs(emission: np.ndarray, ahead: np.ndarray, after: np.ndarray, right: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Expected number of each tag pair (of a word and the one before it) at the words ``right``."""
+def _pairs(emission: np.ndarray, ahead: np.ndarray, after: np.ndarray, right: np.ndarray, trans: np.ndarray,
+           weight: np.ndarray | float = 1.0) -> np.ndarray:
+    """Expected (weighted) number of each tag pair (of a word and the one before it) at the words ``right``."""
     r, x = ahead[right - 1], np.exp(np.clip(emission[right], -40, 40)) * after[right]
     w = np.stack((np.full(len(r), trans[0, 0]), trans[0, 1] * x, r * trans[1, 0], r * trans[1, 1] * x))
-    return (w / w.sum(0)).sum(1).reshape(2, 2)
+    return (w / w.sum(0) * weight).sum(1).reshape(2, 2)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
-    """Weights (last: bias) of a ridge logistic regression by Newton steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
+    """Weights (last: bias) of a ridge logistic regression by Newton steps; each row counts ``weight`` times."""
     x = np.hstack((x, np.ones((len(x), 1))))
     w = np.zeros(x.shape[1])
-    pull = np.diag([ridge] * (len(w) - 1) + [1e-6]) * max(1, len(x))
+    pull = np.diag([ridge] * (len(w) - 1) + [1e-6]) * max(1, weight.sum())
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull / 10, x.T @ (y - p) - pull @ w / 10)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + pull / 10, x.T @ (weight * (y - p)) - pull @ w / 10)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -130,18 +133,19 @@ def _tokens(texts: list[str]) -> tuple[list[list[str]], np.ndarray]:
     return docs, np.array([len(d) for d in docs], np.int64)
 
 
-def _markers(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Features that speak for toxic documents; see the module's text."""
+def _markers(docs: list[list[str]], toxic: np.ndarray, weight: tuple[float, float]) -> set[str]:
+    """Features that speak for toxic documents; see the module's text. Documents of a class count ``weight`` times."""
     inside = Counter(f for d, y in zip(docs, toxic, strict=True) if y for f in {f for w in set(d) for f in features(w)})
-    share, cost = toxic.mean(), np.log(len(inside) + 2) + 2
-    inside = {f: a for f, a in inside.items() if a * -np.log(share) >= cost}  # the others can't gain enough
+    share, cost = np.average(toxic, weights=np.where(toxic, weight[1], weight[0])), np.log(len(inside) + 2) + 2
+    inside = {f: a for f, a in inside.items() if a * weight[1] * -np.log(share) >= cost}  # the others can't gain enough
     outside = Counter(f for d, y in zip(docs, toxic, strict=True) if not y for f in {f for w in set(d) for f in features(w) if f in inside})
 
     def gain(a, b):
+        a, b = a * weight[1], b * weight[0]
         p = a / (a + b)
         return a * np.log(p / share) + (b * np.log((1 - p) / (1 - share)) if b else 0) if p > share else 0.0
 
-    likely = {f for f, a in inside.items() if a / (a + outside[f]) >= max(0.8, share) and gain(a, outside[f]) >= cost}
+    likely = {f for f, a in inside.items() if a * weight[1] / (a * weight[1] + outside[f] * weight[0]) >= max(0.8, share) and gain(a, outside[f]) >= cost}
     around: dict[str, set] = {f: set() for f in likely}
     for d, y in zip(docs, toxic, strict=True):
         if y:
@@ -151,46 +155,50 @@ def _markers(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
     return {f for f in likely if gain(min(inside[f], len(around[f])), outside[f]) >= cost}
 
 
-def fit(texts: list[str], toxic: list[int], rounds: int = ROUNDS) -> dict:
-    """The model: {weights: feature -> weight, bias, trans, doc}. No toxic or no clean document: a constant score."""
+def fit(texts: list[str], toxic: list[int], weight: tuple[float, float] = (1.0, 1.0), rounds: int = ROUNDS) -> dict:
+    """The model: {weights: feature -> weight, bias, trans, doc}. No toxic or no clean document: a constant score.
+
+    ``weight``: how often a clean and a toxic document count.
+    """
     y = np.array(toxic, bool)
-    share = min((y.sum() + 1) / (len(y) + 2), 0.49)  # without evidence no text is rejected
+    times = np.where(y, weight[1], weight[0])
+    share = min((times[y].sum() + 1) / (times.sum() + 2), 0.49)  # without evidence no text is rejected
     empty = {"weights": {}, "bias": -20.0, "trans": np.ones((2, 2)), "doc": np.array([0.0, 0.0, np.log(share / (1 - share))])}
     if not y.any() or y.all():
         return empty
     docs, lengths = _tokens(texts)
-    markers = _markers(docs, y)
+    markers = _markers(docs, y, weight)
     if not markers:
         return empty
     number: dict[str, int] = {}
     words = np.array([number.setdefault(w, len(number)) for d in docs for w in d], np.int64)
     vocabulary = list(number)
     marked = np.array([not markers.isdisjoint(features(w)) for w in vocabulary])
-    tag = marked[words] & np.repeat(y, lengths)
+    tag, often = marked[words] & np.repeat(y, lengths), np.repeat(times, lengths)
     # features: the markers of words that were labelled toxic at least once
     known = {f: i for i, f in enumerate(sorted({f for w in np.unique(words[tag]) for f in features(vocabulary[w]) if f in markers}))}
     row, col = zip(*[(w, known[f]) for w, word in enumerate(vocabulary) for f in features(word) if f in known], strict=True)
     row, col = np.array(row), np.array(col)
-    weights, bias, logs = np.zeros(len(known)), np.log((tag.sum() + 1) / (len(tag) + 1)), np.zeros((2, 2))
+    weights, bias, logs = np.zeros(len(known)), np.log((often[tag].sum() + 1) / (often.sum() + 1)), np.zeros((2, 2))
     observed = np.zeros((2, 2))
     start = np.zeros(len(words), bool)
     start[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
     at = np.flatnonzero(~start)
-    np.add.at(observed, (tag[at - 1].astype(int), tag[at].astype(int)), 1)
+    np.add.at(observed, (tag[at - 1].astype(int), tag[at].astype(int)), often[at])
     # diagonal scaling: the squared gradient so far
     scale = [np.full_like(weights, 1e-8), 1e-8, np.full((2, 2), 1e-8)]
     for _ in range(rounds):
         emission = (bias + np.bincount(row, weights[col], len(vocabulary)))[words]
         ahead, after = forward_backward(emission, lengths, np.exp(logs))
         p = ahead * after / (1 + ahead * after)
-        error = np.bincount(words, tag - p, len(vocabulary))
+        error = np.bincount(words, often * (tag - p), len(vocabulary))
         grads = [np.bincount(col, error[row], len(known)) - weights, error.sum(),
-                 observed - _pairs(emission, ahead, after, at, np.exp(logs)) - 0.5 * logs]
+                 observed - _pairs(emission, ahead, after, at, np.exp(logs), often[at]) - 0.5 * logs]
         scale = [s + g * g for s, g in zip(scale, grads, strict=True)]
         weights, bias, logs = (v + 0.7 * g / np.sqrt(s) for v, g, s in zip((weights, bias, logs), grads, scale, strict=True))
     model = {"weights": {f: float(weights[i]) for f, i in known.items()}, "bias": float(bias), "trans": np.exp(logs), "doc": None}
     emission = bias + np.bincount(row, weights[col], len(vocabulary))
-    model["doc"] = _logistic(_summary(marginals(emission[words], lengths, model["trans"]), lengths), y.astype(float))
+    model["doc"] = _logistic(_summary(marginals(emission[words], lengths, model["trans"]), lengths), y.astype(float), times)
     return model
 
 
@@ -296,8 +304,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> tuple[list[str], list[int]]:
-    """At most ``max_docs`` labelled, not held-out texts of each class, by a hash of the id; equal texts once."""
+def training_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> tuple[list[str], list[int], tuple[float, float]]:
+    """At most ``max_docs`` labelled, not held-out texts of each class, by a hash of the id; equal texts once.
+
+    Beside texts and labels, how many labels one of the sample stands for in
+    the clean and the toxic class, the smaller as 1.
+    """
     known = labels.select(labels["doc_id"], labels["toxic"].cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     lot, some = F.xxhash64(F.lit(11), "doc_id"), []
@@ -310,7 +322,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS
     texts = docs.select(docs["doc_id"].alias("_doc"), docs["text"].alias("_text")).join(picked, F.col("_doc") == F.col("_id"))
     texts = texts.where(F.length("_text") <= max_chars).groupBy("_text").agg(F.max("toxic").alias("toxic"), F.min("_doc").alias("_doc"))
     rows = texts.sort("_doc").limit(2 * max_docs).collect()
-    return [r["_text"] for r in rows], [r["toxic"] for r in rows]
+    stands_for = [max(1.0, counts.get(c, 0) / max_docs) for c in (0, 1)]
+    return [r["_text"] for r in rows], [r["toxic"] for r in rows], (stands_for[0] / min(stands_for), stands_for[1] / min(stands_for))
 
 
 def toxicity_scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -130,6 +130,21 @@ def test_toxicity_edges(spark, edges, nothing):
     assert toxicity.toxicity_scores(nothing, toxicity.trained(nothing, labels.where("false"))).count() == 0
 
 
+def test_scores_keep_the_class_shares_of_the_labels(spark):
+    rng = random.Random(3)
+    plain = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    rows = []
+    for i in range(6000):  # one in ten is toxic, half of these without any sign of it
+        words = rng.choices(plain, k=12)
+        if i % 10 == 0 and i % 20:
+            words.insert(rng.randrange(12), "vilescum")
+        rows.append((i, " ".join(words), int(i % 10 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scores = [toxicity.Scorer(toxicity.trained(docs, docs, max_docs=n)).score(["wab wac wad", "wab vilescum wad"])[0] for n in (6000, 1500, 300)]
+    for plain_text, marked in scores:
+        assert abs(plain_text - 0.053) < 0.03 and marked > 0.5, scores
+
+
 # ---- secrets
 
 
