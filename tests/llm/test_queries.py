@@ -11,7 +11,7 @@ from .conftest import SF001
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert set(SQL) <= set(QUERIES) and set(QUERIES) <= set(entry.queries())
 
