@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +87,28 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(start, rows)
 
 
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column without nulls, and the bounds of its rows in them."""
+    column = column.cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+    flat = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return flat[bounds[0]:bounds[-1]], bounds - bounds[0]
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of about ``most`` bytes of their column ``text``, one row at least."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bounds = text_bytes(batch.column(text))[1]
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(bounds, bounds[start] + most, side="right")) - 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def map_rows(df: DataFrame, columns: list[str], func: Callable[[list[list]], list[list]], schema: str,
              types: list[pa.DataType], names: list[str], rows: int = SLICE) -> DataFrame:
     """``func`` gets lists of column values of a slice and returns lists of output columns, same rows."""

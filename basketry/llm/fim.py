@@ -11,14 +11,12 @@ gathers the texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import filled, ship_package
+from basketry.llm.common import by_bytes, filled, ship_package, text_bytes
 
 #: Bytes of text that are laid out at a time (one longer text is laid out alone); eight-byte shifts make it some ten times as much.
 SLICE_BYTES = 4_000_000
@@ -35,32 +33,10 @@ def draws(doc_id: Column, seed: int = 42) -> list[Column]:
     return [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long").alias(f"h{i + 1}") for i in range(4)]
 
 
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column without nulls, and the bounds of its rows in them."""
-    column = column.cast(pa.large_string())
-    _, offsets, data = column.buffers()
-    bounds = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
-    flat = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
-    return flat[bounds[0]:bounds[-1]], bounds - bounds[0]
-
-
 def string_column(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(data))
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut into slices of about ``most`` bytes of their column ``text``, one row at least."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        bounds = text_bytes(batch.column(text))[1]
-        start = 0
-        while start < batch.num_rows:
-            stop = max(start + 1, int(np.searchsorted(bounds, bounds[start] + most, side="right")) - 1)
-            yield batch.slice(start, stop - start)
-            start = stop
-
-
 def _marks(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of marks that lie within one row, and their rows."""
     if len(data) < 3:

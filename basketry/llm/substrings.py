@@ -4,21 +4,22 @@ A window is ``length`` consecutive words.  A word goes if a window over it
 also starts in a document with a smaller id.
 
 Streaming every document through an automaton of every reference shard would
-take the corpus squared, so both are routed first.  Each window names an
-anchor: its smallest hash of ``GRAM`` consecutive words.  Equal windows have equal anchors,
-and neighbouring windows mostly share one, so few anchors stand for
-all windows.  Anchors of a single document are dropped (one grouped count); of
-the others the windows around them are cut out, those of one anchor in a run
-of words, the passage.  Equal passages are counted once with their smallest
+take the corpus squared, so documents are routed to the shards that concern
+them.  Each window names an anchor: its smallest hash of ``GRAM`` consecutive words.
+Equal windows have equal anchors, and neighbouring windows mostly share one.
+One grouped count finds the anchors of more than one document and the first
+document of each, its reference.  A maximal run of windows whose anchors have one
+reference is a passage; equal passages are counted once with their smallest
 document.
 
-Passages are dealt into shards by their anchor; those of an anchor with very
-many different passages window by window instead, so no shard grows with a
-common phrase.  A shard's passages are the reference text of one suffix automaton,
-whose states carry the smallest document that they occur in.  Streaming
-the passages through it gives the matching statistics: at each word the longest
-match, and the state of its last ``length`` words says who has the window first.
-Hashes only route; which windows are equal is decided by their words.
+Passages are dealt into shards by their reference document; those of a
+reference with more different words than a shard holds are dealt window by
+window instead, so no shard grows with a popular document.  A shard's passages
+are the reference text of one suffix automaton, whose states carry the smallest
+document that they occur in.  Streaming the passages through it gives the
+matching statistics: at each word the longest match, and the state of its last
+``length`` words says who has the window first.  Hashes only route; which windows
+are equal is decided by their words.
 """
 
 from __future__ import annotations
@@ -27,62 +28,98 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import filled, ship_package, sliced, staged
+from basketry.llm.common import by_bytes, filled, ship_package, sliced, staged, text_bytes
 
 LENGTH = 13
 #: Words of an anchor: a window has LENGTH - GRAM + 1 of them to choose from.
-GRAM = 7
+GRAM = 5
 #: About so many words of reference text go into one automaton: the bound of a task's memory, not of what is found.
-SHARD_WORDS = 20_000
-#: Different passages of an anchor from which on they are dealt window by window.
-HOT_PASSAGES = 128
-#: Word hashes that a worker remembers.
-MEMORY = 200_000
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMORY:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 11)
-        return value
-
-
-def anchors(words: list[bytes], hashes: WordHashes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of the anchor of each window: the smallest hash of ``gram`` words in it, the first of equal ones."""
-    n = len(words) - length + 1
+SHARD_WORDS = 50_000
+#: Bytes of text whose words are hashed at a time; eight-byte numbers make it some fifty times as much.
+SLICE_BYTES = 1_000_000
+#: Odd multipliers of the hashes.
+_BYTE, _WORD, _MIX = (np.uint64(v) for v in (0x100000001B3, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9))
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BYTE to the powers 0 to n, and their inverses modulo 2^64."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        inverse = np.uint64(pow(int(_BYTE), -1, 1 << 64))
+        _POWERS[:] = [np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, b, np.uint64)))) for b in (_BYTE, inverse)]
+    return _POWERS[0][:n + 1], _POWERS[1][:n + 1]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * _MIX
+    return x ^ (x >> np.uint64(32))
+
+
+def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every word in rows of bytes."""
+    if not len(data):
+        return (np.empty(0, np.int64),) * 3
+    word = ~((data == 0x20) | (data >= 0x09) & (data <= 0x0D))
+    begin = word.copy()
+    begin[1:] &= ~word[:-1]
+    stop = word.copy()
+    stop[:-1] &= ~word[1:]
+    edge = bounds[:-1][bounds[:-1] < bounds[1:]]
+    begin[edge] = word[edge]
+    stop[edge[1:] - 1] = word[edge[1:] - 1]
+    starts = np.flatnonzero(begin)
+    return starts, np.flatnonzero(stop) + 1, np.searchsorted(bounds, starts, side="right") - 1
+
+
+def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """First word, row, anchor hash and anchor place of every window of the rows, and their words.
+
+    The anchor is the smallest hash of ``gram`` words in the window, the first of equal ones.
+    """
+    starts, ends, row = words = words_of(data, bounds)
+    n = len(starts) - length + 1
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    grams = np.zeros(len(words) - gram + 1, np.uint64)
+        return (np.empty(0, np.int64),) * 4 + (words,)
+    up, down = _powers(len(data))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1])))
+    h = _mixed((sums[ends] - sums[starts]) * down[starts])
+    grams = np.zeros(len(h) - gram + 1, np.uint64)
     for j in range(gram):
-        grams = grams * np.uint64(0x9E3779B97F4A7C15) + h[j:j + len(grams)]
-    grams ^= grams >> np.uint64(29)
-    grams *= np.uint64(0xBF58476D1CE4E5B9)
-    grams ^= grams >> np.uint64(32)
+        grams = grams * _WORD + h[j:j + len(grams)]
+    grams = _mixed(grams)
     least, at = grams[:n].copy(), np.zeros(n, np.int64)
     for j in range(1, length - gram + 1):
         less = grams[j:j + n] < least
-        least[less] = grams[j:j + n][less]
+        np.copyto(least, grams[j:j + n], where=less)
         at[less] = j
-    return least, at + np.arange(n)
+    window = np.flatnonzero(row[:n] == row[length - 1:])
+    return window, row[window], least[window].view(np.int64), window + at[window], words
 
 
-def passages(words: list[bytes], shared: np.ndarray, hashes: WordHashes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, bytes]]:
-    """(first word, anchor hash, words joined by one space) of the runs of windows whose one anchor is in ``shared``."""
-    value, at = anchors(words, hashes, length, gram)
-    hit = np.isin(value, shared)
-    edge = np.flatnonzero(np.diff(np.where(hit, at, -1), prepend=-2))
-    for start, stop in zip(edge, [*edge[1:], len(at)]):  # noqa: B905 (a text shorter than a window has no edge)
-        if hit[start]:
-            yield int(start), int(value[start].astype(np.int64)), b" ".join(words[start:stop + length - 1])
+def passages(data: np.ndarray, bounds: np.ndarray, shared: list[tuple[np.ndarray, np.ndarray]], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int, bytes]]:
+    """(row, first word of the row, route, words) of the runs of windows whose anchors have one route.
+
+    ``shared``: for each row its anchors of more than one document, rising, and their
+    routes.  Words of the rows are parted by one space.
+    """
+    window, row, value, _, (starts, ends, word_row) = anchors(data, bounds, length, gram)
+    edges = np.searchsorted(row, np.arange(len(bounds)))
+    first_word = np.searchsorted(word_row, np.arange(len(bounds)))
+    for r, (known, routes) in enumerate(shared):
+        a, b = edges[r], edges[r + 1]
+        if a == b or not len(known):
+            continue
+        place = np.minimum(np.searchsorted(known, value[a:b]), len(known) - 1)
+        hit, route = known[place] == value[a:b], routes[place]
+        change = np.flatnonzero(np.concatenate(([True], (hit[1:] != hit[:-1]) | (route[1:] != route[:-1]) & hit[1:])))
+        for i, j in zip(change.tolist(), [*change[1:].tolist(), b - a], strict=True):
+            if hit[i]:
+                w = int(window[a + i])
+                yield r, w - int(first_word[r]), int(route[i]), data[starts[w]:ends[w + j - i + length - 2]].tobytes()
 
 
 class SuffixAutomaton:
@@ -182,105 +219,100 @@ def covered(n: int, starts: list[int], length: int = LENGTH) -> np.ndarray:
 
 
 def _anchor_rows(slim: DataFrame, kind, length: int, gram: int) -> DataFrame:
-    """(h, doc): the different anchors of each document."""
-    from pyspark.sql.pandas.types import to_arrow_type
-    arrow = to_arrow_type(kind)
-
+    """(h, doc): the anchors of each document, those of neighbouring windows once."""
     def run(batches):
-        hashes = WordHashes()
-        for part in sliced(batches):
-            ids, found = [], []
-            for doc, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                h = np.unique(anchors(text.encode().split(), hashes, length, gram)[0])
-                if len(h):
-                    found.append(h)
-                    ids += [doc] * len(h)
-            flat = np.concatenate(found).astype(np.int64) if found else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), pa.array(ids, arrow)], names=["h", "doc"])
+        for part in by_bytes(batches, 1, SLICE_BYTES):
+            data, bounds = text_bytes(part.column(1))
+            _, row, value, at, _ = anchors(data, bounds, length, gram)
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(value[new]), part.column(0).take(pa.array(row[new]))], names=["h", "doc"])
 
-    return slim.mapInArrow(run, f"h long, doc {kind.simpleString()}")
+    return slim.select("doc", "text").mapInArrow(run, f"h long, doc {kind.simpleString()}")
 
 
 def _compressed(slim: DataFrame, kind) -> DataFrame:
-    """(doc, copy, z): texts compressed for the shuffle, ``copy`` a hash that tells texts of one id apart."""
+    """(doc, copy, z): words parted by one space, compressed for the shuffle; ``copy`` is a hash that tells texts of one id apart."""
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
         for part in sliced(batches):
-            z = [press.compress(t.encode()) for t in part.column(2).to_pylist()]
+            z = [press.compress(b" ".join(t.split())) for t in part.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(z, pa.binary())], names=["doc", "copy", "z"])
 
     return slim.select("doc", F.xxhash64("text").alias("copy"), "text").mapInArrow(run, f"doc {kind.simpleString()}, copy long, z binary")
 
 
 def _passage_rows(texts: DataFrame, kind, length: int, gram: int) -> DataFrame:
-    """(doc, copy, at, anchor, words) of rows (doc, copy, z, shared)."""
-    from pyspark.sql.pandas.types import to_arrow_type
-    types = [to_arrow_type(kind), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    names = ["doc", "copy", "at", "anchor", "words"]
+    """(doc, copy, at, route, words) of rows (doc, copy, z, shared)."""
+    names, types = ["at", "route", "words"], [pa.int64(), pa.int64(), pa.string()]
 
     def run(batches):
-        hashes, open_ = WordHashes(), zstandard.ZstdDecompressor()
+        open_ = zstandard.ZstdDecompressor()
         for part in sliced(batches, 64):
-            rows = []
-            for doc, copy, z, shared in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                words = open_.decompress(z).split()
-                shared = np.array(shared, np.int64).astype(np.uint64)
-                rows += [(doc, copy, at, anchor, w.decode()) for at, anchor, w in passages(words, shared, hashes, length, gram)]
-            columns = zip(*rows, strict=True) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+            texts = [open_.decompress(z) for z in part.column(2).to_pylist()]
+            data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+            flat, ends = part.column(3).flatten(), np.cumsum([0, *part.column(3).value_lengths().to_pylist()])
+            h, route = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            shared = [(h[a:b], route[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+            rows = list(passages(data, bounds, shared, length, gram))
+            of = pa.array([r[0] for r in rows], pa.int64())
+            found = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True))[1:] if rows else [()] * 3, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), *found], names=["doc", "copy", *names])
 
-    return texts.select("doc", "copy", "z", "shared").mapInArrow(run, f"doc {kind.simpleString()}, copy long, at long, anchor long, words string")
+    return texts.select("doc", "copy", "z", "shared").mapInArrow(run, f"doc {kind.simpleString()}, copy long, at long, route long, words string")
 
 
 def _first_rows(passage: DataFrame, kind, length: int) -> DataFrame:
-    """(id, firsts) of rows (shard, id, doc, words) that stand together by shard: one automaton a shard."""
+    """(route, id, firsts) of rows (shard, route, id, doc, words) that stand together by shard: one automaton a shard."""
     from pyspark.sql.pandas.types import to_arrow_type
-    types = [pa.binary(), pa.list_(to_arrow_type(kind))]
+    types = [pa.int64(), pa.binary(), pa.list_(to_arrow_type(kind))]
 
     def matched(ids, rows):
-        return pa.RecordBatch.from_arrays([pa.array(ids, types[0]), pa.array(shard_matches(rows, length), types[1])], names=["id", "firsts"])
+        columns = [*zip(*ids, strict=True), shard_matches(rows, length)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["route", "id", "firsts"])
 
     def run(batches):
         now, ids, rows = None, [], []
         for batch in batches:
-            for shard, id_, doc, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for shard, route, id_, doc, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if shard != now and rows:
                     yield matched(ids, rows)
                     ids, rows = [], []
                 now = shard
-                ids.append(id_)
+                ids.append((route, id_))
                 rows.append((doc, words))
         if rows:
             yield matched(ids, rows)
 
-    return passage.select("shard", "id", "doc", "words").mapInArrow(run, f"id binary, firsts array<{kind.simpleString()}>")
+    return passage.select("shard", "route", "id", "doc", "words").mapInArrow(run, f"route long, id binary, firsts array<{kind.simpleString()}>")
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_words: int = SHARD_WORDS, hot_passages: int = HOT_PASSAGES) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc, copy, starts): first words of the windows that also start in a smaller document, of rows (doc, text)."""
     kind = docs.schema["doc"].dataType
     known = docs.where(F.col("doc").isNotNull())
     each = _anchor_rows(known, kind, length, gram)
-    several = each.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("h")
-    shared = each.join(several, "h").groupBy("doc").agg(F.collect_set("h").alias("shared"))
+    several = each.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
+    several = several.select("h", F.xxhash64("least").alias("route"))
+    shared = each.join(several, "h").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("h", "route"))).alias("shared"))
     found = _passage_rows(_compressed(known, kind).join(shared, "doc"), kind, length, gram)
     found = staged(found.withColumn("id", F.unhex(F.md5("words"))), "passages")
-    # anchors with very many different passages: these are dealt window by window
-    hot = found.select("anchor", "id").distinct().groupBy("anchor").agg(F.count("*").alias("different")).where(F.col("different") > hot_passages)
-    found = found.join(hot, "anchor", "left")
+    # references with more different words than a shard holds: their passages are dealt window by window
     word = F.split("words", " ")
+    hot = found.select("route", "id", F.size(word).alias("n")).distinct().groupBy("route").agg(F.sum("n").alias("different")).where(F.col("different") > shard_words)
+    found = found.join(hot, "route", "left")
     window = F.transform(F.sequence(F.lit(0), F.size(word) - length), lambda i: F.struct(
         (F.col("at") + i).alias("at"), F.array_join(F.slice(word, i + 1, length), " ").alias("words")))
     pieces = found.where("different is not null").select("doc", "copy", F.explode(window).alias("w"))
     pieces = pieces.select("doc", "copy", "w.at", F.xxhash64("w.words").alias("route"), "w.words", F.unhex(F.md5("w.words")).alias("id"))
-    found = found.where("different is null").select("doc", "copy", "at", F.xxhash64("anchor").alias("route"), "words", "id").unionByName(pieces)
+    found = found.where("different is null").select("doc", "copy", "at", "route", "words", "id").unionByName(pieces)
     different = staged(found.groupBy("route", "id", "words").agg(F.min("doc").alias("doc")), "different-passages")
-    total = different.agg(F.sum(F.size(F.split("words", " ")))).first()[0] or 0
+    total = different.agg(F.sum(F.size(word))).first()[0] or 0
     shards = max(1, -(-total // shard_words))
     dealt = different.withColumn("shard", F.pmod("route", F.lit(shards))).repartition("shard").sortWithinPartitions("shard")
     firsts = _first_rows(dealt, kind, length)
     here = F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("doc"), F.col("at") + i)), lambda s: s.isNotNull())
-    hits = found.select("doc", "copy", "at", "id").join(firsts, "id").select("doc", "copy", here.alias("s")).where(F.size("s") > 0)
+    hits = found.select("doc", "copy", "at", "id", "route").join(firsts, ["route", "id"]).select("doc", "copy", here.alias("s")).where(F.size("s") > 0)
     return hits.groupBy("doc", "copy").agg(F.flatten(F.collect_list("s")).alias("starts"))
 
 
@@ -311,13 +343,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
         for part in sliced(batches, 64):
             rows = []
             for doc, z, starts in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                words = open_.decompress(z).split()
+                text = open_.decompress(z)
                 if not starts:
-                    rows.append((doc, len(words), 0, b" ".join(words).decode(), ""))
+                    rows.append((doc, text.count(b" ") + bool(text), 0, text, ""))
                     continue
+                words = text.split(b" ")
                 gone = covered(len(words), starts, length)
                 edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-                kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode()
+                kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
                 rows.append((doc, len(words), int(gone.sum()), kept, ",".join(f"{a}:{b}" for a, b in edge.reshape(-1, 2))))
             columns = zip(*rows, strict=True) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)

@@ -181,7 +181,7 @@ def shared_passages(spark):
     return spark.createDataFrame(rows, "doc_id long, text string"), rows
 
 
-@pytest.mark.parametrize("bounds", [{}, {"shard_words": 200, "hot_passages": 3}, {"hot_passages": 0}, {"gram": 1, "shard_words": 10 ** 9}])
+@pytest.mark.parametrize("bounds", [{}, {"shard_words": 200}, {"shard_words": 12}, {"gram": 1}, {"gram": 13}])
 def test_dedup_equals_brute_force(shared_passages, bounds):
     docs, rows = shared_passages
     got = substrings.without_repeats(docs, **bounds).drop("removed")
@@ -225,8 +225,23 @@ def test_automaton_statistics_equal_brute_force():
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(1)
     words = [b"w%d" % i for i in rng.integers(0, 40, 300)]
-    hashes = substrings.WordHashes()
-    whole = substrings.anchors(words, hashes)
+
+    def at(rows):
+        data = np.frombuffer(b"".join(rows), np.uint8)
+        return substrings.anchors(data, np.cumsum([0, *map(len, rows)]))
+    whole = at([b"", b" ".join(words), b"glued " * 3])
+    assert len(whole[0]) == 288 and set(whole[1].tolist()) == {1}
     for s in range(0, 288, 7):
-        alone = substrings.anchors(words[s:s + 13], hashes)
-        assert alone[0][0] == whole[0][s] and alone[1][0] + s == whole[1][s]
+        alone = at([b"x y ", b"\t " + b"\n ".join(words[s:s + 13])])
+        assert len(alone[0]) == 1 and alone[2][0] == whole[2][s] and alone[3][0] - 2 + s == whole[3][s]
+
+
+def test_words_of_rows_equal_split():
+    rng = random.Random(4)
+    rows = [bytes(rng.choice(b"ab \t\n\xc3\xa9") for _ in range(rng.randrange(0, 9))) for _ in range(300)]
+    starts, ends, row = substrings.words_of(np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)]))
+    joined = b"".join(rows)
+    got = [[] for _ in rows]
+    for a, b, r in zip(starts, ends, row, strict=True):
+        got[r].append(joined[a:b])
+    assert got == [r.split() for r in rows]
