@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -37,6 +38,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def whole_files(df: DataFrame, name: str) -> DataFrame:
+    """As ``staged``, with one file a task whatever ``maxRecordsPerFile`` says, and the columns ``_file`` and ``_row``.
+
+    They are the task's number and the row's place in it, so together they tell
+    rows apart and follow the order that the tasks wrote them in.  More files
+    than task numbers would make them ambiguous and are an error.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("maxRecordsPerFile", 0).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    numbers = [int(re.search(r"part-(\d+)", f)[1]) for f in table.inputFiles()]
+    if len(set(numbers)) != len(numbers):
+        raise RuntimeError(f"{path}: a task wrote more than one file")
+    file = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
+    return table.select("*", file.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
 _SHIPPED: set[str] = set()
 
 

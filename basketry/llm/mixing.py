@@ -207,20 +207,44 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     """Every document as often as the mix takes it, all columns as they are.
 
     Copies are found on slim rows (a hash of id and text, source, size) and
-    joined to the documents once.  Equal rows are one document with the copies
-    of all of them, so a hot row is folded before it is multiplied.
+    joined to the documents once.  Rows with one key share its copies: each has
+    as many as all have, divided by their number, and the first ones in
+    the order of all their columns one more.  They are ranked by a second hash in
+    buckets, so many rows of one key are not one task.
+
+    Rows that are equal in id and text and differ elsewhere are documents of
+    their own, also if their keys collide.  A null text has size 0 and stays
+    once; null ids and sources are values like others; very long texts go through
+    the join once; an empty table gives an empty result; extra columns stay,
+    whatever their names.
     """
     key = F.xxhash64(docs[id_col], docs[text_col])
     wide = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key.alias("_key"),
                        docs[source_col].cast("string").alias("_source"), n_words(docs[text_col]).alias("_size"))
+    return _copied(wide, weights, share, most, seed)
+
+
+def _copied(wide: DataFrame, weights, share: float, most: int, seed: int) -> DataFrame:
+    """The rows of ``wide`` (row, _key, _source, _size) as often as the mix takes them."""
     slim = wide.select(F.col("_key").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"))
     taken = mixed(slim, weights, share, most, seed).groupBy("doc_id", "source", "size").agg(
         F.sum("repeats").alias("m"), F.sum(F.col("repeats") * F.col("copies")).alias("total"))
     taken = staged(taken.select(F.col("doc_id").alias("k"), F.col("source").alias("s"), F.col("size").alias("z"), "m", "total"), "mix-taken")
     on = (F.col("_key") == F.col("k")) & (F.col("_size") == F.col("z")) & F.col("_source").eqNullSafe(F.col("s"))
-    out = wide.join(taken.where("m = 1 and total > 0"), on)
+    alone = wide.join(taken.where("m = 1 and total > 0"), on).select("row", F.col("total").alias("copies"))
     several = taken.where("m > 1 and total > 0")
     if not several.isEmpty():
-        once = wide.join(several, on).dropDuplicates(["_key", "_source", "_size"])
-        out = out.unionByName(once)
-    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("total"))).alias("_i")).select("row.*")
+        # equal rows are one with their number, so a hot row is folded before it is ranked or multiplied
+        key = ["_key", "_source", "_size"]
+        alike = wide.join(several, on).groupBy(*key, "row").agg(F.count("*").alias("n"), F.max("m").alias("m"), F.max("total").alias("total"))
+        alike = alike.withColumn("_digest", F.xxhash64(F.lit(seed), "row"))
+        alike = staged(alike.withColumn("_bucket", F.pmod("_digest", F.lit(256))), "mix-alike")
+        before = Window.partitionBy(*key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sums = alike.groupBy(*key, "_bucket").agg(F.sum("n").alias("rows")).select(
+            *[F.col(c).alias(f"{c}2") for c in (*key, "_bucket")], F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+        inside = Window.partitionBy(*key, "_bucket").orderBy("_digest", "row").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = alike.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(
+            sums, F.expr("_key = _key2 and _source <=> _source2 and _size = _size2 and _bucket = _bucket2"))
+        extra = F.greatest(F.lit(0), F.least(F.col("n"), F.col("total") % F.col("m") - F.col("before") - F.col("first")))
+        alone = alone.unionByName(ranked.select("row", (F.col("n") * F.expr("total div m") + extra).alias("copies")).where("copies > 0"))
+    return alone.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_i")).select("row.*")

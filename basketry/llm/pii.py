@@ -62,7 +62,7 @@ def luhn(digits: str) -> bool:
 
 
 def _ip_parts_hold(text: str) -> bool:
-    return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in text.split("."))
+    return all(p.isdigit() and len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in text.split("."))
 
 
 def emails(text: str) -> list[tuple[int, int]]:

@@ -7,7 +7,7 @@ that may be encoded are decoded and only reported if their structure holds:
   algorithm, and whose second is JSON unless the token is encrypted;
 * ``key``: base64 or hex that decodes to a key: a DER sequence whose nested
   lengths fill it exactly and whose fields are those of a private key (PKCS#1,
-  PKCS#8, SEC 1, DSA), or an OpenSSH key whose length-prefixed strings add up; a
+  PKCS#8, also encrypted, SEC 1, DSA), or an OpenSSH key whose length-prefixed strings add up; a
   PEM block is reported from its first dash to its last;
 * ``wrapped``: base64 or hex of printable text that holds a base secret or one
   of the above (decoded at most twice).
@@ -101,6 +101,28 @@ def is_der_key(data: bytes) -> bool:
     return tags[1] == 0x04 and version == 1 and fields[1][2] - fields[1][1] >= 16  # SEC 1: version 1, octets
 
 
+def is_encrypted_der_key(data: bytes) -> bool:
+    """True if the bytes are one EncryptedPrivateKeyInfo: algorithm with its identifier, and octets up to the outer end."""
+    top = _tlv(data, 0, len(data))
+    if top is None or top[0] != 0x30 or top[2] != len(data):
+        return False
+    fields = _elements(data, top[1], top[2])
+    if not fields or [f[0] for f in fields] != [0x30, 0x04] or fields[1][2] - fields[1][1] < 8:
+        return False
+    algorithm = _elements(data, fields[0][1], fields[0][2])
+    return bool(algorithm) and algorithm[0][0] == 0x06 and algorithm[0][2] - algorithm[0][1] >= 3
+
+
+def is_encrypted_legacy_key(headers: list[str], data: bytes) -> bool:
+    """True if Proc-Type headers name a cipher and its start value, and the body is whole blocks of that cipher."""
+    info = dict(h.split(":", 1) for h in headers if ":" in h)
+    cipher, _, start = info.get("DEK-Info", "").strip().partition(",")
+    if "ENCRYPTED" not in info.get("Proc-Type", "") or not re.fullmatch(r"[A-Z0-9-]+", cipher):
+        return False
+    block = len(start.strip()) // 2
+    return bool(re.fullmatch(r"([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})", start.strip())) and len(data) >= 2 * block and len(data) % block == 0
+
+
 def is_ssh_key(data: bytes) -> bool:
     """True if the bytes are an OpenSSH private key file: strings with lengths, number of keys, public and private part."""
     if not data.startswith(_SSH_MAGIC):
@@ -154,7 +176,7 @@ def is_jwt(token: str) -> bool:
 
 
 def _text(data: bytes) -> str | None:
-    """The bytes as text, if nearly all of it is printable."""
+    """The bytes as text, if all of it is printable."""
     if len(data) < 12:
         return None
     try:
@@ -193,8 +215,8 @@ def added_spans(text: str, depth: int = 2) -> list[tuple[int, int, int]]:
     found: list[tuple[int, int, int]] = []
     taken = _Taken()
     if "PRIVATE KEY-----" in text:
-        for start, end, body, encrypted in _pem_blocks(text):
-            if encrypted and len(body) >= 64 or any(is_der_key(d) or is_ssh_key(d) for d in decoded(body)):
+        for start, end, body, headers in _pem_blocks(text):
+            if any(is_der_key(d) or is_ssh_key(d) or is_encrypted_der_key(d) or is_encrypted_legacy_key(headers, d) for d in decoded(body)):
                 found.append((start, end, 4))
                 taken.add(start, end)
     if "ey" in text:
@@ -264,7 +286,7 @@ def _line_runs(text: str):
 
 
 def _pem_blocks(text: str):
-    """(start, end, base64 body, encrypted) of the blocks; each stretch between two heads is read once."""
+    """(start, end, base64 body, header lines) of the blocks; each stretch between two heads is read once."""
     heads = list(_PEM_HEAD.finditer(text))
     for i, m in enumerate(heads):
         following = heads[i + 1].start() if i + 1 < len(heads) else len(text)
@@ -273,7 +295,7 @@ def _pem_blocks(text: str):
         if at >= 0:
             lines = text[m.end():at].replace("\\n", "\n").splitlines()
             body = "".join(x.strip() for x in lines if ":" not in x)
-            yield m.start(), at + len(foot), body, "ENCRYPTED" in text[m.start():at]
+            yield m.start(), at + len(foot), body, [x.strip() for x in lines if ":" in x]
 
 
 def spans_text(spans: list[tuple[int, int, int]], kinds: tuple[str, ...] = KINDS) -> str:

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.common import filled, staged
+from basketry.llm.common import filled, staged, whole_files
 
 #: Fixed values of the round function: a Lehmer-style step modulo a 31-bit prime.
 PRIME = 2147483647
@@ -90,9 +90,7 @@ def numbered(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     written, so each has a fixed place; file offsets come from one small
     count, and no task ever numbers more than its own range.
     """
-    table = staged(rows.repartitionByRange(*order, F.rand(7)).sortWithinPartitions(*order), "numbered")
-    table = table.select("*", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long").alias("_file"),
-                         F.col("_metadata.row_index").alias("_row"))
+    table = whole_files(rows.repartitionByRange(*order, F.rand(7)).sortWithinPartitions(*order), "numbered")
     # one row a file: at most the number of shuffle partitions
     counts = sorted((r["_file"], r["count"]) for r in table.groupBy("_file").count().collect())
     offsets, total = [], 0

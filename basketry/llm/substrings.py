@@ -39,6 +39,8 @@ LENGTH = 13
 GRAM = 5
 #: About so many words of reference text go into one automaton: the bound of a task's memory, not of what is found.
 SHARD_WORDS = 50_000
+#: Rows (of two numbers) up to which the table of such references is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 100_000
 #: Bytes of text whose words are hashed at a time; eight-byte numbers make it some fifty times as much.
 SLICE_BYTES = 1_000_000
 #: Odd multipliers of the hashes.
@@ -185,15 +187,24 @@ class SuffixAutomaton:
             yield length, state
 
     def first_documents(self, words: list, length: int = LENGTH) -> list:
-        """For each window of ``words`` the smallest document that holds it, None if none does."""
-        out = []
-        for i, (longest, state) in enumerate(self.statistics(words)):
-            if i < length - 1:
-                continue
-            if longest >= length:
-                while self.length[self.link[state]] >= length:
-                    state = self.link[state]
-            out.append(self.first[state] if longest >= length else None)
+        """For each window of ``words`` the smallest document that holds it, None if none does.
+
+        The matching statistics up to ``length`` words: a longer match goes on
+        from the state of its last ``length`` words, so each word costs a bounded
+        climb, also in texts of one word over and over.
+        """
+        out, state, matched, link, lengths = [], 0, 0, self.link, self.length
+        for i, word in enumerate(words):
+            while state and word not in self.next[state]:
+                state = link[state]
+                matched = lengths[state]
+            if word in self.next[state]:
+                state, matched = self.next[state][word], matched + 1
+            while state and lengths[link[state]] >= length:
+                state = link[state]
+            matched = min(matched, length)
+            if i >= length - 1:
+                out.append(self.first[state] if matched == length else None)
         return out
 
 
@@ -219,13 +230,15 @@ def covered(n: int, starts: list[int], length: int = LENGTH) -> np.ndarray:
 
 
 def _anchor_rows(slim: DataFrame, kind, length: int, gram: int) -> DataFrame:
-    """(h, doc): the anchors of each document, those of neighbouring windows once."""
+    """(h, doc): the different anchors of each document."""
     def run(batches):
         for part in by_bytes(batches, 1, SLICE_BYTES):
             data, bounds = text_bytes(part.column(1))
-            _, row, value, at, _ = anchors(data, bounds, length, gram)
-            new = np.ones(len(at), bool)
-            new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
+            _, row, value, _, _ = anchors(data, bounds, length, gram)
+            order = np.lexsort((value, row))
+            row, value = row[order], value[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(value[new]), part.column(0).take(pa.array(row[new]))], names=["h", "doc"])
 
     return slim.select("doc", "text").mapInArrow(run, f"h long, doc {kind.simpleString()}")
@@ -300,11 +313,14 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sh
     # references with more different words than a shard holds: their passages are dealt window by window
     word = F.split("words", " ")
     hot = found.select("route", "id", F.size(word).alias("n")).distinct().groupBy("route").agg(F.sum("n").alias("different")).where(F.col("different") > shard_words)
-    found = found.join(hot, "route", "left")
+    hot = staged(hot, "hot-references")
+    few = hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    found = found.join(F.broadcast(hot) if few else hot, "route", "left")
     window = F.transform(F.sequence(F.lit(0), F.size(word) - length), lambda i: F.struct(
         (F.col("at") + i).alias("at"), F.array_join(F.slice(word, i + 1, length), " ").alias("words")))
     pieces = found.where("different is not null").select("doc", "copy", F.explode(window).alias("w"))
     pieces = pieces.select("doc", "copy", "w.at", F.xxhash64("w.words").alias("route"), "w.words", F.unhex(F.md5("w.words")).alias("id"))
+    pieces = staged(pieces, "hot-windows")
     found = found.where("different is null").select("doc", "copy", "at", "route", "words", "id").unionByName(pieces)
     different = staged(found.groupBy("route", "id", "words").agg(F.min("doc").alias("doc")), "different-passages")
     total = different.agg(F.sum(F.size(word))).first()[0] or 0

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import ship_package, staged
+from basketry.llm.common import ship_package, whole_files
 from basketry.session import scratch_path
 
 #: Queries that are sent to all tasks at a time: the bound of what is broadcast, QUERY_BLOCK * dimensions * 8 bytes.
@@ -119,14 +119,11 @@ def exact_topk(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id",
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
     ints = integer_vectors(vectors, id_col, vec_col).withColumn("vec_id", F.col("vec_id").cast("long"))
-    table = staged(ints, "vectors")
-    file = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
-    table = table.select("vec_id", "v", (F.shiftleft(file, 40) + F.col("_metadata.row_index")).alias("row"))
+    table = whole_files(ints, "vectors").select("vec_id", "v", (F.shiftleft("_file", 40) + F.col("_row")).alias("row"))
     order = dimension_order(table)
     starts = list(range(0, len(order), dim_block))
     # the query set, numbered without a window: pages of a sorted table
-    asked = staged(table.where(is_query).sort("vec_id", "row"), "queries")
-    asked = asked.withColumn("f", file).withColumn("i", F.col("_metadata.row_index"))
+    asked = whole_files(table.where(is_query).sort("vec_id", "row"), "queries").withColumnsRenamed({"_file": "f", "_row": "i"})
     path, after = None, F.lit(True)
     while page := asked.where(after).sort("f", "i").limit(query_block).collect():
         f, i = page[-1]["f"], page[-1]["i"]

@@ -188,6 +188,12 @@ def test_dedup_equals_brute_force(shared_passages, bounds):
     assert rows_of(got) == dedup_brute(rows)
 
 
+def test_dedup_with_many_hot_references(shared_passages, monkeypatch):
+    docs, rows = shared_passages
+    monkeypatch.setattr(substrings, "BROADCAST_ROWS", 1)
+    assert rows_of(substrings.without_repeats(docs, shard_words=12).drop("removed")) == dedup_brute(rows)
+
+
 def test_dedup_removed_runs_agree_with_what_is_kept(shared_passages):
     docs, rows = shared_passages
     for r in substrings.without_repeats(docs).where("n_removed > 0").collect():
