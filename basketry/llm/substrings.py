@@ -32,6 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.functions.columns import let
 from basketry.llm.common import by_bytes, filled, ship_package, sliced, staged, text_bytes
 
 LENGTH = 13
@@ -316,8 +317,9 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sh
     hot = staged(hot, "hot-references")
     few = hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     found = found.join(F.broadcast(hot) if few else hot, "route", "left")
-    window = F.transform(F.sequence(F.lit(0), F.size(word) - length), lambda i: F.struct(
-        (F.col("at") + i).alias("at"), F.array_join(F.slice(word, i + 1, length), " ").alias("words")))
+    # split once a passage, not once a window
+    window = let(word, lambda ws: F.transform(F.sequence(F.lit(0), F.size(ws) - length), lambda i: F.struct(
+        (F.col("at") + i).alias("at"), F.array_join(F.slice(ws, i + 1, length), " ").alias("words"))))
     pieces = found.where("different is not null").select("doc", "copy", F.explode(window).alias("w"))
     pieces = pieces.select("doc", "copy", "w.at", F.xxhash64("w.words").alias("route"), "w.words", F.unhex(F.md5("w.words")).alias("id"))
     pieces = staged(pieces, "hot-windows")
