@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from basketry.functions.columns import exact_sum, let, ratio
 from basketry.functions.rng import draw_mod, unit
 from basketry.operators.slicing import accepted, indexed_universe, ranked_universe
+from basketry.session import stage_scratch
 from basketry.sources.schemas import WEIGHT_CEILING, WEIGHT_FLOOR
 
 BUY_AND_HOLD, RANDOM_UNCONSTRAINED, OPTIMIZED = 0, 1, 2
@@ -132,7 +133,7 @@ def random_unconstrained(scenarios: DataFrame, flong: DataFrame) -> DataFrame:
     below n matters), the subset by Floyd's method, so no scenario is
     paired with the whole universe.  Any n_assets >= 1."""
     scenarios = accepted(scenarios, bounded=False, search=False)
-    iu = indexed_universe(scenarios, flong)
+    iu = stage_scratch(indexed_universe(scenarios, flong), "universe")  # read twice: sizes and symbols
     sizes = iu.select("dt", "win", "m").distinct()
     s = scenarios.select("scenario_id", F.col("formation_date").alias("dt"), "win", "n_assets", "seed") \
                  .join(sizes, ["dt", "win"])

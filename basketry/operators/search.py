@@ -19,7 +19,7 @@ from basketry.functions.columns import exact_sum, ratio, rescale_range
 from basketry.functions.rng import draw, draw_mod
 from basketry.operators import risk
 from basketry.operators.formation import OPTIMIZED, individuals_of, random_constrained
-from basketry.operators.slicing import accepted, indexed_universe, lookback_bounds
+from basketry.operators.slicing import accepted, asked_folders, indexed_universe, lookback_bounds
 from basketry.session import remove_path, scratch_path, stage, stage_scratch
 from basketry.sources.schemas import (RETURN_WEIGHT, RISK_WEIGHT, ROULETTE_NEW, ROULETTE_OLD,
                                       SELECTION_THRESHOLD, WEIGHT_CEILING, WEIGHT_FLOOR)
@@ -34,7 +34,7 @@ GENE_TICKETS = 1_000_000_000
 
 def init_population(scenarios: DataFrame, flong: DataFrame, iu: DataFrame | None = None) -> DataFrame:
     """pop_size random constrained portfolios per scenario (generation 0)."""
-    iu = iu if iu is not None else indexed_universe(scenarios, flong)
+    iu = iu if iu is not None else _cut(indexed_universe(scenarios, flong))
     r = random_constrained(individuals_of(scenarios, 0), iu, "init")
     return r.select(*POP_COLS)
 
@@ -319,7 +319,11 @@ def lookback_returns(scenarios: DataFrame, flong: DataFrame) -> DataFrame:
     Cut once per run, so every generation's evaluation reads this narrow table
     instead of re-deriving the feature panel.  The span is one row a window."""
     span = lookback_bounds(scenarios).groupBy("win").agg(F.min("left_date").alias("_l"), F.max("right_date").alias("_r"))
-    j = flong.select("symbol", "dt", "win", "ror").join(F.broadcast(span), "win")
+    parts = [c for c in ("year",) if c in flong.columns]
+    if parts:  # the folders of the stored panel: a row a window and year
+        span = span.filter(F.col("_l").isNotNull()).select("*", F.explode(F.sequence(F.year("_l"), F.year("_r"))).alias("year"))
+        flong = asked_folders(flong, span)
+    j = flong.select("symbol", "dt", "win", "ror", *parts).join(F.broadcast(span), ["win", *parts]).drop(*parts)
     return j.filter(F.col("dt").between(F.col("_l"), F.col("_r"))).drop("_l", "_r")
 
 

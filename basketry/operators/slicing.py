@@ -76,6 +76,29 @@ def _month(c) -> Column:
     return F.year(c) * 12 + F.month(c)
 
 
+def _clustered(flong: DataFrame) -> list[str]:
+    """The join columns that the stored long panel is partitioned by beside win; an unstored one has none."""
+    return [c for c in ("year",) if c in flong.columns]
+
+
+def asked_folders(flong: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of the stored long panel in the (win, year) folders that ``asked`` names; an unstored panel stays whole.
+
+    The folders are read first and become a partition filter of the plan, which
+    holds whatever join follows and whatever statistics there are (run-time
+    pruning needs a selective filter on the scenarios and a broadcast).  They are
+    six windows times the years of the calendar at most."""
+    if not _clustered(flong):
+        return flong
+    years: dict[int, list[int]] = {}
+    for r in asked.filter(F.col("win").isin(*WINDOWS) & F.col("year").isNotNull()).select("win", "year").distinct().collect():
+        years.setdefault(r["win"], []).append(r["year"])
+    folders = F.lit(False)
+    for win, in_years in sorted(years.items()):
+        folders = folders | ((F.col("win") == win) & F.col("year").isin(*sorted(in_years)))
+    return flong.filter(folders)
+
+
 def lookback_months(scenarios: DataFrame) -> DataFrame:
     """scenario_id, win, left_date, right_date, month: a row per calendar month
     that the lookback touches (at most 14)."""
@@ -91,9 +114,11 @@ def lookback_slice(scenarios: DataFrame, flong: DataFrame, holdings: DataFrame)
     at most 14 request rows per (scenario, held symbol).  A symbol held by many
     scenarios makes hot join keys, which AQE's skew join splits."""
     held = holdings.select("scenario_id", "symbol").distinct()
-    req = held.join(lookback_months(scenarios), "scenario_id")
-    panel = flong.select("symbol", "dt", "win", "ror", _month("dt").alias("month"))
-    hit = req.join(panel, ["symbol", "win", "month"]).filter(F.col("dt").between(F.col("left_date"), F.col("right_date")))
+    parts = _clustered(flong)
+    months = lookback_months(scenarios).withColumn("year", F.floor((F.col("month") - 1) / 12).cast("int"))
+    panel = asked_folders(flong, months).select("symbol", "dt", "win", "ror", _month("dt").alias("month"), *parts)
+    req = held.join(months, "scenario_id")
+    hit = req.join(panel, ["symbol", "win", "month", *parts]).filter(F.col("dt").between(F.col("left_date"), F.col("right_date")))
     return hit.select("scenario_id", "symbol", "dt", "ror")
 
 
@@ -106,9 +131,10 @@ def scenario_keys(scenarios: DataFrame) -> DataFrame:
 def universe(scenarios: DataFrame, flong: DataFrame) -> DataFrame:
     """Eligible symbols per formation key (dt, window): mean not null.
 
-    One row per (key, symbol), shared by all scenarios with that key."""
-    keys = scenario_keys(scenarios).select("dt", "win")
-    u = flong.filter(F.col("mean").isNotNull()).join(keys, ["dt", "win"], "left_semi")
+    From the stored long panel only the (window, year) folders of the keys are read.  One row per (key, symbol), shared by all scenarios with that key."""
+    parts = _clustered(flong)
+    keys = scenario_keys(scenarios).select("dt", "win", F.year("dt").cast("int").alias("year"))
+    u = asked_folders(flong, keys).filter(F.col("mean").isNotNull()).join(keys, ["dt", "win", *parts], "left_semi")
     return u.select("dt", "win", "symbol", "mean", "adj_close", "currency")
 
 

@@ -7,14 +7,16 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.operators.features import asset_features, features_long
+from basketry.operators.features import asset_features
 from basketry.plans.scenarios import GRID_WINDOWS, scenario_grid
-from basketry.session import stage_scratch
+from basketry.session import StoredTables, scratch_path, stage, stage_scratch
 from basketry.sources import fixtures
+from basketry.sources.parquet import read_long_panel, write_long_panel
 
 
-# Feature panel and FX of each (application, data folder), built once and read by every query of the session.
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+# Feature panel, its long form and FX of each (application, data folder), built once and read by every query of the
+# session as long as the tables of the folder stay as they are.
+_STORED = StoredTables()
 
 
 class Ctx:
@@ -27,14 +29,12 @@ class Ctx:
         self.sf_dir = sf_dir.rstrip("/")
         self.windows = windows
         self.scenario_overrides = scenario_overrides
+        self._own_features = features is not None
         if features is not None:
             self.__dict__["features"] = features
 
     def _stored(self, name: str, build) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in _STORED:
-            _STORED[key] = stage_scratch(build(), name)
-        return _STORED[key]
+        return _STORED.get(self.spark, self.sf_dir, name, lambda path: stage(build(), path))
 
     @cached_property
     def panel_raw(self) -> DataFrame:
@@ -60,7 +60,13 @@ class Ctx:
 
     @cached_property
     def flong(self) -> DataFrame:
-        return features_long(self.features)
+        """The long panel, stored by (win, year)."""
+        def build(path):
+            write_long_panel(self.features, path)
+            return read_long_panel(self.spark, path)
+        if self._own_features:
+            return build(scratch_path(self.spark, "flong"))
+        return _STORED.get(self.spark, self.sf_dir, "flong", build)
 
     @cached_property
     def scenarios(self) -> DataFrame:

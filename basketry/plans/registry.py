@@ -21,7 +21,7 @@ from basketry.plans import oracle_search as OS
 from basketry.operators import search
 from basketry.plans.context import Ctx, rounded, sql_rounded
 from basketry.plans.scenarios import DEFAULTS
-from basketry.session import scratch_path, stage_scratch
+from basketry.session import StoredTables, scratch_path, stage, stage_scratch
 from basketry.sources import csv as csvsrc
 from basketry.sources import fixtures as fx_mod
 from basketry.sources import parquet as pq
@@ -135,7 +135,7 @@ FLONG_ROUND = {"ror": R6, "std": R6, "mean": R6}
 
 @query("features_long", O.with_ctes(BASE, sql_rounded(FLONG_COLS, FLONG_ROUND, "flong")))
 def q_features_long(spark, sf_dir):
-    return rounded(Ctx(spark, sf_dir).flong, FLONG_ROUND)
+    return rounded(Ctx(spark, sf_dir).flong.select(*FLONG_COLS), FLONG_ROUND)
 
 
 # ------------------------------------------------------ distinct, rank, slices
@@ -828,16 +828,16 @@ def q_regime_backtest(spark, sf_dir):
     return rounded(r, ROI_ROUND)
 
 
-_RUNS: dict[tuple[str, str], tuple] = {}
+_RUNS = StoredTables()
 
 
 def _evolved(spark, sf_dir):
-    """One search over the grid a session and data folder; its three results are different queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _RUNS:
+    """One search over the grid a session and state of the data folder; its three results are different queries."""
+    def build(path):
         ctx = _search_ctx(spark, sf_dir)
-        _RUNS[key] = search.evolve(ctx.scenarios, ctx.flong)
-    return _RUNS[key]
+        best, pop, hist = search.evolve(ctx.scenarios, ctx.flong)
+        return stage(best, f"{path}/best"), stage(pop, f"{path}/population"), stage(hist, f"{path}/history")
+    return _RUNS.get(spark, sf_dir, "evolved", build)
 
 
 def _evolve_sql(final, base=None):

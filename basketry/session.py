@@ -75,3 +75,46 @@ def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through its Hadoop file system."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def fingerprint(spark: SparkSession, path: str) -> tuple:
+    """(name, modification time, bytes, files) of what lies in a folder: changes when a table in it is replaced or grows."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for status in fs.listStatus(p):
+        held = fs.getContentSummary(status.getPath())
+        out.append((status.getPath().getName(), status.getModificationTime(), held.getLength(), held.getFileCount()))
+    return tuple(sorted(out))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence test through the Hadoop file system of the path (HDFS, S3, local)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
+class StoredTables:
+    """Results kept for a session, each valid as long as the inputs that it was made of stay as they are.
+
+    A result is a folder of Parquet tables and what is read from it.  It is
+    rebuilt when the fingerprint of the input folder has changed or its own folder
+    is gone; the folder of the outdated one is removed.
+    """
+
+    def __init__(self):
+        self._kept: dict[tuple, tuple] = {}
+
+    def get(self, spark: SparkSession, inputs: str, name: str, build):
+        """``build(path)`` writes below ``path`` and returns the result."""
+        key = (spark.sparkContext.applicationId, inputs.rstrip("/"), name)
+        now = fingerprint(spark, inputs)
+        if key in self._kept:
+            made_of, path, result = self._kept[key]
+            if made_of == now and path_exists(spark, path):
+                return result
+            remove_path(spark, path)
+        path = scratch_path(spark, name)
+        result = build(path)
+        self._kept[key] = (now, path, result)
+        return result

@@ -1,22 +1,15 @@
-"""Feature panel storage: Parquet partitioned by year (scan pruning by date)."""
+"""Feature panel storage: Parquet partitioned by year, its long form by window and year (scan pruning by date and window)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.operators.features import asset_features
+from basketry.operators.features import asset_features, features_long
+from basketry.session import path_exists
 from basketry.sources.csv import read_asset_csv
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence test through the Hadoop file system of the path (HDFS, S3, local)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
-
-
 def write_panel_parquet(df: DataFrame, path: str) -> None:
     """Write partitioned by year; fails if the path exists (the reference's default mode).
 
@@ -42,3 +35,20 @@ def panel_or_build(spark: SparkSession, path: str, csv_paths) -> DataFrame:
     elif not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
         raise RuntimeError(f"{path} holds an incomplete panel (no _SUCCESS): remove it and build again")
     return read_panel_parquet(spark, path)
+
+
+def write_long_panel(features: DataFrame, path: str) -> None:
+    """The long form (a row per symbol, date and window) partitioned by window and year.
+
+    A scenario asks for one window and a few years: the slices read those
+    folders alone (``slicing.asked_folders``).  Rows of a file are ordered
+    by date and symbol."""
+    out = features_long(features).withColumn("year", F.year("dt").cast("int"))
+    (out.hint("rebalance", "win", "year").sortWithinPartitions("win", "year", "dt", "symbol")
+        .write.mode("errorifexists").partitionBy("win", "year").parquet(path))
+
+
+def read_long_panel(spark: SparkSession, path: str) -> DataFrame:
+    """symbol, dt, win, ror, std, mean, adj_close, currency, year."""
+    schema = "symbol string, dt date, ror double, std double, mean double, adj_close double, currency string, win int, year int"
+    return spark.read.schema(schema).parquet(path).select("symbol", "dt", "win", "ror", "std", "mean", "adj_close", "currency", "year")
