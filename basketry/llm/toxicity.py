@@ -39,8 +39,9 @@ AFFIXES = (3, 4, 5, 6)
 ROUNDS = 60
 #: Words whose emission a worker remembers.
 MEMORY = 150_000
-#: Texts whose recursions run side by side.
+#: Texts whose recursions run side by side, and how many of them are so few that each goes on alone.
 ROWS = 512
+FEW = 8
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -84,18 +85,37 @@ def forward_backward(emission: np.ndarray, lengths: np.ndarray, trans: np.ndarra
     lay = Packed(lengths)
     e = np.exp(np.clip(lay.put(emission), -40, 40))
     ahead, after = np.empty_like(e), np.ones_like(e)
-    for t in range(lay.longest):
+    (t00, t01), (t10, t11) = trans.tolist()
+    # a numpy call a position pays while several sequences reach it; the few longest go on word by word
+    wide = int(np.searchsorted(-lay.active, -FEW, side="left"))
+    for t in range(wide):
         now = slice(lay.offset[t], lay.offset[t + 1])
         if t == 0:
             ahead[now] = e[now]
             continue
         r = ahead[lay.offset[t - 1]:lay.offset[t - 1] + lay.active[t]]
-        ahead[now] = e[now] * (trans[0, 1] + r * trans[1, 1]) / (trans[0, 0] + r * trans[1, 0])
-    for t in range(lay.longest - 2, -1, -1):
+        ahead[now] = e[now] * (t01 + r * t11) / (t00 + r * t10)
+    for i in range(int(lay.active[wide]) if wide < lay.longest else 0):
+        at = lay.offset[wide:-1][:np.count_nonzero(lay.active[wide:] > i)] + i
+        words = e[at].tolist()
+        r, out = float(ahead[lay.offset[wide - 1] + i]) if wide else None, []
+        for x in words:
+            r = x if r is None else x * (t01 + r * t11) / (t00 + r * t10)
+            out.append(r)
+        ahead[at] = out
+        x, out = 1.0, [1.0]
+        for following in reversed(words):
+            x = following * x
+            x = (t10 + t11 * x) / (t00 + t01 * x)
+            out.append(x)
+        after[at] = out[-2::-1]
+        if wide:
+            after[lay.offset[wide - 1] + i] = out[-1]
+    for t in range(min(wide, lay.longest) - 2, -1, -1):
         n = lay.active[t + 1]
         following = slice(lay.offset[t + 1], lay.offset[t + 1] + n)
         x = e[following] * after[following]
-        after[lay.offset[t]:lay.offset[t] + n] = (trans[1, 0] + trans[1, 1] * x) / (trans[0, 0] + trans[0, 1] * x)
+        after[lay.offset[t]:lay.offset[t] + n] = (t10 + t11 * x) / (t00 + t01 * x)
     return lay.back(ahead), lay.back(after)
 
 
