@@ -3,11 +3,14 @@
 Base patterns find e-mail addresses, IP addresses, cards and phone numbers;
 they read greedily and drop what they overran ("two cards in a row").  The
 field looks at the regions where digits or an at sign stand: a segment is a
-run of at most ``MAX_UNITS`` units (digit groups, letter runs, single marks),
+run of at most ``MAX_DIGITS`` digits in units (digit groups, letter runs, single marks),
 its score the weighted sum of features of the whole span (digits, grouping,
 check digit, part values, neighbours).  Dynamic programming over segments and
 their types chooses boundaries and types of a region together; everything
-outside segments scores 0.
+outside segments scores 0.  Segments are bounded by digits (19, which a card
+may have), however they are grouped.  Address regions are those of the base
+pattern: an address has no other form, there the field only weighs it against
+numbers that touch it.
 
 Weights maximise the likelihood of the base spans on a bounded sample of
 regions, expectations by the forward-backward recursion over segments.  Base
@@ -19,7 +22,9 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate, batched
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +34,11 @@ from pyspark.sql import functions as F
 from basketry.llm.common import hashed_sample, map_rows, rewrite_rows
 
 KINDS = ("email", "ip", "card", "phone")
-#: Longest segment, in units and in digit groups: entities are bounded, so the recursion is linear in the text.
-MAX_UNITS = 24
-MAX_GROUPS = 6
+#: Longest segment, in digits and in units (a digit and three marks each): entities are bounded, so the recursion is linear in the text.
+MAX_DIGITS = 19
+MAX_UNITS = 4 * MAX_DIGITS
+#: Segments that are scored together.
+BATCH = 8_192
 #: Bounds of the training sample: texts with candidates, texts they are looked for in, characters of one, regions of a label.
 MAX_DOCS = 2_000
 SAMPLE_TEXTS = 40_000
@@ -113,12 +120,19 @@ def regions(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+#: Every digit as 0: features ask where digits stand, but for check digits and address parts.
+_SHAPE = str.maketrans("123456789", "0" * 9)
+
+
 @lru_cache(maxsize=100_000)
-def _shape_features(span: str) -> tuple[str, ...]:
-    """Features of a span's own text."""
-    digits = "".join(c for c in span if "0" <= c <= "9")
+def segment_features(before: str, span: str, after: str, check: bool, parts: bool) -> tuple[str, ...]:
+    """Features of a span, digits written as 0, between the character before and the two after it.
+
+    ``check``: its digits end in a check digit; ``parts``: it is four numbers
+    of at most 255.
+    """
     groups = re.findall(r"[0-9]+", span)
-    n = len(digits)
+    n = sum(map(len, groups))
     marks = "".join(sorted({c for c in span if not c.isalnum()}))
     out = [f"marks={marks}", f"digits={n if n < 20 else '20+'}", f"groups={min(len(groups), 6)}",
            f"first={'d' if span[0].isdigit() else 'a' if span[0].isalpha() else span[0]}",
@@ -129,9 +143,9 @@ def _shape_features(span: str) -> tuple[str, ...]:
     out.append("no-address" if "@" not in span else "address" if emails(span) == [(0, len(span))] else "broken-address")
     out.append(f"ats={min(span.count('@'), 2)}")
     quad = marks == "." and span.count(".") == 3 and len(groups) == 4
-    out.append("no-quad" if not quad else "quad" if _ip_parts_hold(span) else "bad-quad")
+    out.append("no-quad" if not quad else "quad" if parts else "bad-quad")
     if 12 <= n <= 19 and not set(marks) - set(" -"):
-        out.append("check-digit" if luhn(digits) else "no-check-digit")
+        out.append("check-digit" if check else "no-check-digit")
         out.append("even-groups" if len({len(g) for g in groups}) == 1 else "uneven-groups")
     else:
         out.append("no-card-digits")
@@ -140,89 +154,125 @@ def _shape_features(span: str) -> tuple[str, ...]:
         out.append(f"country={min(len(groups[0]), 4) if groups else 0}")
     if n and not span.startswith("+") and 7 <= n <= 15:
         out.append(f"grouping={'-'.join(str(len(g)) for g in groups) if len(groups) < 6 else 'many'}")
-    if "  " in span or span != span.strip():
-        out.append("loose-blank")
-    if span.count("(") != span.count(")"):
-        out.append("open-bracket")
-    return tuple(out)
-
-
-def segment_features(text: str, start: int, end: int) -> tuple[str, ...]:
-    """Features of text[start:end], its neighbours included."""
-    before, after = text[start - 1:start], text[end:end + 1]
-    edge = []
+    following = after[:1]
     if before.isalnum() or before in ("@", "_"):
-        edge.append("glued-before")
-    if after.isalnum() or after in ("@", "_"):
-        edge.append("glued-after")
-    if after in (".", "-") and text[end + 1:end + 2].isdigit() or before in (".", "-", "+") and (text[start:start + 1].isdigit()):
-        edge.append("cut-number")
-    if "@" in text[start:end] and (after in ".-" and text[end + 1:end + 2].isalnum() if after else False):
-        edge.append("cut-address-after")
-    if "@" in text[start:end] and before and before in "._%+-":
-        edge.append("cut-address-before")
-    return (*_shape_features(text[start:end]), *edge)
+        out.append("glued-before")
+    if following.isalnum() or following in ("@", "_"):
+        out.append("glued-after")
+    if following in (".", "-") and after[1:].isdigit() or before in (".", "-", "+") and span[0].isdigit():
+        out.append("cut-number")
+    if "@" in span and following and following in ".-" and after[1:].isalnum():
+        out.append("cut-address-after")
+    if "@" in span and before and before in "._%+-":
+        out.append("cut-address-before")
+    return tuple(out)
 
 
-def admissible(names: tuple[str, ...], digits: int) -> tuple[bool, ...]:
-    """Whether a span can be of each kind at all: an address, four parts up to 255, a check digit, 7 to 15 digits."""
-    return ("address" in names, "quad" in names, "check-digit" in names,
-            7 <= digits <= 15 and not {"letters", "open-bracket", "loose-blank"} & set(names))
+def units_of(text: str, start: int, end: int) -> list[int]:
+    """Bounds of the units of a region: digit groups, letter runs, single marks."""
+    return [start, *[m.end() for m in _UNIT.finditer(text, start, end)]]
 
 
-def candidates(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int, int, tuple[str, ...], tuple[bool, ...]]]]:
-    """Unit bounds of a region and its segments (first unit, unit after the last, features, admissible kinds).
+def candidates(text: str, bounds: list[int]) -> Iterator[tuple[int, int, tuple[str, ...], tuple[bool, ...]]]:
+    """Segments of a region by their first unit: (first unit, unit after the last, features, admissible kinds).
 
-    Segments start and end at a digit group, a letter run, ``+`` or a bracket
-    and are admissible for some kind.
+    Segments start at a digit group, a letter run, ``+`` or a bracket, end at
+    one of these but ``+``, and can be of some kind: an address, four parts up
+    to 255, 12 to 19 digits with a check digit, or 7 to 15 digits without
+    letters, open brackets and double blanks.  Running counts over the units
+    tell most of that before any feature is made.
     """
-    bounds = [start, *[m.end() for m in _UNIT.finditer(text, start, end)]]
-    out = []
     n = len(bounds) - 1
-    digits = np.cumsum([0] + [sum("0" <= c <= "9" for c in text[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)])
-    ats = np.cumsum([0] + [text[a:b] == "@" for a, b in zip(bounds, bounds[1:], strict=False)])
-    groups = np.cumsum([0] + ["0" <= text[a] <= "9" for a in bounds[:-1]])
-    for i in range(n):
-        first = text[bounds[i]]
-        if not (first.isalnum() or first in "+("):
+    units = [text[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    lead, top = max(bounds[0] - 1, 0), bounds[-1] + 2
+    shape = text[lead:top].translate(_SHAPE)
+
+    def so_far(flags: Iterable) -> list[int]:
+        return [0, *accumulate(flags)]
+    number = ["0" <= u[0] <= "9" for u in units]
+    digits = so_far(len(u) if is_number else 0 for u, is_number in zip(units, number, strict=True))
+    groups, letters, ats = so_far(number), so_far(u[0].isalpha() for u in units), so_far(u == "@" for u in units)
+    brackets, dots = so_far((u == "(") - (u == ")") for u in units), so_far(u == "." for u in units)
+    blanks = so_far(u == " " and t > 0 and units[t - 1] == " " for t, u in enumerate(units))
+    no_card = so_far(not u[0].isalnum() and u not in " -" for u in units)
+    no_quad = so_far(u[0] != "." and not is_number for u, is_number in zip(units, number, strict=True))
+    ends = [u[0].isalnum() or u == ")" for u in units]
+    # check sums of all digits so far, those at even and those at odd places doubled
+    twice = [[], []]
+    for place, c in enumerate("".join(u for u, is_number in zip(units, number, strict=True) if is_number)):
+        d = ord(c) - 48
+        twice[place % 2].append(2 * d - 9 * (d > 4))
+        twice[1 - place % 2].append(d)
+    twice = [so_far(t) for t in twice]
+    for i, first in enumerate(units):
+        if not (first[0].isalnum() or first in "+("):
             continue
-        for j in range(i + 1, min(n, i + MAX_UNITS) + 1):
-            last = text[bounds[j] - 1]
-            if groups[j] - groups[i] > MAX_GROUPS and ats[j] == ats[i]:
+        last, d_i, a = min(n, i + MAX_UNITS), digits[i], bounds[i]
+        address = ats[last] > ats[i]
+        before = shape[a - lead - 1:a - lead] if a > lead else ""
+        for j in range(i + 1, last + 1):
+            d_j = digits[j]
+            n_digits = d_j - d_i
+            if n_digits > MAX_DIGITS and not address:
                 break
-            if not (last.isalnum() or last == ")"):
+            if not ends[j - 1]:
                 continue
-            if ats[j] - ats[i] == 0 and not 4 <= digits[j] - digits[i] <= 19:
+            check = parts = False
+            if address and ats[j] > ats[i]:
+                if ats[j] - ats[i] > 1 or emails(text[a:bounds[j]]) != [(0, bounds[j] - a)]:
+                    continue
+                kinds = (True, False, False, False)
+            elif 4 <= n_digits <= MAX_DIGITS:
+                # the last digit counts once, the one before it twice
+                check = n_digits >= 12 and (twice[d_j % 2][d_j] - twice[d_j % 2][d_i]) % 10 == 0
+                parts = (groups[j] - groups[i] == 4 and dots[j] - dots[i] == 3 and no_quad[j] == no_quad[i]
+                         and _ip_parts_hold(text[a:bounds[j]]))
+                card = check and no_card[j] == no_card[i]
+                phone = 7 <= n_digits <= 15 and letters[j] == letters[i] and brackets[j] == brackets[i] and blanks[j] == blanks[i]
+                if not (parts or card or phone):
+                    continue
+                kinds = (False, parts, card, phone)
+            else:
                 continue
-            names = segment_features(text, bounds[i], bounds[j])
-            kinds = admissible(names, int(digits[j] - digits[i]))
-            if any(kinds):
-                out.append((i, j, names, kinds))
-    return bounds, out
-
-
-def _scores(segments: list, number: dict[str, int], weights: np.ndarray) -> np.ndarray:
-    """Segments x kinds: bias plus weights; a feature that was never seen counts UNSEEN, what can't be scores minus infinity."""
-    out = np.empty((len(segments), len(KINDS)))
-    for r, (_, _, names, kinds) in enumerate(segments):
-        rows = [0, *[number[f] for f in names if f in number]]
-        out[r] = np.where(kinds, weights[rows].sum(0) + UNSEEN * (len(names) + 1 - len(rows)), -np.inf)
-    return out
+            b = bounds[j] - lead
+            yield i, j, segment_features(before, shape[a - lead:b], shape[b:b + 2], check, parts), kinds
 
 
-def best_segments(n: int, segments: list, scores: np.ndarray) -> list[tuple[int, int, int]]:
-    """(first unit, unit after the last, kind) of the best segmentation of n units; ties go to fewer segments."""
-    best, back = np.zeros(n + 1), [None] * (n + 1)
-    ending: dict[int, list[int]] = {}
-    for r, segment in enumerate(segments):
-        ending.setdefault(segment[1], []).append(r)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for r in ending.get(j, ()):
-            kind = int(scores[r].argmax())
-            value = best[segments[r][0]] + scores[r, kind]
-            if value > best[j] + 1e-12:
-                best[j], back[j] = value, (segments[r][0], kind)
+def _scores(segments: list, number: dict[str, int], weights: np.ndarray, seen: dict | None = None) -> np.ndarray:
+    """Segments x kinds: bias plus weights; a feature that was never seen counts UNSEEN, what can't be scores minus infinity.
+
+    ``seen`` keeps the sums of sets of features.
+    """
+    seen, out = {} if seen is None else seen, []
+    for _, _, names, _ in segments:
+        row = seen.get(names)
+        if row is None:
+            rows = [0, *[number[f] for f in names if f in number]]
+            row = seen[names] = weights[rows].sum(0) + UNSEEN * (len(names) + 1 - len(rows))
+        out.append(row)
+    return np.where(np.array([s[3] for s in segments], bool).reshape(-1, len(KINDS)), np.array(out).reshape(-1, len(KINDS)), -np.inf)
+
+
+def _best_of(n: int, scored: Iterable[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
+    """(first unit, unit after the last, kind) of the best segmentation, given (first, after, kind, score) by first unit.
+
+    Ties go to fewer segments.  Only a few values a unit are kept, so a region
+    of any length passes segment by segment.
+    """
+    best, back, offer, done = [0.0] * (n + 1), [None] * (n + 1), [(0.0, None)] * (n + 1), 0
+
+    def settle(after: int, upto: int) -> int:
+        for j in range(after + 1, upto + 1):
+            value, way = offer[j]
+            best[j], back[j] = (value, way) if way and value > best[j - 1] + 1e-12 else (best[j - 1], None)
+        return upto
+    for i, j, kind, score in scored:
+        if i > done:
+            done = settle(done, i)
+        value = best[i] + score
+        if score > 0 and value > offer[j][0] + 1e-12:
+            offer[j] = value, (i, kind)
+    settle(done, n)
     out, j = [], n
     while j > 0:
         if back[j]:
@@ -234,6 +284,11 @@ def best_segments(n: int, segments: list, scores: np.ndarray) -> list[tuple[int,
     return out[::-1]
 
 
+def best_segments(n: int, segments: list, scores: np.ndarray) -> list[tuple[int, int, int]]:
+    """The best segmentation of n units out of ``segments`` (by first unit) with ``scores`` of each kind."""
+    return _best_of(n, ((s[0], s[1], int(k), float(v)) for s, k, v in zip(segments, scores.argmax(1), scores.max(1), strict=True)))
+
+
 def expected(n: int, segments: list, scores: np.ndarray) -> tuple[float, np.ndarray]:
     """Log of the partition sum over all segmentations, and the probability of each segment and kind."""
     ahead, after = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
@@ -273,7 +328,8 @@ def fit(texts: list[str], rounds: int = ROUNDS, max_regions: int = MAX_REGIONS)
             label = inside[0][2] if inside else -1
             if per_label.get(label, 0) >= max_regions:
                 continue
-            bounds, segments = candidates(text, a, b)
+            bounds = units_of(text, a, b)
+            segments = list(candidates(text, bounds))
             gold = [r for r, (i, j, *_) in enumerate(segments) if inside and (bounds[i], bounds[j]) == inside[0][:2]]
             if inside and not gold or not segments:
                 continue
@@ -303,12 +359,18 @@ def fit(texts: list[str], rounds: int = ROUNDS, max_regions: int = MAX_REGIONS)
 
 def field_spans(text: str, model: dict) -> list[tuple[int, int, int]]:
     """(start, end, kind number) of the segments that the field chooses."""
-    out = []
+    out, seen = [], model.setdefault("seen", {})
+    if len(seen) > 100_000:
+        seen.clear()
+
+    def scored(bounds):
+        for some in batched(candidates(text, bounds), BATCH):
+            scores = _scores(some, model["features"], model["weights"], seen)
+            kinds, values = scores.argmax(1).tolist(), scores.max(1).tolist()
+            yield from ((s[0], s[1], k, v) for s, k, v in zip(some, kinds, values, strict=True) if v > 0)
     for a, b in regions(text):
-        bounds, segments = candidates(text, a, b)
-        if segments:
-            scores = _scores(segments, model["features"], model["weights"])
-            out += [(bounds[i], bounds[j], k) for i, j, k in best_segments(len(bounds) - 1, segments, scores)]
+        bounds = units_of(text, a, b)
+        out += [(bounds[i], bounds[j], k) for i, j, k in _best_of(len(bounds) - 1, scored(bounds))]
     return out
 
 

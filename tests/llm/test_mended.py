@@ -100,3 +100,40 @@ def test_legacy_encrypted_keys_need_a_start_value_and_whole_blocks(start, size,
 def test_letters_in_a_quad_are_no_address_of_a_machine(spark):
     model = pii.trained(spark.createDataFrame([(1, "a 10.20.30.40 b 1a.2.3.4@x now")], "doc_id long, text string"))
     assert pii.scan_text("mail 1a.2.3.4@x.yz now", model)[1] == 0
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 4])
+def test_numbers_are_found_in_groups_of_any_width(spark, width):
+    model = pii.trained(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    cards = [" ".join(c[i:i + width] for i in range(0, 16, width)) for c in ("4929348385146306", "4845168114407329")]
+    text = f"pay {cards[0]} {cards[1]} now, call +49 (0) 30 12 34 56 78 +49 (0) 30 12 34 56 79"
+    base, added = pii.all_spans(text, model)
+    assert [text[a:b] for a, b, _ in sorted(base + added)] == [*cards, "+49 (0) 30 12 34 56 78", "+49 (0) 30 12 34 56 79"]
+
+
+def test_running_check_sums_are_luhn():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        text = "".join(rng.choice(list("0123456789 "), 30)).strip()
+        bounds = pii.units_of(text, 0, len(text))
+        for i, j, names, kinds in pii.candidates(text, bounds):
+            digits = text[bounds[i]:bounds[j]].replace(" ", "")
+            assert kinds[2] == (12 <= len(digits) <= 19 and pii.luhn(digits)) and ("check-digit" in names) == kinds[2]
+
+
+def test_few_long_texts_recur_as_many_short_ones():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        lengths = rng.integers(0, rng.integers(1, 40), rng.integers(0, 30))
+        emission, trans = rng.normal(size=lengths.sum()) * 3, np.exp(rng.normal(size=(2, 2)))
+        got = toxicity.forward_backward(emission, lengths, trans)
+        ends = np.cumsum(lengths)
+        for a, b in zip(ends - lengths, ends, strict=True):
+            e, ahead, after = np.exp(emission[a:b]), np.empty(b - a), np.ones(b - a)
+            for t in range(b - a):
+                r = ahead[t - 1]
+                ahead[t] = e[t] * (trans[0, 1] + r * trans[1, 1]) / (trans[0, 0] + r * trans[1, 0]) if t else e[0]
+            for t in range(b - a - 2, -1, -1):
+                x = e[t + 1] * after[t + 1]
+                after[t] = (trans[1, 0] + trans[1, 1] * x) / (trans[0, 0] + trans[0, 1] * x)
+            assert np.allclose(got[0][a:b], ahead) and np.allclose(got[1][a:b], after)
