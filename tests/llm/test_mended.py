@@ -1,4 +1,4 @@
-"""Rolled files, rows alike in id and text, encrypted keys."""
+"""Rolled files, rows alike in id and text, encrypted keys, numbers in small groups, few long texts."""
 
 import base64
 from collections import Counter
@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.llm import mixing, pii, secrets, sharding, topk
+from basketry.llm import mixing, pii, secrets, sharding, topk, toxicity
 from basketry.llm.common import whole_files
 
 from .conftest import SF01, rows_of
