@@ -20,7 +20,7 @@ from basketry.functions.rng import draw, draw_mod
 from basketry.operators import risk
 from basketry.operators.formation import OPTIMIZED, individuals_of, random_constrained
 from basketry.operators.slicing import accepted, asked_folders, indexed_universe, lookback_bounds
-from basketry.session import remove_path, scratch_path, stage, stage_scratch
+from basketry.session import path_exists, remove_path, scratch_path, stage, stage_scratch
 from basketry.sources.schemas import (RETURN_WEIGHT, RISK_WEIGHT, ROULETTE_NEW, ROULETTE_OLD,
                                       SELECTION_THRESHOLD, WEIGHT_CEILING, WEIGHT_FLOOR)
 
@@ -341,9 +341,16 @@ def generation_step(pop: DataFrame, fit: DataFrame, scenarios: DataFrame, iu: Da
 
 
 HISTORY = "scenario_id bigint, generation int, best_fitness double, runtime_s double"
+HISTORY_COLS = ["scenario_id", "generation", "best_fitness", "runtime_s"]
 
 
-def evolve(scenarios: DataFrame, flong: DataFrame, final_fitness: str = "return") -> tuple[DataFrame, DataFrame, DataFrame]:
+def _last_whole(spark, root: str, n_gen: int) -> int | None:
+    """The last generation whose population is wholly written below ``root``."""
+    return next((g for g in range(n_gen, -1, -1) if path_exists(spark, f"{root}/g{g}/population/_SUCCESS")), None)
+
+
+def evolve(scenarios: DataFrame, flong: DataFrame, final_fitness: str = "return",
+           run_dir: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Run the search for every valid scenario at once.
 
     Returns (best, population, history): ``best`` the final portfolio per
@@ -357,34 +364,52 @@ def evolve(scenarios: DataFrame, flong: DataFrame, final_fitness: str = "return"
     Scenarios, universe and returns are written once as Parquet below the shared
     checkpoint folder; population, fitness and children once a generation, and
     those of a generation are removed when the one after the next is written.
-    History rows are appended to one table."""
+    History is one folder a generation.
+
+    ``run_dir`` names the folder instead, and a run that was broken off there goes
+    on from its last whole generation, with the universe and returns that it
+    began with: draws depend on ids alone, so its rows are those of an unbroken
+    run (but runtime_s).  Other scenarios than the run began with are an error."""
     spark = scenarios.sparkSession
-    root = scratch_path(spark, "evolve")
+    root = run_dir.rstrip("/") if run_dir else scratch_path(spark, "evolve")
 
-    def cut(df, name):
-        return stage(df, f"{root}/{name}")
+    def cut(make, name):
+        path = f"{root}/{name}"
+        if run_dir and path_exists(spark, f"{path}/_SUCCESS"):
+            return spark.read.parquet(path)
+        if run_dir:
+            remove_path(spark, path)
+        return stage(make(), path)
 
-    scen = cut(accepted(scenarios), "scenarios")
-    iu = cut(indexed_universe(scen, flong), "universe")
-    rets = cut(lookback_returns(scen, flong), "returns")
+    def keep_history(g, fit, seconds):
+        (fit.groupBy("scenario_id").agg(F.max("fitness").alias("best_fitness"))
+            .select("scenario_id", "best_fitness", F.lit(seconds).cast("double").alias("runtime_s"))
+            .write.mode("overwrite").parquet(f"{root}/history/generation={g}"))
+
+    began = accepted(scenarios)
+    scen = cut(lambda: began, "scenarios")
+    if run_dir and not (scen.exceptAll(began).isEmpty() and began.exceptAll(scen).isEmpty()):
+        raise ValueError(f"{root} holds a run of other scenarios")
+    iu = cut(lambda: indexed_universe(scen, flong), "universe")
+    rets = cut(lambda: lookback_returns(scen, flong), "returns")
     n_gen = scen.agg(F.max("generations")).first()[0] or 0
-    pop = cut(init_population(scen, flong, iu), "g0/population")
-    for g in range(n_gen):
+    start = _last_whole(spark, root, n_gen) if run_dir else None
+    pop = cut(lambda: init_population(scen, flong, iu), f"g{start or 0}/population")
+    if start and not path_exists(spark, f"{root}/history/generation={start - 1}/_SUCCESS"):
+        keep_history(start - 1, spark.read.parquet(f"{root}/g{start - 1}/fitness"), None)
+    for g in range(start or 0, n_gen):
         t0 = time.perf_counter()
         active = scen.filter(F.col("generations") > g)
-        fit = cut(evaluate_population(pop.join(active.select("scenario_id"), "scenario_id", "left_semi"), active, rets), f"g{g}/fitness")
-        nxt = generation_step(pop, fit, active, iu, g, cut=lambda d, g=g: cut(d, f"g{g}/children"))
+        fit = cut(lambda: evaluate_population(pop.join(active.select("scenario_id"), "scenario_id", "left_semi"), active, rets), f"g{g}/fitness")  # noqa: B023
+        nxt = generation_step(pop, fit, active, iu, g, cut=lambda d, g=g: cut(lambda: d, f"g{g}/children"))
         frozen = pop.join(active.select("scenario_id"), "scenario_id", "left_anti")
-        pop = cut(nxt.unionByName(frozen), f"g{g + 1}/population")
-        dt = time.perf_counter() - t0
-        (fit.groupBy("scenario_id").agg(F.max("fitness").alias("best_fitness"))
-            .select("scenario_id", F.lit(g).alias("generation"), "best_fitness", F.lit(round(dt, 3)).alias("runtime_s"))
-            .write.mode("append").parquet(f"{root}/history"))
+        pop = cut(lambda: nxt.unionByName(frozen), f"g{g + 1}/population")  # noqa: B023
+        keep_history(g, fit, round(time.perf_counter() - t0, 3))
         if g:
             remove_path(spark, f"{root}/g{g - 1}")
-    final = cut(evaluate_population(pop, scen, rets, F.lit(final_fitness)), "final-fitness")
+    final = cut(lambda: evaluate_population(pop, scen, rets, F.lit(final_fitness)), f"final-{final_fitness}")
     best = rank_population(final).filter(F.col("rank") == 1).select("scenario_id", "indiv_id")
     port = pop.join(best, IKEYS).select("scenario_id", F.lit(OPTIMIZED).cast("bigint").alias("portfolio_id"),
                                         "symbol", "weight", "price", "currency", "mean")
-    hist = spark.read.schema(HISTORY).parquet(f"{root}/history") if n_gen else spark.createDataFrame([], HISTORY)
+    hist = spark.read.schema(HISTORY).parquet(f"{root}/history").select(*HISTORY_COLS) if n_gen else spark.createDataFrame([], HISTORY)
     return port, pop, hist

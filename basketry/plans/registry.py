@@ -738,9 +738,8 @@ def q_write_portfolios(spark, sf_dir):
     ctx = Ctx(spark, sf_dir)
     path = scratch_path(spark, "portfolios")
     sinks.write_portfolios(form.buy_and_hold(ctx.scenarios, ctx.flong), path, "bh")
-    back = spark.read.option("header", "true").schema(
-        "scenario_id bigint, portfolio_id bigint, symbol string, weight double, price double, currency string, mean double"
-    ).csv(f"{path}/run_id=bh")
+    back = sinks.read_run(spark, path, "bh",
+                          "scenario_id bigint, portfolio_id bigint, symbol string, weight double, price double, currency string, mean double")
     return back.groupBy("scenario_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -874,8 +873,7 @@ def q_write_run_stats(spark, sf_dir):
     _, _, hist = search.evolve(ctx.scenarios, ctx.flong)
     path = scratch_path(spark, "stats")
     sinks.write_run_stats(hist, path, "r0", _t.perf_counter() - t0)
-    back = spark.read.option("header", "true").schema(
-        "scenario_id bigint, generation int, best_fitness double, runtime_s double, total_s double").csv(f"{path}/run_id=r0")
+    back = sinks.read_run(spark, path, "r0", "scenario_id bigint, generation int, best_fitness double, runtime_s double, total_s double")
     back = back.withColumn("timed", (F.col("runtime_s") > 0) & (F.col("total_s") > 0)).drop("runtime_s", "total_s")
     return rounded(back, {"best_fitness": VAR})
 

@@ -94,6 +94,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, through its Hadoop file system; none if there is no such folder."""
+    if not path_exists(spark, path):
+        return []
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(s.getPath().getName() for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p))
+
+
 class StoredTables:
     """Results kept for a session, each valid as long as the inputs that it was made of stay as they are.
 
