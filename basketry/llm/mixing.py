@@ -1,22 +1,28 @@
 """Mixing sources to target weights by entropy balancing.
 
 Document rates are the closest ones to "take everything once", in bounded
-relative entropy, that meet token constraints: per source its target of words,
-split over its size classes as the source itself is (so that the mix changes
-how much of a source is taken, not its long and short documents).  The dual of
-this convex problem has one variable a constraint; distributed Newton steps
-solve it.  Rates are the exponential tilt ``most / (1 + (most - 1) exp(-x))``
-with x the sum of the document's duals, so none exceeds ``most``.
+relative entropy, under two overlapping sets of constraints: every source gives
+its target of words (met exactly), and every size class keeps, over all
+sources, the share of words that it has in the corpus (met up to a stated
+slack, since the targets may not allow it).  So a mix that favours a source of
+short documents takes more of that source's long ones.
+
+The dual of this convex problem has one variable a source and one a class; joint
+Newton steps solve it.  The rate of a document is the exponential tilt
+``most / (1 + (most - 1) exp(-x))`` with x the sum of its source's and its
+class's dual, so none exceeds ``most``.
 
 Rates are then rounded into copies: within a source, documents run from long
 to short and systematic rounding keeps the running number of copies within one
-of its rate; a few rounds of single-class corrections bring the words taken
-near the target.  Everything works on counts of (source, size), and equal rows
-are counted before they meet.  DataFrame functions only.
+of its rate; single-class corrections bring the words taken near the target.
+Everything works on counts of (source, size), and equal rows are counted before
+they meet.  DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +31,14 @@ from basketry.llm.common import n_words, staged
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-#: Newton steps and correction rounds end by themselves; these bounds only guard against endless loops.
-NEWTON_STEPS = 60
-CORRECTIONS = 40
+#: How loosely class shares are kept: a class may miss its words by this part of them for each unit of its dual.
+SLACK = 0.1
+#: Newton steps end by themselves; reaching this bound is an error.
+NEWTON_STEPS = 100
+#: Largest gap of a constraint, as a part of its words, that counts as met.
+TOLERANCE = 1e-8
+#: Classes that a balance may have: their system of equations is solved in one place.
+MOST_CLASSES = 256
 #: Documents of one class that a task ranks; larger classes are dealt out over more buckets.
 CLASS_ROWS = 256
 
@@ -71,50 +82,132 @@ def _exact(x: Column) -> Column:
 
 
 def size_class(size: Column) -> Column:
-    """Sizes by powers of four: the classes whose share of a source's words is kept."""
+    """Sizes by powers of four: the classes whose share of all words is kept (32 at most)."""
     return F.floor(F.log(size + 1.0) / F.log(F.lit(4.0))).cast("int")
 
 
-def balanced_rates(classes: DataFrame, goals: DataFrame, most: int = MOST, steps: int = NEWTON_STEPS) -> DataFrame:
-    """(source, size, n, rate): rates that meet the word constraints of every source and size class.
+def _total(cells: Column, field: str) -> Column:
+    return F.aggregate(cells, F.lit(0.0), lambda s, c: s + c[field])
 
-    ``classes`` (source, size, n), ``goals`` (source, source_size, target).
-    The dual of a constraint (source, class) is
 
-        f(x) = sum of n * size * (most * log(1 + (most - 1) exp(-x)) + most * x) - x * goal
+def _by_class(values: dict) -> Column:
+    """A small map of class to number; classes that it does not name have 0."""
+    if not values:
+        return F.create_map().cast("map<int,double>")
+    return F.create_map(*[F.lit(v) for kv in sorted(values.items()) for v in kv])
+
+
+def _at_duals(table: DataFrame, mu: dict, most: int) -> DataFrame:
+    """``table`` (source, need, words, dual, cells) with words taken and slope of each cell, and gap and slope of the source.
+
+    Sources that need nothing, or ``most`` times everything, have that rate
+    whatever the duals are: their slope is 0."""
+    tilt, free = _by_class(mu), (F.col("need") > 0) & (F.col("need") < most)
+
+    def cell(c):
+        x = F.col("dual") + F.coalesce(F.element_at(tilt, c["class"]), F.lit(0.0))
+        rate = F.when(free, _rate(x, most)).when(F.col("need") <= 0, 0.0).otherwise(float(most))
+        return F.struct(c["class"].alias("class"), c["words"].alias("words"), rate.alias("rate"))
+
+    def sums(c):
+        slope = F.when(free, c["words"] * c["rate"] * (1 - c["rate"] / most)).otherwise(0.0)
+        return F.struct(c["class"].alias("class"), c["words"].alias("words"), (c["words"] * c["rate"]).alias("taken"), slope.alias("slope"))
+
+    t = table.withColumn("at", F.transform(F.transform("cells", cell), sums))
+    gap = F.when(free, F.col("need") * F.col("words") - _total(F.col("at"), "taken")).otherwise(0.0)
+    return t.withColumn("gap", gap).withColumn("slope", _total(F.col("at"), "slope"))
 
-    up to constants; its Newton step needs the sums of rate and slope over the
-    constraint's documents, one grouped pass a step.  Constraints that ask for
-    nothing or for ``most`` times everything have their limit as solution.
-    """
-    rows = classes.where("size > 0").withColumn("class", size_class(F.col("size")))
-    need = F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))
-    rows = staged(rows.join(goals, rows["source"].eqNullSafe(goals["source"])).select(rows["source"], "size", "n", "class", need.alias("need")), "mix-classes")
-    duals = staged(rows.groupBy("source", "class").agg(F.first("need").alias("need")).withColumn("x", F.lit(0.0)), "mix-duals")
-    for _ in range(steps):
-        d = duals.select(F.col("source").alias("s"), F.col("class").alias("c"), "x")
-        at = rows.join(d, rows["source"].eqNullSafe(d["s"]) & (rows["class"] == d["c"]))
-        rate, words = _rate(F.col("x"), most), F.col("n") * F.col("size")
-        sums = at.groupBy("source", "class").agg(
-            F.first("need").alias("need"), F.first("x").alias("x"), F.sum(words).alias("words"),
-            _exact(words * rate).alias("taken"), _exact(words * rate * (1 - rate / most)).alias("slope"))
-        gap = F.col("words") * F.col("need") - F.col("taken")
-        limit = F.when(F.col("need") <= 0, F.lit(-745.0)).when(F.col("need") >= most, F.lit(745.0))
-        # a step longer than 2 leaves the region where the slope speaks for the curve
-        step = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), gap / F.col("slope")))
-        moved = sums.select("source", "class", "need", F.coalesce(limit, F.when(F.abs(gap) <= 1e-9 * F.col("words"), F.col("x")).otherwise(F.col("x") + step)).alias("x"),
-                            (limit.isNull() & (F.abs(gap) > 1e-9 * F.col("words"))).alias("open"))
-        moved = staged(moved, "mix-duals")
-        duals = moved.drop("open")
-        if moved.where("open").isEmpty():
-            break
-    d = duals.select(F.col("source").alias("s"), F.col("class").alias("c"), "x")
-    at = rows.join(d, rows["source"].eqNullSafe(d["s"]) & (rows["class"] == d["c"]))
-    return at.select("source", "size", "n", _rate(F.col("x"), most).alias("rate"))
 
+def _class_system(at: DataFrame) -> tuple[dict, dict]:
+    """Class sums (taken, slope, part of the gap) and the products of slopes by pair of classes, summed over sources.
 
-def class_copies(rates: DataFrame, goals: DataFrame, most: int = MOST, rounds: int = CORRECTIONS) -> DataFrame:
-    """(source, size, n, copies): whole copies that all documents of a class take together."""
+    One grouped pass each over one row a source; classes are few, so are these sums."""
+    per = F.when(F.col("slope") > 0, 1 / F.col("slope")).otherwise(0.0)
+    one = at.select("gap", per.alias("per"), F.explode("at").alias("a"))
+    one = one.groupBy(F.col("a.class").alias("a"), F.lit(None).cast("int").alias("b")).agg(
+        _exact(F.col("a.taken")).alias("v"), _exact(F.col("a.slope")).alias("slope"), _exact(F.col("a.slope") * F.col("gap") * F.col("per")).alias("part"))
+    two = at.where("slope > 0").select(per.alias("per"), "at", F.explode("at").alias("a")).select("per", "a", F.explode("at").alias("b"))
+    two = two.where("a.class <= b.class").groupBy(F.col("a.class").alias("a"), F.col("b.class").alias("b")).agg(
+        _exact(F.col("a.slope") * F.col("b.slope") * F.col("per")).alias("v"), F.lit(0.0).alias("slope"), F.lit(0.0).alias("part"))
+    rows = one.unionByName(two).collect()
+    return {r.a: r for r in rows if r.b is None}, {(r.a, r.b): r.v for r in rows if r.b is not None}
+
+
+def _solved(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """Solution of a small positive definite system, by elimination."""
+    m, x = [row[:] + [r] for row, r in zip(matrix, right)], [0.0] * len(right)
+    for i, pivot in enumerate(m):
+        for row in m[i + 1:]:
+            f = row[i] / pivot[i]
+            for j in range(i, len(row)):
+                row[j] -= f * pivot[j]
+    for i in reversed(range(len(x))):
+        x[i] = (m[i][-1] - sum(m[i][j] * x[j] for j in range(i + 1, len(x)))) / m[i][i]
+    return x
+
+
+def balanced_rates(classes: DataFrame, goals: DataFrame, most: int = MOST, steps: int = NEWTON_STEPS, slack: float = SLACK) -> DataFrame:
+    """(source, class, size, n, rate): rates closest to 1 that give every source its target and keep class shares.
+
+    ``classes`` (source, class, size, n) with any whole-number class, 256 of them
+    at most; ``goals`` (source, source_size, target).  With w words in a cell
+    (source s, class c), W_c in a class, T asked of all sources, the dual
+
+        sum need_s W_s l_s + sum goal_c m_c - slack / 2 sum W_c m_c^2 - sum w P(l_s + m_c),   goal_c = T W_c / sum W,
+
+    has P' = rate.  Its Hessian is diagonal in the sources, so a joint Newton step
+    solves for the class duals first (the Schur complement, summed over sources
+    in one pass) and each source then follows in its own row.  P is self-concordant
+    in the sense that its third derivative stays below its second, for which steps of log(1 + d) / d, with d the
+    largest change of any x, converge from everywhere.
+
+    Sources that ask for nothing or for ``most`` times everything have their
+    limit as rate and count in the classes as given.  Null sources are one
+    source; documents without words are left out; an empty table gives no rows.
+    """
+    rows = classes.where("size > 0")
+    cells = rows.groupBy("source", "class").agg(F.sum(F.col("n") * F.col("size")).cast("double").alias("words"))
+    table = cells.groupBy("source").agg(F.sum("words").alias("words"), F.sort_array(F.collect_list(F.struct("class", "words"))).alias("cells"))
+    g = goals.select(F.col("source").alias("s"), F.least(F.col("target") / F.col("source_size"), F.lit(float(most))).alias("need"))
+    flat = F.when((F.col("need") > 0) & (F.col("need") < most), F.log(F.col("need") * (most - 1) / (most - F.col("need")))).otherwise(0.0)
+    table = table.join(g, table["source"].eqNullSafe(g["s"])).select("source", "need", "words", flat.alias("dual"), "cells")
+    table = staged(table, "mix-duals")
+    sums = table.select("need", F.explode("cells").alias("c")).groupBy("c.class").agg(
+        _exact(F.col("c.words")).alias("words"), _exact(F.col("c.words") * F.col("need")).alias("asked")).limit(MOST_CLASSES + 1).collect()
+    if len(sums) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
+    words = {r["class"]: r.words for r in sums}
+    share = sum(r.asked for r in sums) / (sum(words.values()) or 1.0)
+    names, mu = sorted(words), dict.fromkeys(words, 0.0)
+    for _ in range(steps if names else 0):
+        at = _at_duals(table, mu, most)
+        one, two = _class_system(at)
+        ahead = {c: share * words[c] - one[c].v - slack * words[c] * mu[c] for c in names}
+        matrix = [[-two.get((min(a, b), max(a, b)), 0.0) + (one[a].slope + slack * words[a] if a == b else 0.0) for b in names] for a in names]
+        step = dict(zip(names, _solved(matrix, [ahead[c] - one[c].part for c in names])))
+        change = F.aggregate("at", F.lit(0.0), lambda s, c: s + c["slope"] * F.element_at(_by_class(step), c["class"]))  # noqa: B023
+        at = at.withColumn("step", F.when(F.col("slope") > 0, (F.col("gap") - change) / F.col("slope")).otherwise(0.0))
+        moved = F.transform("at", lambda c: F.abs(F.col("step") + F.element_at(_by_class(step), c["class"])))  # noqa: B023
+        worst = at.agg(F.max(F.abs("gap") / F.col("words")).alias("gap"), F.max(F.when(F.col("slope") > 0, F.array_max(moved))).alias("move")).first()
+        if worst.gap <= TOLERANCE and all(abs(ahead[c]) <= TOLERANCE * words[c] for c in names):
+            break
+        most_moved = max(worst.move or 0.0, *map(abs, step.values()))
+        part = math.log1p(most_moved) / most_moved
+        mu = {c: mu[c] + part * step[c] for c in names}
+        table = staged(at.select("source", "need", "words", (F.col("dual") + part * F.col("step")).alias("dual"), "cells"), "mix-duals")
+    else:
+        if names:
+            raise RuntimeError(f"the balance did not converge in {steps} Newton steps")
+    at = _at_duals(table, mu, most).select(F.col("source").alias("s"), F.explode("at").alias("a"))
+    at = at.select("s", F.col("a.class").alias("c"), (F.col("a.taken") / F.col("a.words")).alias("rate"))
+    return rows.join(at, rows["source"].eqNullSafe(at["s"]) & (rows["class"] == at["c"])).select("source", "class", "size", "n", "rate")
+
+
+def class_copies(rates: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
+    """(source, size, n, copies): whole copies that all documents of a class take together.
+
+    Each round of corrections brings at least one source strictly nearer to its
+    target, by whole words, so the rounds end by themselves."""
     # copies up to a class, long documents first, in millionths and rounded: within half a copy of the rates
     run = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     goal = F.col("n") * F.round(F.col("rate") * 1_000_000).cast("long")
@@ -122,7 +215,7 @@ def class_copies(rates: DataFrame, goals: DataFrame, most: int = MOST, rounds: i
     copies = F.expr("(upto + 500000) div 1000000 - (upto - goal + 500000) div 1000000")
     c = c.withColumn("copies", F.greatest(F.lit(0), F.least(copies, F.col("n") * most)))
     c = staged(c.select("source", "size", "n", "copies"), "mix-copies")
-    for _ in range(rounds):
+    while True:
         gap = c.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).withColumnRenamed("source", "s")
         gap = gap.join(goals, gap["s"].eqNullSafe(goals["source"])).select("s", (F.col("target") - F.col("taken")).alias("gap"))
         at = c.join(gap, c["source"].eqNullSafe(gap["s"]))
@@ -157,7 +250,8 @@ def mixed(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MO
     groups = staged(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("m")), "mix-groups")
     classes = staged(groups.groupBy("source", "size").agg(F.sum("m").alias("n")), "mix-sizes")
     goals = staged(targets(classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, most), "mix-targets")
-    copies = class_copies(balanced_rates(classes, goals, most), goals, most)
+    rates = balanced_rates(classes.withColumn("class", size_class(F.col("size"))), goals, most)
+    copies = class_copies(rates, goals, most)
     # documents without words take part in no constraint: once each
     copies = copies.unionByName(classes.where("size = 0").withColumn("copies", F.col("n")))
     g = goals.select(F.col("source").alias("gs"), "source_size", "target")

@@ -184,12 +184,86 @@ def test_mix_documents(documents):
     assert rows_of(mixing.mix(documents.repartition(5))) == sorted(map(tuple, rows), key=repr)
 
 
-def test_balanced_rates_solve_the_constraints(spark):
-    classes = spark.createDataFrame([("a", s, n) for s, n in ((1, 10), (3, 5), (50, 7), (900, 2))] + [(None, 20, 4), ("z", 8, 3), ("o", 8, 3)], "source string, size long, n long")
-    goals = spark.createDataFrame([("a", 2175, 1000.0), (None, 80, 150.0), ("z", 24, 0.0), ("o", 24, 48.0)], "source string, source_size long, target double")
-    rates = mixing.balanced_rates(classes, goals).collect()
-    for s, want in (("a", 1000 / 2175), (None, 150 / 80), ("z", 0.0), ("o", 2.0)):
-        assert [r.rate for r in rates if r.source == s] == pytest.approx([want] * sum(r.source == s for r in rates), abs=1e-6)
+def dense_balance(words, goals, slack, most=2):
+    """Rates {(source, class): rate} of the same problem: all duals at once, dense Hessian, backtracking."""
+    cells, free = sorted(words, key=repr), [s for s in goals if 0 < goals[s] < most * sum(w for (t, _), w in words.items() if t == s)]
+    of_source = {s: sum(w for (t, _), w in words.items() if t == s) for s in goals}
+    names = sorted({c for _, c in words})
+    of_class = {c: sum(w for (_, d), w in words.items() if d == c) for c in names}
+    share = sum(goals.values()) / sum(words.values())
+    w = np.array([words[k] for k in cells])
+    a = np.zeros((len(cells), len(free) + len(names)))
+    fixed = np.full(len(cells), np.nan)
+    for i, (s, c) in enumerate(cells):
+        if s in free:
+            a[i, free.index(s)] = a[i, len(free) + names.index(c)] = 1
+        else:
+            fixed[i] = goals[s] / of_source[s]
+    given = {c: sum(w[i] * fixed[i] for i, k in enumerate(cells) if k[1] == c and k[0] not in free) for c in names}
+    goal = np.array([goals[s] for s in free] + [share * of_class[c] - given[c] for c in names])
+    ridge = np.array([0.0] * len(free) + [slack * of_class[c] for c in names])
+    open_ = np.isnan(fixed)
+
+    def value(x):
+        z = a[open_] @ x
+        return goal @ x - ridge @ (x * x) / 2 - w[open_] @ (most * np.logaddexp(z, np.log(most - 1)))
+
+    x = np.zeros(len(goal))
+    for _ in range(500):
+        rate = most / (1 + (most - 1) * np.exp(-(a @ x)))
+        grad = goal - ridge * x - a[open_].T @ (w * rate)[open_]
+        h = (a[open_].T * (w * rate * (1 - rate / most))[open_]) @ a[open_] + np.diag(ridge)
+        step, t = np.linalg.solve(h, grad), 1.0
+        while value(x + t * step) < value(x) - 1e-9 and t > 1e-9:
+            t /= 2
+        x = x + t * step
+    rate = np.where(open_, most / (1 + (most - 1) * np.exp(-(a @ x))), fixed)
+    return dict(zip(cells, rate))
+
+
+@pytest.mark.parametrize("slack", [0.1, 0.01])
+def test_balanced_rates_against_a_dense_solver(spark, slack):
+    rng = np.random.default_rng(5)
+    rows = [(s, c, int(4 ** c + rng.integers(0, 3 * 4 ** c)), int(rng.integers(1, 90))) for s in ("a", "b", "c", None, "full", "none") for c in range(1, 6) for _ in range(3)
+            if rng.random() < 0.7]
+    classes = spark.createDataFrame(rows, "source string, class int, size long, n long")
+    sizes, words = Counter(), Counter()
+    for s, c, size, n in rows:
+        sizes[s] += size * n
+        words[s, c] += float(size * n)
+    goals = {s: sizes[s] * k for s, k in (("a", 1.7), ("b", 0.4), ("c", 1.95), (None, 1.1), ("full", 2.0), ("none", 0.0))}
+    table = spark.createDataFrame([(s, sizes[s], g) for s, g in goals.items()], "source string, source_size long, target double")
+    got = mixing.balanced_rates(classes, table, slack=slack).collect()
+    want = dense_balance(words, goals, slack)
+    assert len(got) == len(rows) and all(r.rate == pytest.approx(want[r.source, r["class"]], abs=1e-6) for r in got)
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.rate * r.size * r.n
+    assert all(taken[s] == pytest.approx(goals[s], rel=1e-6, abs=1e-6) for s in goals)
+    assert len({round(r.rate, 3) for r in got if r.source == "b"}) > 1  # rates differ inside a source
+
+
+def test_classes_keep_their_share_better_than_flat_rates(spark):
+    # short documents in one source, long ones in the other, and both in a third: flat rates follow the sources
+    rows = [("s", 0, 10, 900), ("s", 1, 100, 10), ("l", 0, 10, 100), ("l", 1, 100, 90), ("m", 0, 10, 500), ("m", 1, 100, 50)]
+    goals = {"s": 17000.0, "l": 3000.0, "m": 10000.0}
+    classes = spark.createDataFrame(rows, "source string, class int, size long, n long")
+    table = spark.createDataFrame([("s", 10000, 17000.0), ("l", 10000, 3000.0), ("m", 10000, 10000.0)], "source string, source_size long, target double")
+    got = mixing.balanced_rates(classes, table, slack=0.001).collect()
+    flat = sum(goals[s] / 10000 * size * n for s, c, size, n in rows if c == 0) / 30000
+    kept = sum(r.rate * r.size * r.n for r in got if r["class"] == 0) / 30000
+    corpus = sum(size * n for _, c, size, n in rows if c == 0) / 30000
+    assert flat - corpus > 0.1 and abs(kept - corpus) < 0.01
+
+
+def test_balance_of_one_source_and_of_nothing_is_flat(spark):
+    classes = spark.createDataFrame([("a", 0, 1, 10), ("a", 3, 70, 4)], "source string, class int, size long, n long")
+    goals = spark.createDataFrame([("a", 290, 435.0)], "source string, source_size long, target double")
+    assert [r.rate for r in mixing.balanced_rates(classes, goals).collect()] == pytest.approx([1.5, 1.5])
+    assert mixing.balanced_rates(classes.where("false"), goals).count() == 0
+    with pytest.raises(RuntimeError):
+        two = classes.union(classes.withColumn("source", F.lit("b")).withColumn("n", F.col("class") + 1))
+        mixing.balanced_rates(two, goals.union(spark.createDataFrame([("b", 281, 20.0)], goals.schema)), steps=1)
 
 
 def test_mix_edges(edges, nothing):
