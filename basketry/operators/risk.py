@@ -8,7 +8,7 @@ driver round trip, and the number of portfolios is unbounded.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.operators.slicing import lookback_slice
@@ -16,6 +16,9 @@ from basketry.operators.valuation import portfolio_value
 from basketry.session import stage_scratch
 from basketry.sources.schemas import BASE_CURRENCY
 
+#: Holdings of one block of a matrix: a pair of blocks is at most 64 vectors of a lookback.
+GRAM_BLOCK = 32
+
 
 def portfolio_return(portfolios: DataFrame, keys: list[str]) -> DataFrame:
     """keys, ret = Σ weight * mean (percent)."""
@@ -56,20 +59,46 @@ def portfolio_variance(portfolios: DataFrame, scenarios: DataFrame, flong: DataF
     return d.groupBy(*keys).agg(F.var_samp("pr").alias("variance"), F.count("pr").alias("n_dates"))
 
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+
+def return_blocks(returns: DataFrame, keys: list[str], block: int = GRAM_BLOCK) -> DataFrame:
+    """keys, block, n_dates, vectors: holdings in blocks of ``block`` by symbol, each with its centred return vector.
+
+    ``returns`` as ``holding_returns`` gives them: all holdings of a portfolio
+    have the same dates, so vectors in the order of dates are aligned.  They are
+    shifted by their first value before they are centred, so a constant series
+    has deviations of exactly 0.  A vector spans a lookback (at most 366 days)."""
+    v = returns.groupBy(*keys, "symbol").agg(F.transform(F.sort_array(F.collect_list(F.struct("dt", "ror"))), lambda x: x["ror"]).alias("v"))
+    v = v.withColumn("d", F.transform("v", lambda x: x - F.col("v")[0])).withColumn("n_dates", F.size("v"))
+    v = v.withColumn("center", F.aggregate("d", F.lit(0.0), lambda total, x: total + x) / F.col("n_dates"))
+    v = v.withColumn("c", F.transform("d", lambda x: x - F.col("center")))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("symbol")) - 1
+    v = v.select(*keys, "n_dates", F.floor(number / block).cast("int").alias("block"), "symbol", "c", _dot(F.col("c"), F.col("c")).alias("ss"))
+    return v.groupBy(*keys, "block").agg(F.first("n_dates").alias("n_dates"), F.sort_array(F.collect_list(F.struct("symbol", "c", "ss"))).alias("vectors"))
+
+
 def _pair_measures(portfolios: DataFrame, scenarios: DataFrame, flong: DataFrame, keys: list[str]) -> DataFrame:
     """keys, symbol_i, symbol_j, cov, corr over complete dates, both halves of the matrix.
 
-    The returns of one (portfolio, date) form one vector; its pairs with
-    symbol_i <= symbol_j are streamed out of it and aggregated, the other half
-    is the mirror image.  No array spans the dates of a portfolio."""
-    r = holding_returns(portfolios, scenarios, flong, keys)
-    vec = r.groupBy(*keys, "dt").agg(F.sort_array(F.collect_list(F.struct("symbol", "ror"))).alias("v"))
-    i = vec.select(*keys, "v", F.posexplode("v").alias("i", "a"))
-    j = i.select(*keys, "a", F.explode(F.slice("v", F.col("i") + 1, F.size("v"))).alias("b"))
-    half = j.groupBy(*keys, F.col("a.symbol").alias("symbol_i"), F.col("b.symbol").alias("symbol_j")).agg(
-        F.covar_samp("a.ror", "b.ror").alias("cov"), F.var_samp("a.ror").alias("vi"), F.var_samp("b.ror").alias("vj"))
-    corr = F.try_divide(F.col("cov"), F.sqrt(F.col("vi") * F.col("vj")))
-    half = half.select(*keys, "symbol_i", "symbol_j", "cov", corr.alias("corr"))
+    Blocked Gram product: a portfolio's vectors lie in blocks, every pair of its
+    blocks is one row whose products are taken vector by vector, and the other
+    half is the mirror image.  There is no row per pair and date, and a
+    portfolio of any number of holdings is spread over its pairs of blocks."""
+    blocks = stage_scratch(return_blocks(holding_returns(portfolios, scenarios, flong, keys), keys), "return-blocks")
+    left = blocks.select(*keys, F.col("block").alias("bi"), "n_dates", F.col("vectors").alias("vi"))
+    right = blocks.select(*keys, F.col("block").alias("bj"), F.col("vectors").alias("vj"))
+    both = left.join(right, keys).filter("bi <= bj")
+
+    def measures(i, j):
+        return F.struct(i["symbol"].alias("symbol_i"), j["symbol"].alias("symbol_j"), _dot(i["c"], j["c"]).alias("cc"), (i["ss"] * j["ss"]).alias("ss"))
+
+    products = F.flatten(F.transform("vi", lambda i: F.transform(F.filter("vj", lambda j: j["symbol"] >= i["symbol"]), lambda j: measures(i, j))))
+    half = both.select(*keys, "n_dates", F.explode(products).alias("m"))
+    several = F.col("n_dates") > 1
+    half = half.select(*keys, "m.symbol_i", "m.symbol_j", F.when(several, F.col("m.cc") / (F.col("n_dates") - 1)).alias("cov"),
+                       F.when(several, F.try_divide(F.col("m.cc"), F.sqrt("m.ss"))).alias("corr"))
     sides = F.when(F.col("symbol_i") == F.col("symbol_j"), F.array(F.struct("symbol_i", "symbol_j"))).otherwise(
         F.array(F.struct("symbol_i", "symbol_j"), F.struct(F.col("symbol_j").alias("symbol_i"), F.col("symbol_i").alias("symbol_j"))))
     return half.select(*keys, "cov", "corr", F.explode(sides).alias("s")).select(*keys, "s.symbol_i", "s.symbol_j", "cov", "corr")
