@@ -15,7 +15,7 @@ import time
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.functions.columns import exact_sum, ratio, rescale_range
+from basketry.functions.columns import exact_sum, let, ratio, rescale_range
 from basketry.functions.rng import draw, draw_mod
 from basketry.operators import risk
 from basketry.operators.formation import OPTIMIZED, individuals_of, random_constrained
@@ -175,20 +175,21 @@ def crossover_cuts(pairs: DataFrame, pop: DataFrame, scenarios: DataFrame, gener
     ascrank_B(s) <= n-r (or A, B swapped): an interval of r per shared symbol.
     The cut is drawn among the valid ones, r = 1 twice (the reference maps a
     draw of 0 to 1); r = n is always valid."""
-    h = _ranked_holdings(pop).select("scenario_id", "indiv_id", "symbol", "asc_rank", "desc_rank")
-    n = scenarios.select("scenario_id", "n_assets", "seed")
-    p = pairs.join(n, "scenario_id")
-    a = h.select("scenario_id", F.col("indiv_id").alias("indiv_a"), "symbol",
-                 F.col("asc_rank").alias("aa"), F.col("desc_rank").alias("da"))
-    b = h.select("scenario_id", F.col("indiv_id").alias("indiv_b"), "symbol",
-                 F.col("asc_rank").alias("ab"), F.col("desc_rank").alias("db"))
-    shared = (p.select("scenario_id", "pair", "indiv_a", "indiv_b", "n_assets")
-               .join(a, ["scenario_id", "indiv_a"]).join(b, ["scenario_id", "indiv_b", "symbol"]))
-    ivs = shared.select("scenario_id", "pair", F.explode(F.array(
-        F.struct(F.col("da").cast("int").alias("lo"), (F.col("n_assets") - F.col("ab")).cast("int").alias("hi")),
-        F.struct(F.col("db").cast("int").alias("lo"), (F.col("n_assets") - F.col("aa")).cast("int").alias("hi")))).alias("iv"))
-    ivs = ivs.groupBy("scenario_id", "pair").agg(F.collect_list("iv").alias("ivs"))
-    p = p.join(ivs, ["scenario_id", "pair"], "left")
+    # an individual's holdings lie in one array by symbol (at most n_assets), so the pairs are read once and no row
+    # is made per shared symbol
+    h = pop.groupBy("scenario_id", "indiv_id").agg(F.sort_array(F.collect_list(F.struct("symbol"))).alias("h"))
+    h = h.select("scenario_id", "indiv_id", F.transform("h", lambda x, i: F.struct(
+        x["symbol"].alias("symbol"), (i + 1).alias("asc"), (F.size("h") - i).alias("desc"))).alias("h"))
+    p = pairs.join(scenarios.select("scenario_id", "n_assets", "seed"), "scenario_id")
+    for side in ("a", "b"):
+        p = p.join(h.select("scenario_id", F.col("indiv_id").alias(f"indiv_{side}"), F.col("h").alias(f"h_{side}")),
+                   ["scenario_id", f"indiv_{side}"], "left")
+    n = F.col("n_assets")
+    ivs = F.flatten(F.transform("h_a", lambda a: F.flatten(F.transform(
+        F.filter("h_b", lambda b: b["symbol"] == a["symbol"]),
+        lambda b: F.array(F.struct(a["desc"].alias("lo"), (n - b["asc"]).alias("hi")),
+                          F.struct(b["desc"].alias("lo"), (n - a["asc"]).alias("hi")))))))
+    p = p.withColumn("ivs", ivs)
     ivcol = F.coalesce(F.col("ivs"), F.array().cast("array<struct<lo:int,hi:int>>"))
     valid = F.filter(F.sequence(F.lit(1), F.col("n_assets")),
                      lambda r: ~F.exists(ivcol, lambda iv: (r >= iv["lo"]) & (r <= iv["hi"])))
@@ -204,17 +205,15 @@ def crossover(cuts: DataFrame, pop: DataFrame, scenarios: DataFrame, generation:
     n = scenarios.select("scenario_id", "n_assets")
     c = cuts.join(n, "scenario_id")
     cols = ["symbol", "weight", "price", "currency", "mean"]
-    fa = c.join(h.withColumnRenamed("indiv_id", "indiv_a"), ["scenario_id", "indiv_a"])
-    fb = c.join(h.withColumnRenamed("indiv_id", "indiv_b"), ["scenario_id", "indiv_b"])
+    # one row per parent: its largest symbols go to its own child, its smallest to the other parent's
     one, two = F.col("pair") * 2 + 1, F.col("pair") * 2 + 2
-    rest = F.col("n_assets") - F.col("cut")
-    parts = [
-        fa.filter(F.col("desc_rank") <= F.col("cut")).select("scenario_id", one.alias("indiv_id"), *cols),
-        fb.filter(F.col("asc_rank") <= rest).select("scenario_id", one.alias("indiv_id"), *cols),
-        fb.filter(F.col("desc_rank") <= F.col("cut")).select("scenario_id", two.alias("indiv_id"), *cols),
-        fa.filter(F.col("asc_rank") <= rest).select("scenario_id", two.alias("indiv_id"), *cols),
-    ]
-    kids = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    parent = F.explode(F.array(F.struct(F.col("indiv_a").alias("indiv_id"), one.alias("own"), two.alias("other")),
+                               F.struct(F.col("indiv_b").alias("indiv_id"), two.alias("own"), one.alias("other"))))
+    c = c.select("scenario_id", "cut", (F.col("n_assets") - F.col("cut")).alias("rest"), parent.alias("p"))
+    c = c.select("scenario_id", "cut", "rest", "p.indiv_id", "p.own", "p.other")
+    child = F.array(F.when(F.col("desc_rank") <= F.col("cut"), F.col("own")), F.when(F.col("asc_rank") <= F.col("rest"), F.col("other")))
+    kids = c.join(h, ["scenario_id", "indiv_id"]).select("scenario_id", F.explode(child).alias("indiv_id"), *cols)
+    kids = kids.filter(F.col("indiv_id").isNotNull())
     total = exact_sum("weight").over(Window.partitionBy("scenario_id", "indiv_id")).cast("double")
     kids = kids.withColumn("weight", ratio(F.col("weight"), total))
     return kids.select("scenario_id", F.lit(generation + 1).alias("generation"),
@@ -244,22 +243,24 @@ def mutate(children: DataFrame, scenarios: DataFrame, iu: DataFrame, generation:
     keys = ["scenario_id", "generation", "indiv_id", "seed", "n_assets", "dt", "win"]
     arr = mut.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(
         (-F.col("weight")).alias("nw"), "symbol", "weight", "price", "currency", "mean"))).alias("h"))
-    w, cnt = F.col("h.weight"), F.size("h")
-    arr = arr.withColumn("total", F.aggregate(w, F.lit(0.0), lambda a, x: a + x))
+    # every value that is read more than once is bound by ``let``: computed once a row, not once a draw
+    cnt = F.size("h")
 
-    def valid_draws(i):
+    def valid_draws(p, i):
         """The valid new weights (in thousandths) of gene i, rising, 1 twice as it stands for two draws."""
-        rest = F.col("total") - F.element_at(w, (i + 1).cast("int"))
+        w = p["w"]
         mx = F.when(i == 0, F.try_element_at(w, F.lit(2))).otherwise(F.try_element_at(w, F.lit(1)))
         mn = F.when(i == cnt - 1, F.try_element_at(w, F.lit(-2))).otherwise(F.try_element_at(w, F.lit(-1)))
+        others = F.struct((p["total"] - F.element_at(w, (i + 1).cast("int"))).alias("rest"), mn.alias("mn"), mx.alias("mx"))
 
-        def ok(k):
-            nw = k.cast("double") / F.lit(1000.0)
-            s2 = rest + nw
-            others = (cnt == 1) | ((mn / s2 >= lo) & (mx / s2 <= hi))
-            return (nw / s2 >= lo) & (nw / s2 <= hi) & others
+        def ok(o, nw):
+            def held(s2):
+                rest_held = (cnt == 1) | ((o["mn"] / s2 >= lo) & (o["mx"] / s2 <= hi))
+                return (nw / s2 >= lo) & (nw / s2 <= hi) & rest_held
+            return let(o["rest"] + nw, held)
 
-        return F.filter(F.concat(F.array(F.lit(1)), F.sequence(F.lit(1), F.lit(MUTATION_DRAWS - 1))), ok)
+        every = F.concat(F.array(F.lit(1)), F.sequence(F.lit(1), F.lit(MUTATION_DRAWS - 1)))
+        return let(others, lambda o: F.filter(every, lambda k: ok(o, k.cast("double") / F.lit(1000.0))))
 
     def tickets(draws):
         miss = F.lit(1.0) - F.size(draws).cast("double") / F.lit(float(MUTATION_DRAWS))
@@ -268,24 +269,40 @@ def mutate(children: DataFrame, scenarios: DataFrame, iu: DataFrame, generation:
         return F.floor((F.lit(1.0) - m16 * m4) * F.lit(float(GENE_TICKETS))).cast("bigint")
 
     assert MUTATION_TRIES_PER_GENE == 20  # the power that ``tickets`` spells out
-    arr = arr.withColumn("draws", F.transform(F.sequence(F.lit(0), cnt - 1), valid_draws))
-    arr = arr.withColumn("tickets", F.transform("draws", tickets))
-    arr = arr.withColumn("all_tickets", F.aggregate("tickets", F.lit(0).cast("bigint"), lambda a, x: a + x))
-    found = arr.filter("all_tickets > 0").withColumn("u", draw_mod(F.col("seed"), "mut:gene", F.col("all_tickets"), *ids))
-    # the gene whose ticket interval holds u: as many genes as have their interval's end at or below u
-    start = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).alias("gi"))
-    gene = F.aggregate("tickets", start, lambda a, x: F.struct(
-        (a["end"] + x).alias("end"), (a["gi"] + F.when(a["end"] + x <= F.col("u"), 1).otherwise(0)).alias("gi")), lambda a: a["gi"])
-    found = found.withColumn("_gi", gene)
-    found = found.withColumn("_draws", F.element_at("draws", F.col("_gi") + 1))
-    pick = draw_mod(F.col("seed"), "mut:weight", F.size("_draws"), *ids)
-    found = found.withColumn("_nw", F.element_at("_draws", (pick + 1).cast("int")).cast("double") / F.lit(1000.0))
-    found = found.withColumn("_s2", F.col("total") - F.element_at(w, F.col("_gi") + 1) + F.col("_nw"))
-    ex = found.select("scenario_id", "generation", "indiv_id", "_gi", "_nw", "_s2", F.posexplode("h").alias("_i", "x"))
-    done = ex.select("scenario_id", "generation", "indiv_id", "x.symbol",
-                     (F.when(F.col("_i") == F.col("_gi"), F.col("_nw")).otherwise(F.col("x.weight")) / F.col("_s2")).alias("weight"),
-                     "x.price", "x.currency", "x.mean")
-    lost = arr.filter("all_tickets = 0").select("scenario_id", "generation", "indiv_id", "dt", "win", "n_assets", "seed")
+
+    def gene(t):
+        """The gene whose ticket interval holds u: as many genes as have their interval's end at or below u."""
+        start = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).alias("gi"))
+        return let(draw_mod(F.col("seed"), "mut:gene", t["all"], *ids), lambda u: F.aggregate(t["tickets"], start, lambda a, x: F.struct(
+            (a["end"] + x).alias("end"), (a["gi"] + F.when(a["end"] + x <= u, 1).otherwise(0)).alias("gi")), lambda a: a["gi"]))
+
+    def weight(draws):
+        pick = draw_mod(F.col("seed"), "mut:weight", F.size(draws), *ids)
+        return F.element_at(draws, (pick + 1).cast("int")).cast("double") / F.lit(1000.0)
+
+    def redrawn(p, draws, t):
+        """gi, nw, s2: the gene, its new weight and the new sum; NULL without any valid (gene, draw)."""
+        found = let(gene(t), lambda gi: let(weight(F.element_at(draws, gi + 1)), lambda nw: F.struct(
+            gi.alias("gi"), nw.alias("nw"), (p["total"] - F.element_at(p["w"], gi + 1) + nw).alias("s2"))))
+        return F.when(t["all"] > 0, found)
+
+    def with_tickets(draws, body):
+        return let(F.transform(draws, tickets), lambda x: let(F.struct(
+            x.alias("tickets"), F.aggregate(x, F.lit(0).cast("bigint"), lambda a, y: a + y).alias("all")), body))
+
+    weights = F.struct(F.col("h.weight").alias("w"), F.aggregate(F.col("h.weight"), F.lit(0.0), lambda a, x: a + x).alias("total"))
+    arr = arr.withColumn("m", let(weights, lambda p: let(
+        F.transform(F.sequence(F.lit(0), cnt - 1), lambda i: valid_draws(p, i)),
+        lambda draws: with_tickets(draws, lambda t: redrawn(p, draws, t)))))
+    # rows of a child come out of the array with their weight and whether there is one: a filter on them does not
+    # go below the array, where it would compute the draws again
+    rows = F.transform("h", lambda x, i: F.struct(
+        F.col("m").isNotNull().alias("found"), i.alias("i"), x["symbol"].alias("symbol"),
+        (F.when(i == F.col("m.gi"), F.col("m.nw")).otherwise(x["weight"]) / F.col("m.s2")).alias("weight"),
+        x["price"].alias("price"), x["currency"].alias("currency"), x["mean"].alias("mean")))
+    ex = arr.select(*keys, F.explode_outer(rows).alias("x"))
+    done = ex.filter("x.found").select("scenario_id", "generation", "indiv_id", *[f"x.{c}" for c in POP_COLS[3:]])
+    lost = ex.filter("not x.found and x.i = 0").select("scenario_id", "generation", "indiv_id", "dt", "win", "n_assets", "seed")
     fresh = random_constrained(lost, iu, f"mutfb{generation}").select(*POP_COLS)
     return keep.unionByName(done.select(*POP_COLS)).unionByName(fresh)
 

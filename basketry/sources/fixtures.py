@@ -17,7 +17,10 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _cents(c: str):
-    return F.round(F.col(c) * 100).cast("bigint")
+    """Hundredths, rounded half up as ``round`` does, which takes a decimal object a row: ``rint`` differs at ties alone."""
+    v = F.col(c).cast("double") * 100
+    r = F.rint(v)
+    return F.when(F.abs(v - r) == 0.5, v + F.signum(v) * 0.5).otherwise(r).cast("bigint")
 
 
 def panel_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,15 +29,18 @@ def panel_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     sup = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nat = _t(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     reg = _t(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    j = (li.join(sup, li.l_suppkey == sup.s_suppkey)
-           .join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
-           .join(reg, F.col("n_regionkey") == F.col("r_regionkey")))
     unit_price = F.col("l_extendedprice") / F.col("l_quantity")
-    g = (j.groupBy("n_nationkey", F.date_trunc("week", "l_shipdate").alias("wk"), "r_name")
-          .agg(F.sum(_cents("l_extendedprice")).alias("cents"),
-               F.sum(F.col("l_quantity").cast("bigint")).alias("qty"),
-               F.max(unit_price).alias("high"),
-               F.min(unit_price).alias("low")))
+    # aggregated by the supplier's nation key first: each line item meets one join, and names join a few rows a week
+    n = (li.join(sup.filter(F.col("s_nationkey").isNotNull()), li.l_suppkey == sup.s_suppkey)
+           .groupBy("s_nationkey", F.trunc(F.col("l_shipdate").cast("date"), "week").alias("wk"))
+           .agg(F.sum(_cents("l_extendedprice")).alias("cents"),
+                F.sum(F.col("l_quantity").cast("bigint")).alias("qty"),
+                F.max(unit_price).alias("high"),
+                F.min(unit_price).alias("low")))
+    g = (n.join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
+          .join(reg, F.col("n_regionkey") == F.col("r_regionkey"))
+          .groupBy("n_nationkey", "wk", "r_name")
+          .agg(F.sum("cents").alias("cents"), F.sum("qty").alias("qty"), F.max("high").alias("high"), F.min("low").alias("low")))
     adj = g.cents.cast("double") / g.qty.cast("double") / F.lit(100.0)
     return g.select(
         F.concat(F.lit("N."), F.col("n_nationkey").cast("string")).alias("symbol"),
